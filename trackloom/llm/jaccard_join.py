@@ -8,8 +8,11 @@ block's value is the XOR of its shingles' hashes (the parities of one wide, spar
 most d blocks, so they share all the others, and by the pigeonhole principle each of them may send only its d + 1 rarest
 blocks. Sets that share a sent block are candidates; a dense sketch rejects most that are not similar; texts decide.
 
-Equal sets are one class from the start, and a block that many classes send links them to one leader first: pairs are only
-made between classes that are not connected yet, so groups of copies are never expanded into all pairs.
+Equal sets are one class from the start. Of the classes that send one block, the best-connected one leads and is compared
+with each other one. Jaccard distance is a metric, so what is near the leader needs no comparison with what is far from it,
+and what is connected needs none at all; only the rest of a block's classes is compared again, under a new leader. What is
+open at last are pairs of components: the members of the smaller ones are a query set against those of the larger one, and
+their sketches are compared in blocks. Groups of copies are never expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ PART, WHOLE = 75, 100
 HEAVY_BITS = 20
 #: Buckets of shingle hashes that are remembered as heavy; a bound, and only an order of blocks depends on it.
 HEAVY_BUCKETS = 65_536
+#: Rounds of comparison with leaders before components that still share an open block are compared member by member.
+ROUNDS = 2
+#: Members of a component whose sketches one row holds for that.
+PACK = 2_048
 CACHE = 400_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S = tuple(np.uint64(x) for x in (30, 27, 31, 32, 44))
@@ -86,7 +93,7 @@ class Band:
         self.r, self.part, self.whole = r, part, whole
         self.last = 4 ** (r + 1) - 1
         self.blocks = 2 * (most_apart(2 * self.last, part, whole) + 1)
-        self.bits = max(64, 4 ** (r + 1))
+        self.bits = max(64, 2 * 4 ** (r + 1))
 
     def sends(self, n: int) -> int:
         """Blocks that a set of n shingles sends here: one more than it may differ in from any partner."""
@@ -139,7 +146,7 @@ def _describe(width: int, part: int, whole: int):
         total = 0
         for batch in batches:
             for ids, texts in _texts(batch):
-                out = []
+                out, fresh = [], []
                 for i, text in zip(ids, texts):
                     s = shingles(text, width)
                     cls, own, up = None, None, None
@@ -149,11 +156,11 @@ def _describe(width: int, part: int, whole: int):
                             seen.add(cls)
                             own, *rest = (sketch(s, b.bits) for b in bands(len(s), part, whole))
                             up = rest[0] if rest else None
-                            counts += np.bincount((s >> _S[4]).astype(np.int64), minlength=1 << HEAVY_BITS).astype(np.uint32) if len(s) > 1 << 17 else 0
-                            if len(s) <= 1 << 17:
-                                np.add.at(counts, (s >> _S[4]).astype(np.int64), 1)
+                            fresh.append(s >> _S[4])
                             total += len(s)
                     out.append((i, len(s), cls, own, up))
+                if fresh:
+                    counts += np.bincount(np.concatenate(fresh).astype(np.int64), minlength=1 << HEAVY_BITS).astype(np.uint32)
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)] + [pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int64())], schema=schema)
         many = np.flatnonzero(counts > max(8, 8 * total // len(counts)))
@@ -187,19 +194,50 @@ def _send(heavy, width: int, part: int, whole: int):
 
 
 def _near(part: int, whole: int):
-    """Keep the pairs whose sketches are no further apart than similar sets can be."""
+    """far of each pair: 0 if the sketches allow a link, 2 if they prove that neither can be near what is near the other, else 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for n1, own1, up1, n2, own2, up2 in zip(*(batch.column(c).to_pylist() for c in ("n1", "own1", "up1", "n2", "own2", "up2"))):
-                if n1 > n2:
-                    n1, own1, up1, n2, own2, up2 = n2, own2, up2, n1, own1, up1
-                x = own1 if len(own1) == len(own2) else up1
-                most = most_apart(n1 + n2, part, whole)
-                near = n1 * whole >= n2 * part and x is not None and len(x) == len(own2)
-                keep.append(near and int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(own2, np.uint64)).sum()) <= most)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            far = []
+            for n, x, m, y in zip(*(batch.column(c).to_pylist() for c in ("n1", "x", "n2", "y"))):
+                if x is None or len(x) != len(y):
+                    # bands that are not next to each other: the difference is at least that of the sizes
+                    apart = abs(n - m)
+                else:
+                    apart = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum())
+                apart = max(apart, abs(n - m))
+                far.append(0 if apart <= most_apart(n + m, part, whole) else 1 if apart <= most_apart(n + m, max(1, 2 * part - whole), whole) else 2)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far, pa.int32())], ["a", "b", "far"])
+
+    return run
+
+
+def _block(part: int, whole: int):
+    """Pairs of a query and a member whose sketches allow a link; a block of sketches is compared with one query at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                queries, against = one.column("queries").to_pylist()[0], one.column("against").to_pylist()[0]
+                tables: dict[tuple[str, int], tuple] = {}
+                for side in ("own", "up"):
+                    for x in against:
+                        if x[side] is not None:
+                            tables.setdefault((side, len(x[side])), []).append((x["cls"], x["n"], x[side], x["root"]))
+                tables = {k: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.frombuffer(b"".join(x[2] for x in v), np.uint64).reshape(len(v), -1), np.array([x[3] for x in v])) for k, v in tables.items()}
+                found = []
+                for q in queries:
+                    for mine, side in (("own", "own"), ("up", "own"), ("own", "up")):
+                        if q[mine] is None or (side, len(q[mine])) not in tables:
+                            continue
+                        cls, n, bits, root = tables[side, len(q[mine])]
+                        apart = np.bitwise_count(bits ^ np.frombuffer(q[mine], np.uint64)).sum(axis=1, dtype=np.int64)
+                        most = (n + q["n"]) * (whole - part) // (whole + part)
+                        for c in cls[(apart <= most) & (np.abs(n - q["n"]) <= most) & (root != q["root"])].tolist():
+                            found.append((min(c, q["cls"]), max(c, q["cls"])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
     return run
 
@@ -245,28 +283,36 @@ class Join:
         )
 
     def buckets(self) -> DataFrame:
-        """(key, cls, leader) of the blocks that two classes or more send."""
+        """(key, cls, degree) of the blocks that two classes or more send; degree counts a class's company over all blocks."""
         heavy = self.spark.sparkContext.broadcast([tuple(r) for r in self.heavy.collect()])
         keys = self.texts.select("text").mapInArrow(_send(heavy, *self.shape), "key long, cls long")
         same = Window.partitionBy("key")
-        keys = keys.withColumns({"leader": F.min("cls").over(same), "last": F.max("cls").over(same)}).where("leader < last")
-        found = materialize(keys.select("key", "cls", "leader").dropDuplicates(["key", "cls"]), "buckets")
+        keys = keys.withColumns({"first": F.min("cls").over(same), "last": F.max("cls").over(same)}).where("first < last")
+        found = materialize(keys.select("key", "cls").dropDuplicates(["key", "cls"]), "buckets")
         _release(found)
-        # blocks with the same members say the same: one of them is enough
-        members = found.groupBy("key").agg(F.bit_xor(F.xxhash64("cls")).alias("x"), F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"))
-        one = members.groupBy("x", "c", "s").agg(F.min("key").alias("key"))
-        return materialize(found.join(one.select("key"), "key", "left_semi"), "buckets")
+        sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        degree = found.join(sizes, "key").groupBy("cls").agg(F.sum("size").alias("degree"))
+        return materialize(one_of_equal(found).join(materialize(degree, "degrees"), "cls"), "buckets")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that are similar: by sketch first, then by the sets of their texts."""
+    def judge(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) of classes with far: 0 similar, 2 surely too far apart for links of one to reach the other, else 1."""
         side = lambda i: self.classes.select(*[F.col(c).alias(f"{c}{i}") for c in ("cls", "n", "own", "up")])
-        near = pairs.join(side(2), F.col("b") == F.col("cls2")).join(side(1), F.col("a") == F.col("cls1"))
-        near = materialize(near.select("a", "b", "n1", "own1", "up1", "n2", "own2", "up2").mapInArrow(_near(*self.shape[1:]), "a long, b long"), "near")
-        if near.isEmpty():
-            return near
+        both = pairs.join(side(2), F.col("b") == F.col("cls2")).join(side(1), F.col("a") == F.col("cls1"))
+        same = F.length("own1") == F.length("own2")
+        x = F.when(same | (F.col("n1") > F.col("n2")), F.col("own1")).otherwise(F.col("up1"))
+        y = F.when(same | (F.col("n1") <= F.col("n2")), F.col("own2")).otherwise(F.col("up2"))
+        seen = materialize(both.select("a", "b", "n1", x.alias("x"), "n2", y.alias("y")).mapInArrow(_near(*self.shape[1:]), "a long, b long, far int"), "near")
+        links = self.confirm(seen.where("far = 0").select("a", "b"))
+        far = F.when(F.col("far") > 0, F.col("far")).when(F.col("linked"), F.lit(0)).otherwise(F.lit(1))
+        return seen.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", far.alias("far"))
+
+    def confirm(self, near: DataFrame) -> DataFrame:
+        """The pairs whose texts have similar sets."""
         # texts that are needed: one row per class, whatever number of pairs it is in
         used = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
-        used = used.join(self.classes.select("cls", "rep", "n"), "cls")
+        used = materialize(used.join(self.classes.select("cls", "rep"), "cls"), "used")
+        if used.isEmpty():
+            return near
         found = self.texts.join(used.select("rep"), F.col("id").eqNullSafe(F.col("rep")), "left_semi").mapInArrow(_classed(self.shape[0]), "cls long, text binary")
         found = materialize(found.join(used.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text")), "texts")
         _release(found)
@@ -275,30 +321,65 @@ class Join:
         _release(links)
         return links
 
+    def between(self, open_: DataFrame, roots: DataFrame) -> DataFrame:
+        """Near pairs (a, b) across components that share an open block, by comparing all their members' sketches in blocks."""
+        members = self.classes.select("cls", "n", "own", "up").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        sizes = open_.select("root").distinct().join(members.select("root"), "root").groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        sizes = materialize(sizes, "root-sizes")
+        # in each block the largest component meets the members of the others; then those meet each other
+        rows = open_.select("key", "cls", "root").join(sizes, "root")
+        lead = rows.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("large"))
+        rest = materialize(rows.join(lead, "key").where("root <> large"), "rest")
+        row = F.struct("cls", "n", "own", "up", "root")
+        facing = rest.select(F.col("large").alias("g"), "root").distinct().join(members, "root").select("g", row.alias("x"))
+        ahead = rest.select(F.col("large").alias("g")).distinct().join(members, F.col("g") == F.col("root")).select("g", row.alias("x"))
+        among = one_of_equal(rest.select("key", "cls")).join(members, "cls").select(F.xxhash64("key", F.lit("rest")).alias("g"), row.alias("x"))
+
+        def packed(rows: DataFrame, name: str) -> DataFrame:
+            count = rows.groupBy("g").agg(F.count(F.lit(1)).alias("count"))
+            rows = rows.join(count, "g").withColumn("pack", F.expr(f"pmod(xxhash64(x.cls), cast(ceil(count / {PACK}) as int))"))
+            return rows.groupBy("g", "pack").agg(F.collect_list("x").alias(name)).drop("pack")
+
+        both = packed(facing.union(among), "queries").join(packed(ahead.union(among), "against"), "g")
+        return both.select("queries", "against").mapInArrow(_block(*self.shape[1:]), "a long, b long").distinct()
+
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(docs with n and cls, root of each class that has a link)."""
-        buckets = self.buckets()
-        first = buckets.where("cls <> leader").groupBy(F.col("cls").alias("b")).agg(F.min("leader").alias("a"))
-        links = self.links(first.select("a", "b"))
-        done = first.select("a", "b")
-        for last in (False, True):
-            roots = components(links, "a", "b")
-            open_ = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-            span = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            open_ = materialize(open_.join(span, "key", "left_semi"), "open")
-            if last:
-                left, right = (open_.select("key", F.col("cls").alias(c), F.col("root").alias(r)) for c, r in (("a", "ra"), ("b", "rb")))
-                pairs = left.join(right, "key").where("a < b and ra <> rb")
-            else:
-                pairs = open_.withColumn("lead_root", F.min(F.when(F.col("cls") == F.col("leader"), F.col("root"))).over(Window.partitionBy("key")))
-                pairs = pairs.where("root <> lead_root").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
-            pairs = materialize(pairs.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-            if pairs.isEmpty():
-                continue
-            more = self.links(pairs)
-            links, done = links.union(more), done.union(pairs)
+        open_ = self.buckets()
+        judged = self.spark.createDataFrame([], "a long, b long, far int")
+        for nth in range(ROUNDS):
+            lead = open_.groupBy("key").agg(F.max(F.struct("degree", "cls"))["cls"].alias("leader"))
+            rows = materialize(open_.join(lead, "key").where("cls <> leader").withColumns({"a": F.least("cls", "leader"), "b": F.greatest("cls", "leader")}), "led")
+            new = materialize(rows.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"), "pairs")
+            judged = materialize(judged.unionByName(self.judge(new)), "judged")
+            roots = self.roots(judged)
+            rows = rows.join(judged, ["a", "b"]).select("key", "cls", "degree", "far")
+            # the near meet those in between, those in between meet the far; each part is a block of the next round
+            side = F.explode(F.when(F.col("far") == 1, F.array(F.lit(0), F.lit(2))).otherwise(F.array("far")))
+            rows = rows.select(F.col("key").alias("old"), "cls", "degree", side.alias("side"))
+            rows = rows.select(F.xxhash64("old", "side", F.lit(nth)).alias("key"), "cls", "degree")
+            open_ = self.still_open(rows, roots)
+            if open_.isEmpty():
+                return self.docs, roots
+        near = materialize(self.between(open_, roots).join(judged, ["a", "b"], "left_anti"), "near")
+        links = judged.where("far = 0").select("a", "b").union(self.confirm(near))
         return self.docs, components(links, "a", "b")
 
+    def roots(self, judged: DataFrame) -> DataFrame:
+        return components(judged.where("far = 0"), "a", "b")
+
+    def still_open(self, rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Blocks whose classes are not all connected, with roots; of blocks with equal members one."""
+        rows = materialize(rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "members")
+        span = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        return materialize(one_of_equal(rows.join(span, "key", "left_semi")), "open")
+
+
+def one_of_equal(rows: DataFrame) -> DataFrame:
+    """The rows of one key of each set of keys that have the same classes."""
+    members = rows.groupBy("key").agg(F.bit_xor(F.xxhash64("cls")).alias("x"), F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"))
+    return rows.join(members.groupBy("x", "c", "s").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
 
 def _classed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
