@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from trackloom.plans import evaluation, geometry, tracks
+
+MODULES = (tracks, evaluation, geometry)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracles() -> dict:
-    return {}
+    return {k: s for m in MODULES for k, s in m.ORACLES.items()}
