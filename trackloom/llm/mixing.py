@@ -47,7 +47,7 @@ def blocks(docs: DataFrame, block_words: int, seed: int) -> DataFrame:
 
     Running sums go over buckets of the shuffle order first and inside a bucket then, so no window holds a whole source.
     """
-    d = docs.where("size > 0").withColumn("order", F.xxhash64(F.lit(seed), "id", "row"))
+    d = docs.where("size > 0").withColumn("order", F.xxhash64(F.lit(seed), F.coalesce("id", "row"), F.col("id").isNull()))
     count = docs.count()
     bits = max(0, (count // 4_096).bit_length())
     d = d.withColumn("bucket", F.shiftrightunsigned("order", 64 - bits) if bits else F.lit(0).cast("long"))
@@ -127,7 +127,7 @@ def mix(
     A source's pieces add up to its rounded target, a document's to max_epochs times its size at most.
     Null text has size 0 and is never taken; a null source is a source of its own and sorts last; repeated rows are
     documents of their own; no rows give empty tables. The result depends on rows and seed only, not on partitions,
-    but for the order among rows that are equal in id.
+    but for the order among rows that share an id or have none.
     """
     rows = materialize(sized(docs, id_col, text_col, source_col), "sized")
     sizes = rows.groupBy("source", "key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
