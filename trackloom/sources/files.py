@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-DETECTION = T.StructType.fromDDL("wall_time_utc timestamp, callsign string, transponder_id string, score double, pixel_line array<double>, method string, num_long_lines int, aligned_lines int, contrail_length_px double, contrail_length_grown_px double, contrail_length_m double")
-CLOCK = T.StructType.fromDDL("frame_idx int, wall_time_utc timestamp, confidence double, method string, ocr_status string, tracker_status string")
-TRAJECTORY = T.StructType.fromDDL("callsign string, transponder_id string, aircraft_type string, orig string, dest string, points array<struct<time:timestamp,lat:double,lon:double,alt_ft:double,alt_gnss_ft:double>>")
+DETECTION = "wall_time_utc timestamp, callsign string, transponder_id string, score double, pixel_line array<double>, method string, num_long_lines int, aligned_lines int, contrail_length_px double, contrail_length_grown_px double, contrail_length_m double"
+CLOCK = "frame_idx int, wall_time_utc timestamp, confidence double, method string, ocr_status string, tracker_status string"
+TRAJECTORY = "callsign string, transponder_id string, aircraft_type string, orig string, dest string, points array<struct<time:timestamp,lat:double,lon:double,alt_ft:double,alt_gnss_ft:double>>"
 
 
-def read_lines(spark: SparkSession, path: str, schema: T.StructType, tolerant: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
     """JSON lines by an explicit schema; tolerant leaves out malformed rows instead of failing on them."""
     if not tolerant:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(wide).json(path).where("_corrupt_record is null").drop("_corrupt_record")
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    rows = rows.select(F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    return rows.where("_corrupt_record is null").drop("_corrupt_record")
 
 
 def read_tracks(spark: SparkSession, path: str, since=None, until=None, box: tuple | None = None, least_ft: float | None = None) -> DataFrame:

@@ -11,9 +11,10 @@ def gap_sessions(stream: DataFrame, key: str, t: str, score: str, tie: str, thre
 
     session_window merges rows that are exactly a gap apart, as the batch form does; its own end is not used.
     """
-    kept = stream.where(F.col(score) >= threshold).withWatermark(t, late)
+    kind = dict(stream.dtypes)[t]  # a watermark needs TIMESTAMP
+    kept = stream.where(F.col(score) >= threshold).withColumn(t, F.col(t).cast("timestamp")).withWatermark(t, late)
     best = F.min_by(tie, F.struct(-F.col(score), t, tie))
-    out = kept.groupBy(key, F.session_window(t, f"{gap_s} seconds")).agg(F.min(t).alias("onset"), F.max(t).alias("end"), F.max(score).alias("peak_score"), best.alias("peak_id"), F.count(F.lit(1)).alias("frame_count"))
+    out = kept.groupBy(key, F.session_window(t, f"{gap_s} seconds")).agg(F.min(t).cast(kind).alias("onset"), F.max(t).cast(kind).alias("end"), F.max(score).alias("peak_score"), best.alias("peak_id"), F.count(F.lit(1)).alias("frame_count"))
     return out.drop("session_window")
 
 
