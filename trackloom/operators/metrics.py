@@ -34,14 +34,14 @@ def auc(df: DataFrame, keys: list[str], positive: Column, score: str) -> DataFra
 
 
 def youden(df: DataFrame, keys: list[str], positive: Column, score: str) -> DataFrame:
-    """threshold and j: the lowest threshold with the largest tpr - fpr over midpoints and both ends."""
+    """threshold and j: the lowest threshold with the largest tpr - fpr over midpoints and both ends; NaN if a class is empty."""
     s = by_score(df, keys, positive, score)
     every, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("score")
     s = s.select("*", F.sum("p").over(every).alias("ps"), F.sum("n").over(every).alias("ns"), F.lag("score").over(order).alias("prev"), F.max("score").over(every).alias("top"))
     cut = F.when(F.col("prev").isNull(), F.col("score") - 1e-6).otherwise((F.col("prev") + F.col("score")) / 2)
     j = rate(F.col("ps") - F.col("p_below"), F.col("ps")) - rate(F.col("ns") - F.col("n_below"), F.col("ns"))
-    rows = s.select(*keys, cut.alias("threshold"), j.alias("j")).unionByName(s.where("score = top").select(*keys, (F.col("score") + 1e-6).alias("threshold"), F.lit(0.0).alias("j")))
-    return rows.groupBy(*keys).agg(F.min(F.struct((-F.col("j")).alias("nj"), "threshold")).alias("b")).select(*keys, F.col("b.threshold").alias("threshold"), (-F.col("b.nj")).alias("j"))
+    rows = s.select(*keys, cut.alias("threshold"), j.alias("j")).unionByName(s.where("score = top").select(*keys, (F.col("score") + 1e-6).alias("threshold"), (j * 0.0).alias("j")))
+    return rows.groupBy(*keys).agg(F.min(F.struct((-F.col("j")).alias("nj"), "threshold")).alias("b")).select(*keys, F.when(F.isnan("b.nj"), float("nan")).otherwise(F.col("b.threshold")).alias("threshold"), (-F.col("b.nj")).alias("j"))
 
 
 def histogram(df: DataFrame, value: Column, edges: list[float]) -> DataFrame:

@@ -72,14 +72,15 @@ def q_holdout(spark, sf_dir):
     card = rest.select("combo", "threshold", F.round(rate(F.col("tp"), F.col("tp") + F.col("fn")), 9).alias("recall"), F.round(rate(F.col("fp"), F.col("fp") + F.col("tn")), 9).alias("fpr"))
     base = card.where("combo = 3 and threshold = 0.5").select(F.col("recall").alias("recall0"), F.col("fpr").alias("fpr0"))
     out = card.join(F.broadcast(best), ["combo", "threshold"]).crossJoin(F.broadcast(base))
-    return out.withColumn("verdict", F.when((F.col("recall") >= F.col("recall0")) & (F.col("fpr") <= F.col("fpr0") + 0.02), "ship").otherwise("keep"))
+    return out.withColumn("verdict", F.when(~F.isnan(F.col("recall") + F.col("recall0") + F.col("fpr") + F.col("fpr0")) & (F.col("recall") >= F.col("recall0")) & (F.col("fpr") <= F.col("fpr0") + 0.02), "ship").otherwise("keep"))
 
 
 def q_go_gate(spark, sf_dir):
     """GO, INVESTIGATE or NO-GO per day by area and J."""
     a = metrics.auc(scored(spark, sf_dir), ["day"], F.col("pos"), "score").select("day", "auc")
     y = metrics.youden(scored(spark, sf_dir), ["day"], F.col("pos"), "score").select("day", "j")
-    gate = F.when((F.col("auc") >= 0.85) & (F.col("j") >= 0.6), "GO").when(F.col("auc") >= 0.75, "INVESTIGATE").otherwise("NO-GO")
+    # NaN is larger than any number, so it is asked for first
+    gate = F.when(F.isnan("auc") | F.isnan("j"), "NO-GO").when((F.col("auc") >= 0.85) & (F.col("j") >= 0.6), "GO").when(F.col("auc") >= 0.75, "INVESTIGATE").otherwise("NO-GO")
     return a.join(y, "day").select("day", gate.alias("gate"))
 
 
@@ -172,14 +173,14 @@ ORACLES = {
         count(*) FILTER (pos AND score < 0.5) AS fn, count(*) FILTER (NOT pos AND score < 0.5) AS tn FROM scored GROUP BY GROUPING SETS ((day), ()))
         SELECT *, round({_R.format(a="tp", b="tp + fn")}, 6) AS tpr, round({_R.format(a="fp", b="fp + tn")}, 6) AS fpr, round({_R.format(a="tp", b="tp + fp")}, 6) AS precision FROM c""",
     "q_outcome_review": f"WITH {SCORED} SELECT doc_id, CASE WHEN pos AND score >= 0.5 THEN 'HIT' WHEN pos THEN 'MISS' WHEN score >= 0.5 THEN 'FP' ELSE 'TN' END AS outcome, CASE WHEN pos AND score < 0.5 THEN 0 WHEN NOT pos AND score >= 0.5 THEN 1 WHEN pos THEN 2 ELSE 3 END AS rank, score FROM scored",
-    "q_auc": f"WITH {SCORED}, {_AUC} SELECT day, round(auc, 9) AS auc, count(*) FILTER (pos) AS n_pos, count(*) FILTER (NOT pos) AS n_neg FROM scored JOIN au USING (day) GROUP BY day, auc",
-    "q_youden": f"WITH {SCORED}, {_YOU} SELECT day, round(threshold, 7) AS threshold, round(j, 9) AS j FROM yo",
+    "q_auc": f"WITH {SCORED}, {_AUC} SELECT day, round(auc, 9) AS auc, count(*) FILTER (pos) AS n_pos, count(*) FILTER (NOT pos) AS n_neg FROM scored LEFT JOIN au USING (day) GROUP BY day, auc",
+    "q_youden": f"WITH {SCORED}, {_YOU} SELECT day, CASE WHEN NOT isnan(j) THEN round(threshold, 7) END AS threshold, round(j, 9) AS j FROM yo",
     "q_grid_sweep": f"WITH {SCORED}, {_SW}, s AS (SELECT CAST(combo AS INTEGER) AS combo, threshold, {_SUMS} FROM cf GROUP BY 1, 2) SELECT *, {_J} AS j FROM s",
     "q_holdout": f"""WITH {SCORED}, {_SW}, tu AS (SELECT combo, threshold, {_SUMS} FROM cf WHERE day IN ('en', 'de') GROUP BY 1, 2), be AS (SELECT combo, threshold FROM tu ORDER BY {_J} DESC, fp, combo, threshold LIMIT 1),
         re AS (SELECT combo, threshold, {_SUMS} FROM cf WHERE day NOT IN ('en', 'de') GROUP BY 1, 2), ca AS (SELECT combo, threshold, round({_R.format(a="tp", b="tp + fn")}, 9) AS recall, round({_R.format(a="fp", b="fp + tn")}, 9) AS fpr FROM re)
         SELECT CAST(c.combo AS INTEGER) AS combo, c.threshold, c.recall, c.fpr, d.recall AS recall0, d.fpr AS fpr0, CASE WHEN c.recall >= d.recall AND c.fpr <= d.fpr + 0.02 THEN 'ship' ELSE 'keep' END AS verdict
         FROM ca c JOIN be ON be.combo = c.combo AND be.threshold = c.threshold, ca d WHERE d.combo = 3 AND d.threshold = 0.5""",
-    "q_go_gate": f"WITH {SCORED}, {_AUC}, {_YOU} SELECT day, CASE WHEN auc >= 0.85 AND j >= 0.6 THEN 'GO' WHEN auc >= 0.75 THEN 'INVESTIGATE' ELSE 'NO-GO' END AS gate FROM au JOIN yo USING (day)",
+    "q_go_gate": f"WITH {SCORED}, {_AUC}, {_YOU} SELECT day, CASE WHEN auc >= 0.85 AND j >= 0.6 THEN 'GO' WHEN auc >= 0.75 THEN 'INVESTIGATE' ELSE 'NO-GO' END AS gate FROM (SELECT DISTINCT day FROM scored) LEFT JOIN au USING (day) LEFT JOIN yo USING (day)",
     "q_score_catalogue": f"WITH {DET}, d AS (SELECT *, event_id % 17 AS n FROM det), l AS ("
     + " UNION ALL ".join(f"SELECT event_type, '{k}' AS name, {v} AS s FROM d" for k, v in SCORES.items())
     + ") SELECT name, event_type, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.9), 6) AS p90, round(avg(CASE WHEN s >= 1 THEN 1e0 ELSE 0e0 END), 6) AS \"full\" FROM l GROUP BY 1, 2",
