@@ -5,7 +5,6 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +21,17 @@ OPEN, LEAST_CUT = 32, 32
 #: Partitions (then groups) whose leftovers one task merges.
 FAN_IN = 64
 CACHE = 400_000
+#: Marks that end a word, and where the letters end that every version of Unicode knows.
+MARKS, LATIN_END = "#*$%&|<>.,;:!?", "\u0250"
 _tokenizers: dict[str, Words] = {}
 
 
 class Words(dict):
-    """Token ids of a byte-level BPE, kept per chunk of text.
+    """Token ids of a byte-level BPE, as little-endian 32-bit bytes, kept per chunk of text.
 
     The pre-tokenizer of such a vocabulary always starts a new unit at a single space before a visible character, and around
-    a line feed between visible characters, so text may be cut there and each chunk's ids looked up.
+    a line feed between visible characters, so text may be cut there and each chunk's ids looked up. It also starts one where
+    a letter is followed by marks, so a chunk's marks at the end are looked up apart from its word.
     """
 
     def __init__(self, path: str):
@@ -37,48 +39,55 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.bpe = Tokenizer.from_file(path)
-        self.line = self.whole("\n")
         self.special = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
 
-    def whole(self, text: str) -> tuple:
-        return tuple(self.bpe.encode(text, add_special_tokens=False).ids)
+    def whole(self, text: str) -> bytes:
+        return np.array(self.bpe.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> tuple:
-        ids = self.whole(chunk)
+    def __missing__(self, chunk: str) -> bytes:
+        word = chunk.rstrip(MARKS)
+        if len(word) < len(chunk) and word and word[-1].isalpha() and word[-1] < LATIN_END:
+            ids = self[word] + self[chunk[len(word) :]]
+        else:
+            ids = self.whole(chunk)
         if len(self) < CACHE and len(chunk) < 64:
             self[chunk] = ids
         return ids
 
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
-            return np.array(self.whole(text), np.uint32)
-        lines = text.split("\n")
-        if len(lines) > 1 and not all(x and _visible(x[0]) and _visible(x[-1]) for x in lines):
-            lines = [text]
-        parts, get = [], self.__getitem__
-        for nth, line in enumerate(lines):
-            if nth:
-                parts.append(self.line)
-            first, *rest = line.split(" ")
-            if all(map(str.isalnum, (x[:1] for x in rest))) or all(x and _visible(x[0]) for x in rest):
-                parts.append(get(first) if first else ())
-                parts.extend(map(get, [" " + x for x in rest]))
-            else:
-                at = first
-                for x in rest:
-                    if x and _visible(x[0]):
-                        parts.append(get(at))
-                        at = " " + x
-                    else:
-                        at += " " + x
-                parts.append(get(at))
-        return np.fromiter(chain.from_iterable(parts), np.uint32)
+            return np.frombuffer(self.whole(text), "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, chunks(text))), "<u4")
 
 
 def _visible(c: str) -> bool:
     return not c.isspace() and c > "\x20"
 
 
+def chunks(text: str) -> list[str]:
+    """text cut where a unit always begins."""
+    spaced = f" {text} ".replace("\n", " ")
+    if "  " not in spaced and spaced.isprintable():
+        # only single spaces and line feeds between visible characters
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    lines = text.split("\n")
+    if len(lines) > 1 and not all(x and _visible(x[0]) and _visible(x[-1]) for x in lines):
+        lines = [text]
+    out = []
+    for nth, line in enumerate(lines):
+        if nth:
+            out.append("\n")
+        at, *rest = line.split(" ")
+        for x in rest:
+            if x and _visible(x[0]):
+                out.append(at)
+                at = " " + x
+            else:
+                at += " " + x
+        out.append(at)
+    return out
+
+
 def tokenizer(path: str) -> Words:
     """One per Python worker; path is a file on every executor."""
     if path not in _tokenizers:
