@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ SPACE = r"[\x20\x09-\x0D]"
 OWN_FOLDER = "/tmp/checkpoints/trackloom"
 #: A key is hot when it has at least 1 / HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 10_000
+#: Edges of which one task finds the components in its memory.
+FOREST_EDGES = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,25 +69,50 @@ def _fold(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, least node that it is connected with here) for each FOREST_EDGES edges or less: same components, no cycles."""
+
+    def stars(parent: dict[int, int]) -> pa.RecordBatch:
+        rows = [(x, y) for x in parent if (y := top(parent, x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    def top(parent: dict[int, int], x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = parent[y]
+            x = y
+        return x
+
+    parent, n = {}, 0
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns)):
+            x, y = top(parent, u), top(parent, v)
+            parent[max(x, y)] = min(x, y)
+            n += 1
+            if n >= FOREST_EDGES:
+                yield stars(parent)
+                parent, n = {}, 0
+    yield stars(parent)
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of the undirected links: root is the smallest node of its component.
 
-    Alternating large-star and small-star rounds; every round is cut by a written table, nothing goes to the driver
-    but a count and a checksum. Repeated links and loops change nothing; no links give no rows.
+    Each task first reduces its edges to a forest. Up to FOREST_EDGES edges that is the whole job, in one task of bounded size.
+    Beyond, alternating large-star and small-star rounds follow; every round is cut by a written table, nothing goes to the
+    driver but a count and a checksum. Repeated links and loops change nothing; no links give no rows.
     """
-    edges = materialize(
-        links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
-    )
-    seen = _fold(edges)
-    while seen[0]:
+    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    few = (n := edges.count()) <= FOREST_EDGES
+    edges = edges.coalesce(1) if few else edges.repartition(-(-n // FOREST_EDGES), "v")
+    edges = materialize(edges.mapInArrow(_forest, "u long, v long"), "edges")
+    seen = None
+    while not few and (now := _fold(edges)) != seen:
+        seen = now
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(least).where("u <> v").distinct(), "edges")
-        if (now := _fold(edges)) == seen:
-            break
-        seen = now
     root = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return root.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))

@@ -36,8 +36,8 @@ HEAVY_BITS = 20
 HEAVY_BUCKETS = 65_536
 #: Rounds of comparison with leaders before components that still share an open block are compared member by member.
 ROUNDS = 2
-#: Members of a component whose sketches one row holds for that.
-PACK = 2_048
+#: Bytes of sketches that one row holds for that.
+PACK = 2_000_000
 CACHE = 400_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S = tuple(np.uint64(x) for x in (30, 27, 31, 32, 44))
@@ -226,15 +226,21 @@ def _block(part: int, whole: int):
                         if x[side] is not None:
                             tables.setdefault((side, len(x[side])), []).append((x["cls"], x["n"], x[side], x["root"]))
                 tables = {k: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.frombuffer(b"".join(x[2] for x in v), np.uint64).reshape(len(v), -1), np.array([x[3] for x in v])) for k, v in tables.items()}
+                # the first quarter of two sketches already rejects most pairs
+                heads = {k: np.ascontiguousarray(v[2][:, : max(1, v[2].shape[1] // 4)]) for k, v in tables.items()}
                 found = []
                 for q in queries:
                     for mine, side in (("own", "own"), ("up", "own"), ("own", "up")):
                         if q[mine] is None or (side, len(q[mine])) not in tables:
                             continue
-                        cls, n, bits, root = tables[side, len(q[mine])]
-                        apart = np.bitwise_count(bits ^ np.frombuffer(q[mine], np.uint64)).sum(axis=1, dtype=np.int64)
+                        kind = side, len(q[mine])
+                        cls, n, bits, root = tables[kind]
+                        sketch_ = np.frombuffer(q[mine], np.uint64)
                         most = (n + q["n"]) * (whole - part) // (whole + part)
-                        for c in cls[(apart <= most) & (np.abs(n - q["n"]) <= most) & (root != q["root"])].tolist():
+                        apart = np.bitwise_count(heads[kind] ^ sketch_[: heads[kind].shape[1]]).sum(axis=1, dtype=np.int64)
+                        left = np.flatnonzero((apart <= most) & (np.abs(n - q["n"]) <= most) & (root != q["root"]))
+                        apart = np.bitwise_count(bits[left] ^ sketch_).sum(axis=1, dtype=np.int64)
+                        for c in cls[left[apart <= most[left]]].tolist():
                             found.append((min(c, q["cls"]), max(c, q["cls"])))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
@@ -333,11 +339,13 @@ class Join:
         row = F.struct("cls", "n", "own", "up", "root")
         facing = rest.select(F.col("large").alias("g"), "root").distinct().join(members, "root").select("g", row.alias("x"))
         ahead = rest.select(F.col("large").alias("g")).distinct().join(members, F.col("g") == F.col("root")).select("g", row.alias("x"))
-        among = one_of_equal(rest.select("key", "cls")).join(members, "cls").select(F.xxhash64("key", F.lit("rest")).alias("g"), row.alias("x"))
+        mixed = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        among = one_of_equal(rest.join(mixed, "key", "left_semi").select("key", "cls")).join(members, "cls").select(F.xxhash64("key", F.lit("rest")).alias("g"), row.alias("x"))
 
         def packed(rows: DataFrame, name: str) -> DataFrame:
-            count = rows.groupBy("g").agg(F.count(F.lit(1)).alias("count"))
-            rows = rows.join(count, "g").withColumn("pack", F.expr(f"pmod(xxhash64(x.cls), cast(ceil(count / {PACK}) as int))"))
+            weight = F.length("x.own") + F.coalesce(F.length("x.up"), F.lit(0))
+            total = rows.groupBy("g").agg(F.sum(weight).alias("bytes"))
+            rows = rows.join(total, "g").withColumn("pack", F.expr(f"pmod(xxhash64(x.cls), cast(ceil(bytes / {PACK}) as int))"))
             return rows.groupBy("g", "pack").agg(F.collect_list("x").alias(name)).drop("pack")
 
         both = packed(facing.union(among), "queries").join(packed(ahead.union(among), "against"), "g")
