@@ -339,17 +339,25 @@ class Join:
         row = F.struct("cls", "n", "own", "up", "root")
         facing = rest.select(F.col("large").alias("g"), "root").distinct().join(members, "root").select("g", row.alias("x"))
         ahead = rest.select(F.col("large").alias("g")).distinct().join(members, F.col("g") == F.col("root")).select("g", row.alias("x"))
-        mixed = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        among = one_of_equal(rest.join(mixed, "key", "left_semi").select("key", "cls")).join(members, "cls").select(F.xxhash64("key", F.lit("rest")).alias("g"), row.alias("x"))
+        # blocks of others with the same least class mostly overlap: together they are one group, which ships a sketch once
+        mixed = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("cls").alias("g")).where("lo < hi").select("key", "g")
+        among = rest.join(mixed, "key").select("g", "cls").distinct()
+        among = materialize(among, "among")
+        weight = lambda x: F.length(f"{x}own") + F.coalesce(F.length(f"{x}up"), F.lit(0))
+        total = among.join(members.select("cls", weight("").alias("weight")), "cls").groupBy("g").agg(F.sum("weight").alias("bytes"))
+        among = materialize(among.join(total, "g"), "among")
+        # a group that fits one row meets itself there; the sketches of others are dealt into packs that meet each other
+        small = among.where(F.col("bytes") <= PACK).join(members, "cls").groupBy("g").agg(F.collect_list(row).alias("x")).select(F.col("x").alias("queries"), F.col("x").alias("against"))
+        among = among.where(F.col("bytes") > PACK).join(members, "cls").select("g", row.alias("x"))
 
         def packed(rows: DataFrame, name: str) -> DataFrame:
-            weight = F.length("x.own") + F.coalesce(F.length("x.up"), F.lit(0))
-            total = rows.groupBy("g").agg(F.sum(weight).alias("bytes"))
+            total = rows.groupBy("g").agg(F.sum(weight("x.")).alias("bytes"))
             rows = rows.join(total, "g").withColumn("pack", F.expr(f"pmod(xxhash64(x.cls), cast(ceil(bytes / {PACK}) as int))"))
             return rows.groupBy("g", "pack").agg(F.collect_list("x").alias(name)).drop("pack")
 
+        among = among.select(F.xxhash64("g", F.lit("rest")).alias("g"), "x")
         both = packed(facing.union(among), "queries").join(packed(ahead.union(among), "against"), "g")
-        return both.select("queries", "against").mapInArrow(_block(*self.shape[1:]), "a long, b long").distinct()
+        return both.select("queries", "against").union(small).mapInArrow(_block(*self.shape[1:]), "a long, b long").distinct()
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(docs with n and cls, root of each class that has a link)."""
