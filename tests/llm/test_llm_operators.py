@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, exact_dedup, jaccard_join, line_rules, mixing, packing, pseudonyms, secrets, url_rules, warc_zip
+from trackloom.llm import chat, common, exact_dedup, jaccard_join, line_rules, mixing, packing, pseudonyms, secrets, url_rules, warc_zip
 from trackloom.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, digest string, key string"
@@ -325,3 +325,20 @@ def test_zip_directories(wide):
     assert data[warc_zip.begins(f, members[1]) :][:999] == b"x" * 999
     with pytest.raises(ValueError):
         warc_zip.directory(io.BytesIO(b"no archive"))
+
+
+@pytest.mark.parametrize("edges_per_task", [10_000, 300])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, edges_per_task):
+    monkeypatch.setattr(common, "FOREST_EDGES", edges_per_task)
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(400)] + [(10_000 + r.randrange(900), 10_000 + r.randrange(900)) for _ in range(600)] + [(20_000, i) for i in range(20_001, 20_500)] + [(5, 5), (1, 0)]
+    root = {x: x for pair in links for x in pair}
+    changed = True
+    while changed:
+        changed = False
+        for x, y in links:
+            if root[x] != root[y]:
+                root[x] = root[y] = min(root[x], root[y])
+                changed = True
+    got = common.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    assert sorted(map(tuple, got)) == sorted((x, y) for x, y in root.items() if any(x in p and p[0] != p[1] for p in links))
