@@ -212,6 +212,19 @@ def test_mixing(docs):
     assert mixed.columns == docs.columns and mixed.count() > 0
 
 
+def test_schedule_gives_small_sources_their_slots(spark):
+    """Sources of 1 to 3 blocks between large ones, at many places of the unit interval."""
+    need = {f"={i:03d}": 1 + i % 3 if i % 4 else 5_000 for i in range(80)}
+    assert sum(need.values()) > 100_000
+    plan = spark.createDataFrame([(k, 64 * n, 64.0 * n, n) for k, n in need.items()], "key string, source_size long, target double, need long")
+    got = mixing.schedule(spark, plan, 64).collect()
+    assert len({r["slot"] for r in got}) == len(got)
+    blocks = {}
+    for r in got:
+        blocks.setdefault(r["key"], []).append(r["block"])
+    assert {k: sorted(v) for k, v in blocks.items()} == {k: list(range(n)) for k, n in need.items()}
+
+
 def spans(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):

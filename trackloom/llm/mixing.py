@@ -69,6 +69,7 @@ def schedule(spark, plan: DataFrame, block_words: int) -> DataFrame:
 
     plan has (key, source_size, target, need), need being the slots that reach the target. Slot t of a source's rank r
     takes block r modulo its number of blocks; a slot past the target is left out, and limit is where the last one ends.
+    A source that the points meet less than need times gets its missing ranks as further slots behind all points.
     """
     n = plan.agg(F.sum("need"), F.count(F.lit(1))).first()
     if not n[0]:
@@ -88,11 +89,15 @@ def schedule(spark, plan: DataFrame, block_words: int) -> DataFrame:
     placed = points.join(F.broadcast(p), hit).select("slot", "key", "source_size", "target")
     # rank per source: counts of chunks of slots first, then the rank inside a chunk
     placed = placed.withColumn("chunk", F.shiftright("slot", 12))
-    counts = placed.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(placed.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n")), "slot-counts")
+    short = plan.join(counts.groupBy("key").agg(F.sum("n").alias("have")), "key", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    short = short.where("need > have").withColumn("before", F.sum(F.col("need") - F.col("have")).over(up_to) - F.col("need"))
+    short = short.withColumn("rank", F.explode(F.sequence("have", F.col("need") - 1)))
+    short = short.select((F.lit(slots) + F.col("before") + F.col("rank")).alias("slot"), "key", "source_size", "target", "rank")
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("key", "chunk").orderBy("slot")
     r = placed.withColumn("own", F.row_number().over(inside) - 1).join(counts.select("key", "chunk", "base"), ["key", "chunk"])
-    r = r.withColumn("rank", F.col("base") + F.col("own"))
+    r = r.select("slot", "key", "source_size", "target", (F.col("base") + F.col("own")).alias("rank")).unionByName(short)
     per = F.ceil(F.col("source_size") / F.lit(block_words))
     r = r.withColumn("epoch", F.floor(F.col("rank") / per)).withColumn("block", F.col("rank") - F.col("epoch") * per)
     begin = F.col("epoch") * F.col("source_size") + F.col("block") * block_words
