@@ -261,6 +261,19 @@ def test_grammar_on_held_out_values():
     assert np.mean([scorer.is_secret(plain()) for _ in range(200)]) < 0.05
 
 
+def test_credential_behind_an_ordinary_head():
+    r = random.Random(8)
+    make = lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    plain = lambda n: "/".join(prose(1, r.random()) for _ in range(n)) + str(r.randint(1, 99))
+    scorer = secrets.Scorer([("access", make()) for _ in range(200)] + [("", plain(5)) for _ in range(200)])
+    for n in (10, 30, 3_000):
+        head, key = plain(n), "ASIA" + make()[4:]
+        assert scorer.secrets(head + "/") == []
+        (start, end), *more = scorer.secrets(head + "/" + key + "/" + plain(5))
+        assert not more and abs(start - len(head) - 1) <= 6 and abs(end - len(head) - 21) <= 6
+    assert scorer.is_secret(make()) and not scorer.is_secret(make() + plain(40))
+
+
 def test_pseudonyms(spark):
     rows = ["card 4111 1111 1111 1111, again 4111 1111 1111 1111", "4111111111111112 fails", "call +1 (415) 555-2671 or 10.0.0.1", "born 1984-02-29, not 1985-02-29", "a.b9@mail.example.com", None, "", "x" * 20_000 + " 078-05-1120"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")

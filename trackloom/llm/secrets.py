@@ -2,7 +2,8 @@
 
 Credentials that the fixed patterns label are turned into prefix trees over character classes; statistically compatible
 states are merged (Hoeffding bounds, red-blue order) into probabilistic automata, one per label and one for ordinary
-tokens. Every other candidate token is scored by its format's likelihood against the ordinary one.
+tokens. Every other candidate token is scored by its format's likelihood against the ordinary one: whole, and, if it is long
+and not accepted whole, in every window that is as long as a labelled value.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +29,18 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "api")
 #: Candidates: runs of credential characters, this long or longer, with the digit inside that words lack.
 CANDIDATE, DIGIT = re.compile(r"[A-Za-z0-9+/_=-]{16,}"), re.compile("[0-9]")
-#: Labelled values per automaton, chosen by hash order over all documents, and the part of a value that is read.
+#: Labelled values per automaton, chosen by hash order over all documents, and the part of a value that automata are fitted on.
 TRAIN_VALUES, READ_CHARS = 400, 64
 #: Bits per character by which a format must beat ordinary tokens, and by which it may fall short of its weakest label.
 MARGIN, SLACK = 0.5, 0.25
+#: Bits in all by which a format must beat ordinary tokens; a window, one of n, must do so by log2(n) more.
+EVIDENCE = 8.5
+#: Runs longer than this are scored in windows too, so many starts at a time.
+LONG, STARTS = 16, 65_536
+#: Character classes as numbers.
+SYMBOLS = "xlUd+/_=-."
+_CLASS = {ord(c): "x" if "a" <= c <= "f" else "l" if c.islower() else "U" if c.isupper() else "d" for c in "".join(map(chr, range(128))) if c.isalnum()}
+_CODE = np.array([max(0, SYMBOLS.find(chr(i))) for i in range(128)])
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -54,7 +64,7 @@ def _value(text: str, span: tuple[int, int, int]) -> str:
 
 def classes(value: str) -> str:
     """A value over character classes: hexadecimal letters, other lower case, upper case, digits, and marks as they are."""
-    return "".join("x" if "a" <= c <= "f" else "l" if c.islower() else "U" if c.isupper() else "d" if c.isdigit() else c for c in value[:READ_CHARS])
+    return value.translate(_CLASS)
 
 
 class Automaton:
@@ -147,6 +157,12 @@ class Automaton:
             sum_ += p
         return (sum_ + self.states[at][1]) / (len(word) + 1)
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log2 likelihood and next state by state and symbol, log2 likelihood of the end by state."""
+        bits = np.array([[step.get(c, (unseen, 0))[0] for c in SYMBOLS] for step, _, unseen in self.states])
+        to = np.array([[step.get(c, (unseen, 0))[1] for c in SYMBOLS] for step, _, unseen in self.states])
+        return bits, to, np.array([end for _, end, _ in self.states])
+
 
 class Scorer:
     """Formats against ordinary tokens. labelled has (kind, value); kind "" is ordinary."""
@@ -158,17 +174,55 @@ class Scorer:
         self.formats = {k: Automaton(v) for k, v in by.items() if k and len(v) >= 8}
         self.ordinary = Automaton(by.get("", []) or ["llllllll"])
         self.least = {k: min(a.bits(w) for w in by[k]) - SLACK for k, a in self.formats.items()}
-        self.known: dict[str, bool] = {}
+        self.lengths = {k: (min(map(len, by[k])), max(map(len, by[k]))) for k in self.formats}
+        self.tables = {k: a.tables() for k, a in [("", self.ordinary), *self.formats.items()]}
+        self.known: dict[str, list[tuple[int, int]]] = {}
 
     def is_secret(self, value: str) -> bool:
+        """Whether a format accepts the whole value."""
+        word = classes(value)
+        plain = self.ordinary.bits(word)
+        least = plain + max(MARGIN, EVIDENCE / (len(word) + 1))
+        return any((b := a.bits(word)) >= self.least[k] and b >= least for k, a in self.formats.items())
+
+    def secrets(self, value: str) -> list[tuple[int, int]]:
+        """(start, end) of the secrets in a run: all of it, or the windows that a format accepts, joined where they overlap."""
         word = classes(value)
-        if word not in self.known:
-            plain = self.ordinary.bits(word)
-            hit = any((b := a.bits(word)) >= self.least[k] and b >= plain + MARGIN for k, a in self.formats.items())
+        if (out := self.known.get(word)) is None:
+            out = [(0, len(word))] if self.is_secret(value) else self._windows(word) if len(word) > LONG else []
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[word] = hit
-        return self.known[word]
+            if len(word) <= 256:
+                self.known[word] = out
+        return out
+
+    def _windows(self, word: str) -> list[tuple[int, int]]:
+        if not self.formats:
+            return []
+        n, most = len(word), max(hi for _, hi in self.lengths.values())
+        least = EVIDENCE + math.log2(n * sum(hi - lo + 1 for lo, hi in self.lengths.values()))
+        code = _CODE[np.frombuffer(word.encode("ascii"), np.uint8)]
+        inside = np.zeros(n + 1, np.int64)
+        for at in range(0, n, STARTS):
+            part = code[at : at + STARTS + most]
+            starts = min(STARTS, n - at)
+            run = {k: (np.zeros(starts, np.int64), np.zeros(starts)) for k in self.tables}
+            for t in range(min(most, len(part))):
+                m = min(starts, len(part) - t)
+                c, ends = part[t : t + m], {}
+                for k, (bits, to, end) in self.tables.items():
+                    state, sum_ = run[k]
+                    sum_ = sum_[:m] + bits[state[:m], c]
+                    state = to[state[:m], c]
+                    run[k] = state, sum_
+                    ends[k] = sum_ + end[state]
+                for k, (lo, hi) in self.lengths.items():
+                    if lo <= t + 1 <= hi:
+                        hit = np.flatnonzero((ends[k] >= self.least[k] * (t + 2)) & (ends[k] - ends[""] >= max(MARGIN * (t + 2), least)))
+                        inside[at + hit] += 1
+                        inside[at + hit + t + 1] -= 1
+        covered = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(inside) > 0, [0]))))
+        return [(int(s), int(e)) for s, e in zip(covered[::2], covered[1::2])]
 
 
 SCAN = pa.schema(
@@ -189,14 +243,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans = base_spans(text)
                 base.append([{"start": s, "kind": k, "end": e, "value": _value(text, (s, k, e))[:READ_CHARS]} for s, k, e in spans])
                 found = ((m.start(), m.end()) for m in CANDIDATE.finditer(text) if DIGIT.search(m[0]))
-                candidates.append([{"start": s, "end": e, "value": text[s : min(e, s + READ_CHARS)]} for s, e in found if not any(s < y and x < e for x, _, y in spans)])
+                candidates.append([{"start": s, "end": e, "value": text[s:e]} for s, e in found if not any(s < y and x < e for x, _, y in spans)])
             yield pa.RecordBatch.from_arrays([few.column("row"), few.column("id"), pa.array(base, SCAN.field(2).type), pa.array(candidates, SCAN.field(3).type)], schema=SCAN)
 
 
 def labelled_values(scan: DataFrame, most: int = TRAIN_VALUES) -> list[tuple[str, str]]:
     """At most `most` values per label in hash order: the fixed patterns label credentials, other candidates are ordinary."""
     base = scan.select(F.explode("base").alias("x")).select(F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.kind") + 1).alias("kind"), F.col("x.value").alias("value"))
-    rest = scan.select(F.lit("").alias("kind"), F.explode("candidates.value").alias("value"))
+    rest = scan.select(F.lit("").alias("kind"), F.explode("candidates.value").alias("value")).select("kind", F.substring("value", 1, READ_CHARS).alias("value"))
     both = materialize(base.union(rest).distinct(), "labelled")
     out = []
     for kind in ("", *KINDS[:3]):
@@ -213,7 +267,7 @@ def _score(labelled: list[tuple[str, str]]):
                 spans = [(x["start"], x["kind"], x["end"]) for x in row["base"]]
                 listed = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
                 counts = [sum(k == i for _, k, _ in spans) for i in range(3)]
-                spans += [(x["start"], 3, x["end"]) for x in row["candidates"] if scorer.is_secret(x["value"])]
+                spans += [(x["start"] + s, 3, x["start"] + e) for x in row["candidates"] for s, e in scorer.secrets(x["value"])]
                 every = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
                 rows.append((row["row"], row["id"], *counts, hashlib.sha256(listed.encode()).hexdigest(), every, len(spans) - sum(counts)))
             if rows:
@@ -228,8 +282,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_grammar: one row per row of docs.
 
     spans lists kind:start:end of the fixed patterns and of the candidates that the automata accept, by start and kind;
-    offsets are code points. The automata are fitted on at most train_values labelled values per kind; everything else covers
-    all texts whole. A kind with fewer than 8 labelled values gets no automaton. Null text is empty and has no spans; repeated
+    offsets are code points. The automata are fitted on the first READ_CHARS characters of at most train_values labelled values
+    per kind; everything else covers all texts and candidates whole. Of a candidate over LONG characters that is not accepted
+    whole, the accepted windows are listed. A kind with fewer than 8 labelled values gets no automaton. Null text is empty and has no spans; repeated
     rows get equal results; no rows give no rows; other columns of docs are not read.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
