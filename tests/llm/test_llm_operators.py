@@ -274,6 +274,22 @@ def test_credential_behind_an_ordinary_head():
     assert scorer.is_secret(make()) and not scorer.is_secret(make() + plain(40))
 
 
+def test_every_run_is_scored(spark):
+    """Short runs, runs without digits and runs that extend past a base span."""
+    r = random.Random(3)
+    make = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
+    rows = [f"{prose(30, i)} item-{i}-of-2024 token={make(12)}" for i in range(80)]
+    hexes = "0123456789abcdef01234567"
+    rows += [f"{prose(5, 900)} {make(12)} {prose(5, 901)}", f"see {hexes}{make(12)} there", f"see {make(12)}token=abcdef12 there"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["id"]: r for r in secrets.find_secrets(df).collect()}
+    assert not any(got[i]["n_grammar"] for i in range(80))
+    at = rows[80].index(next(w for w in rows[80].split() if w.isupper()))
+    assert got[80]["spans"] == f"grammar:{at}:{at + 12}"
+    assert got[81]["spans"] in ("hex:4:28,grammar:4:40", "hex:4:28,grammar:28:40")
+    assert got[82]["spans"] in ("grammar:4:30,assign:16:30", "grammar:4:16,assign:16:30")
+
+
 def test_pseudonyms(spark):
     rows = ["card 4111 1111 1111 1111, again 4111 1111 1111 1111", "4111111111111112 fails", "call +1 (415) 555-2671 or 10.0.0.1", "born 1984-02-29, not 1985-02-29", "a.b9@mail.example.com", None, "", "x" * 20_000 + " 078-05-1120"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")

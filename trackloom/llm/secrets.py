@@ -1,8 +1,8 @@
 """Secret scans by grammar inference.
 
 Credentials that the fixed patterns label are turned into prefix trees over character classes; statistically compatible
-states are merged (Hoeffding bounds, red-blue order) into probabilistic automata, one per label and one for ordinary
-tokens. Every other candidate token is scored by its format's likelihood against the ordinary one: whole, and, if it is long
+states are merged (Hoeffding bounds, red-blue order) into probabilistic automata, one per label and one each for ordinary
+words and for ordinary tokens with digits. Every other candidate token is scored by its format's likelihood against the ordinary one: whole, and, if it is long
 and not accepted whole, in every window that is as long as a labelled value.
 """
 
@@ -27,8 +27,11 @@ ASSIGN = re.compile(rf"""({_EITHER}|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "api")
-#: Candidates: runs of credential characters, this long or longer, with the digit inside that words lack.
-CANDIDATE, DIGIT = re.compile(r"[A-Za-z0-9+/_=-]{16,}"), re.compile("[0-9]")
+#: Candidates: runs of credential characters, as long as the shortest labelled value or longer. Ordinary ones are of kind
+#: WORD if they have no digit.
+SHORTEST = 6
+CANDIDATE, DIGIT = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"), re.compile("[0-9]")
+WORD = "word"
 #: Labelled values per automaton, chosen by hash order over all documents, and the part of a value that automata are fitted on.
 TRAIN_VALUES, READ_CHARS = 400, 64
 #: Bits per character by which a format must beat ordinary tokens, and by which it may fall short of its weakest label.
@@ -165,23 +168,23 @@ class Automaton:
 
 
 class Scorer:
-    """Formats against ordinary tokens. labelled has (kind, value); kind "" is ordinary."""
+    """Formats against ordinary tokens. labelled has (kind, value); kinds "" and WORD are ordinary."""
 
     def __init__(self, labelled: Iterable[tuple[str, str]]):
         by: dict[str, list[str]] = {}
         for kind, value in labelled:
             by.setdefault(kind, []).append(classes(value))
-        self.formats = {k: Automaton(v) for k, v in by.items() if k and len(v) >= 8}
-        self.ordinary = Automaton(by.get("", []) or ["llllllll"])
+        self.formats = {k: Automaton(v) for k, v in by.items() if k not in ("", WORD) and len(v) >= 8}
+        self.ordinary = [Automaton(by[k]) for k in ("", WORD) if k in by] or [Automaton(["llllllll"])]
         self.least = {k: min(a.bits(w) for w in by[k]) - SLACK for k, a in self.formats.items()}
         self.lengths = {k: (min(map(len, by[k])), max(map(len, by[k]))) for k in self.formats}
-        self.tables = {k: a.tables() for k, a in [("", self.ordinary), *self.formats.items()]}
+        self.tables = {k: a.tables() for k, a in [*enumerate(self.ordinary), *self.formats.items()]}
         self.known: dict[str, list[tuple[int, int]]] = {}
 
     def is_secret(self, value: str) -> bool:
         """Whether a format accepts the whole value."""
         word = classes(value)
-        plain = self.ordinary.bits(word)
+        plain = max(a.bits(word) for a in self.ordinary)
         least = plain + max(MARGIN, EVIDENCE / (len(word) + 1))
         return any((b := a.bits(word)) >= self.least[k] and b >= least for k, a in self.formats.items())
 
@@ -216,64 +219,92 @@ class Scorer:
                     state = to[state[:m], c]
                     run[k] = state, sum_
                     ends[k] = sum_ + end[state]
+                plain = np.max([ends[k] for k in range(len(self.ordinary))], axis=0)
                 for k, (lo, hi) in self.lengths.items():
                     if lo <= t + 1 <= hi:
-                        hit = np.flatnonzero((ends[k] >= self.least[k] * (t + 2)) & (ends[k] - ends[""] >= max(MARGIN * (t + 2), least)))
+                        hit = np.flatnonzero((ends[k] >= self.least[k] * (t + 2)) & (ends[k] - plain >= max(MARGIN * (t + 2), least)))
                         inside[at + hit] += 1
                         inside[at + hit + t + 1] -= 1
         covered = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(inside) > 0, [0]))))
         return [(int(s), int(e)) for s, e in zip(covered[::2], covered[1::2])]
 
 
-SCAN = pa.schema(
-    [
-        ("row", pa.int64()), ("id", pa.int64()), ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string())]))),
-        ("candidates", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))),
-    ]
-)
+def runs(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, rests) of the candidates that are not inside base spans; rests are the parts outside those, from SHORTEST on."""
+    at = 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while at < len(spans) and spans[at][1] <= start:
+            at += 1
+        rests, left, touched, i = [], start, False, at
+        while i < len(spans) and spans[i][0] < end:
+            rests.append((left, spans[i][0]))
+            left, touched, i = spans[i][1], True, i + 1
+        rests.append((left, end))
+        if any(s < e for s, e in rests):
+            yield start, end, [(s, e) for s, e in rests if e - s >= SHORTEST] if touched else [(start, end)]
+
+
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The base spans by start, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            few = batch.slice(at, 256)
-            base, candidates = [], []
-            for text in few.column("text").to_pylist():
-                text = text or ""
-                spans = base_spans(text)
-                base.append([{"start": s, "kind": k, "end": e, "value": _value(text, (s, k, e))[:READ_CHARS]} for s, k, e in spans])
-                found = ((m.start(), m.end()) for m in CANDIDATE.finditer(text) if DIGIT.search(m[0]))
-                candidates.append([{"start": s, "end": e, "value": text[s:e]} for s, e in found if not any(s < y and x < e for x, _, y in spans)])
-            yield pa.RecordBatch.from_arrays([few.column("row"), few.column("id"), pa.array(base, SCAN.field(2).type), pa.array(candidates, SCAN.field(3).type)], schema=SCAN)
-
-
-def labelled_values(scan: DataFrame, most: int = TRAIN_VALUES) -> list[tuple[str, str]]:
+        found, plain = set(), set()
+        for text in batch.column("text").to_pylist():
+            text = text or ""
+            spans = base_spans(text)
+            found.update((KINDS[span[1]], _value(text, span)[:READ_CHARS]) for span in spans)
+            if spans:
+                plain.update(text[s:e] for s, e, rests in runs(text, joined(spans)) if rests == [(s, e)])
+            else:
+                plain.update(CANDIDATE.findall(text))
+        cut = {v[:READ_CHARS] for v in plain}
+        rows = sorted(found) + sorted(("" if DIGIT.search(v) else WORD, v) for v in cut)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["kind", "value"])
+
+
+def labelled_values(rows: DataFrame, most: int = TRAIN_VALUES) -> list[tuple[str, str]]:
     """At most `most` values per label in hash order: the fixed patterns label credentials, other candidates are ordinary."""
-    base = scan.select(F.explode("base").alias("x")).select(F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.kind") + 1).alias("kind"), F.col("x.value").alias("value"))
-    rest = scan.select(F.lit("").alias("kind"), F.explode("candidates.value").alias("value")).select("kind", F.substring("value", 1, READ_CHARS).alias("value"))
-    both = materialize(base.union(rest).distinct(), "labelled")
+    both = materialize(rows.select("text").mapInArrow(_label, "kind string, value string").distinct(), "labelled")
     out = []
-    for kind in ("", *KINDS[:3]):
+    for kind in ("", WORD, *KINDS[:3]):
         out += [tuple(r) for r in both.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(most).collect()]
     return out
 
 
-def _score(labelled: list[tuple[str, str]]):
+def _score(scorer: Scorer):
+    def scan(text: str) -> tuple:
+        spans = base_spans(text)
+        listed = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        counts = [sum(k == i for _, k, _ in spans) for i in range(3)]
+        more = []
+        # without a base span a run's verdict depends on its value alone, so equal runs are judged once
+        found = scorer.formats and (spans or any(map(scorer.secrets, set(CANDIDATE.findall(text)))))
+        for start, end, rests in runs(text, joined(spans)) if found else ():
+            if rests != [(start, end)] and scorer.is_secret(text[start:end]):
+                more.append((start, 3, end))
+            else:
+                more += [(s + x, 3, s + y) for s, e in rests for x, y in scorer.secrets(text[s:e])]
+        every = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans + more))
+        return *counts, hashlib.sha256(listed.encode()).hexdigest(), every, len(more)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(labelled)
+        names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar"]
+        types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                spans = [(x["start"], x["kind"], x["end"]) for x in row["base"]]
-                listed = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-                counts = [sum(k == i for _, k, _ in spans) for i in range(3)]
-                spans += [(x["start"] + s, 3, x["start"] + e) for x in row["candidates"] for s, e in scorer.secrets(x["value"])]
-                every = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
-                rows.append((row["row"], row["id"], *counts, hashlib.sha256(listed.encode()).hexdigest(), every, len(spans) - sum(counts)))
-            if rows:
-                names = ["row", "id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar"]
-                types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            for at in range(0, batch.num_rows, 256):
+                few = batch.slice(at, 256)
+                rows = [scan(text or "") for text in few.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column("id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["id", *names])
 
     return run
 
@@ -284,11 +315,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans lists kind:start:end of the fixed patterns and of the candidates that the automata accept, by start and kind;
     offsets are code points. The automata are fitted on the first READ_CHARS characters of at most train_values labelled values
     per kind; everything else covers all texts and candidates whole. Of a candidate over LONG characters that is not accepted
-    whole, the accepted windows are listed. A kind with fewer than 8 labelled values gets no automaton. Null text is empty and has no spans; repeated
+    whole, the accepted windows are listed; of one that extends past base spans, all of it or its rests. docs is read twice. A kind with fewer than 8 labelled values gets no automaton. Null text is empty and has no spans; repeated
     rows get equal results; no rows give no rows; other columns of docs are not read.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ddl = "row long, id long, base array<struct<start:long,kind:int,end:long,value:string>>, candidates array<struct<start:long,end:long,value:string>>"
-    scan = materialize(rows.mapInArrow(_scan, ddl), "scan")
-    out = "row long, id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long"
-    return scan.mapInArrow(_score(labelled_values(scan, train_values)), out).drop("row")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long"
+    return rows.mapInArrow(_score(Scorer(labelled_values(rows, train_values))), out)
