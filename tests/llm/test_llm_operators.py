@@ -304,6 +304,19 @@ def test_pseudonyms(spark):
     assert digits.distinct().count() == 1000
 
 
+def test_pseudonyms_beside_other_digits(spark):
+    dates, ssn, card = ["2020-01-01", "2020-03-15"], "078-05-1120", "4111 1111 1111 1111"
+    rows = [f"{card} 12", "4111111111111111 123", " ".join(dates), f"{ssn} {dates[1]}", f"12 {dates[0]} 10.0.0.1", f"{dates[0]} 5a@b.com", f"x-{ssn}-", f"on {dates[0]}, {dates[1]}; {ssn}"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["id"]: r for r in pseudonyms.pseudonymize(df, "k").collect()}
+    kinds = [{"card": 1}, {"card": 1}, {"date": 2}, {"ssn": 1, "date": 1}, {"date": 1, "ip": 1}, {"date": 1, "email": 1}, {}, {"date": 2, "ssn": 1}]
+    for i, want in enumerate(kinds):
+        assert {k: got[i][f"n_{k}"] for k in pseudonyms.KINDS if got[i][f"n_{k}"]} == want, rows[i]
+    new = re.findall(r"[0-9-]+", got[7]["text"])
+    assert got[2]["text"] == f"{new[0]} {new[1]}" and got[3]["text"] == f"{new[2]} {new[1]}" and got[6]["text"] == rows[6]
+    assert got[0]["text"].endswith(" 12") and not got[0]["text"].startswith(card) and got[1]["text"].endswith(" 123")
+
+
 def test_chat_roles(spark):
     r = random.Random(6)
 

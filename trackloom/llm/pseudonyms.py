@@ -8,21 +8,36 @@ different, and the format stays valid.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: One pattern per kind, tried in this order at each place; groups are not used, so that pieces and matches alternate.
+#: Kinds in the order of their counts.
+KINDS = ("email", "card", "phone", "ssn", "ip", "date")
+_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,20}[A-Za-z]{2,63}"
+_IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
+#: A group of digits that begins no e-mail or IP address, in a run of groups over single spaces and hyphens.
+_GROUP = rf"(?!{_IP})(?!{_EMAIL})[0-9]++(?![A-Za-z])"
+#: Patterns tried in this order at each place; groups are not used, so that pieces and matches alternate. A run is taken whole,
+#: with the hyphens around it; cards, social security numbers and dates are looked for inside.
 #: The parts of an address have the lengths that mail allows, so a long run of letters costs no more than its length.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,20}[A-Za-z]{2,63}",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "email": rf"(?<![A-Za-z0-9]){_EMAIL}",
     "phone": r"(?<![0-9A-Za-z])\+1[ -]?\(?[2-9][0-9]{2}\)?[ -]?[2-9][0-9]{2}-[0-9]{4}(?![0-9A-Za-z])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "date": r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])",
+    "ip": rf"(?<![0-9A-Za-z.]){_IP}",
+    "run": rf"(?:-|(?<![0-9A-Za-z]))(?=[0-9](?:[ -]?[0-9]){{7}}){_GROUP}(?:[ -]{_GROUP})*+-?+",
 }
 EVERY = "|".join(PATTERNS.values())
+#: Inside a run, from the start of a group: dates and social security numbers, cards with one separator and usual groups, and
+#: other ones; longer cards first.
+DATE, SSN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+CARDS = (
+    r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{1,3}(?![0-9])", r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?![0-9])",
+    r"^[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}(?![0-9])", r"^[0-9]{13,19}(?![0-9])",
+)
+ODD_CARDS = tuple(rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])" for n in range(19, 12, -1))
 #: Dates run over 250 * 292 days from here.
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)
 
@@ -130,13 +145,71 @@ def _email(x: Column, key: str) -> Column:
     return F.concat(out, F.lit("@"), domain)
 
 
-REPLACE = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
+REPLACE = {"email": _email, "phone": _phone, "ip": _ip}
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _found(i: Column, old: Column, kind: str, new: Column) -> Column:
+    return F.struct(i.cast("int").alias("i"), F.size(F.split(old, "[ -]")).alias("m"), F.lit(kind).alias("kind"), new.alias("new"))
+
+
+def _valid(cards: Column) -> Column:
+    return F.filter(cards, lambda c: (c != "") & (luhn_sum(digits(c)) % 10 == 0))
+
+
+def _run(x: Column, key: str) -> Column:
+    """text and kinds of a run with the values inside replaced: from left to right, a group that begins none is passed over.
+
+    A card of unusual groups is taken only where no date, social security number or usual card begins inside.
+    """
+    lead = F.when(x.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+
+    def choose(raw: Column) -> Column:
+        def rest(i: Column) -> Column:
+            return F.array_join(F.slice(raw, i + 1, F.lit(19)), "")
+
+        def usual(_: Column, i: Column) -> Column:
+            def at(w: Column) -> Column:
+                free = F.when(i == 0, lead).otherwise(F.substring(F.get(raw, i - 1), -1, 1)) != "-"
+                date, ssn = F.regexp_extract(w, DATE, 0), F.regexp_extract(w, SSN, 0)
+                new = F.when(free & (date != ""), _date(date, key))
+                card = F.get(_valid(F.array(*[F.regexp_extract(w, p, 0) for p in CARDS])), F.lit(0))
+                out = F.when(new.isNotNull(), _found(i, date, "date", new)).when(free & (ssn != ""), _found(i, ssn, "ssn", _ssn(ssn, key)))
+                return out.otherwise(_let(card, lambda c: F.when(c.isNotNull(), _found(i, c, "card", _card(c, key)))))
+
+            return _let(rest(i), at)
+
+        def with_odd(sure: Column) -> Column:
+            def odd(i: Column) -> Column:
+                cards = _valid(F.array(*[F.regexp_extract(rest(i), p, 0) for p in ODD_CARDS]))
+                alone = F.filter(cards, lambda c: F.forall(F.slice(sure, i + 2, F.size(F.split(c, "[ -]")) - 1), lambda s: s.isNull()))
+                return _let(F.get(alone, F.lit(0)), lambda c: F.when(c.isNotNull(), _found(i, c, "card", _card(c, key))))
+
+            return F.transform(sure, lambda s, i: F.when(s.isNotNull(), s).otherwise(odd(i)))
+
+        def take(a: Column, c: Column) -> Column:
+            before = F.array_join(F.slice(raw, a["next"] + 1, c["i"] - a["next"]), "")
+            after = F.regexp_extract(F.get(raw, c["i"] + c["m"] - 1), "[ -]?$", 0)
+            taken = F.struct((c["i"] + c["m"]).alias("next"), F.concat(a["text"], before, c["new"], after).alias("text"), F.concat(a["done"], F.array(c["kind"])).alias("done"))
+            return F.when(c["i"] >= a["next"], taken).otherwise(a)
+
+        start = F.struct(F.lit(0).alias("next"), lead.alias("text"), F.array().cast("array<string>").alias("done"))
+        left = lambda a: F.array_join(F.slice(raw, a["next"] + 1, F.size(raw)), "")
+        every = F.filter(_let(F.transform(raw, usual), with_odd), lambda c: c.isNotNull())
+        return F.aggregate(every, start, take, lambda a: F.struct(F.concat(a["text"], left(a)).alias("text"), a["done"].alias("done")))
+
+    return _let(F.regexp_extract_all(x, F.lit("[0-9]+[ -]?"), F.lit(0)), choose)
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text with pseudonyms, n_<kind> of each kind and n_replaced, one row per row of docs.
 
-    A match that fails its check (Luhn sum, byte range, calendar, date range) stays as it is and is not counted. Equal values
+    A match that fails its check (Luhn sum, byte range, calendar, date range) stays as it is and is not counted; inside runs of
+    digits the other kinds and lengths, and the next groups, are tried then. Equal values
     under one key get equal pseudonyms in all documents; values of one format and length never collide, e-mail letters
     but by a digest. Null text stays null with zero counts; long texts are read whole; repeated rows get equal results; no
     rows give no rows; other columns of docs are not read.
@@ -145,22 +218,22 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     df = df.withColumn("found", F.regexp_extract_all("text", F.lit(EVERY), F.lit(0)))
 
     def judged(x: Column) -> Column:
-        kind, new = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for name, pattern in reversed(PATTERNS.items()):
-            hit = x.rlike(f"^(?:{pattern})$")
-            kind = F.when(hit, F.lit(name)).otherwise(kind)
-            new = F.when(hit, REPLACE[name](x, key)).otherwise(new)
-        return F.struct(x.alias("old"), kind.alias("kind"), new.alias("new"))
+        out = _run(x, key)
+        for name, replace in REPLACE.items():
+            kinds = lambda new, name=name: F.when(new.isNotNull(), F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+            one = _let(replace(x, key), lambda new: F.struct(F.coalesce(new, x).alias("text"), kinds(new).alias("done")))
+            out = F.when(x.rlike(f"^(?:{PATTERNS[name]})$"), one).otherwise(out)
+        return out
 
     df = df.withColumn("found", F.transform("found", judged))
     pieces = F.split("text", EVERY, -1)
-    rebuilt = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size("found")), "found", lambda p, f: F.concat(p, F.coalesce(f["new"], f["old"]))), ""), F.element_at(pieces, -1))
+    rebuilt = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size("found")), "found", lambda p, f: F.concat(p, f["text"])), ""), F.element_at(pieces, -1))
     text = F.when(F.size("found") > 0, rebuilt).otherwise(F.col("text"))
-    done = F.filter("found", lambda f: f["new"].isNotNull())
-    df = df.select("id", text.alias("text"), F.coalesce(done, F.array().cast("array<struct<old:string,kind:string,new:string>>")).alias("done"))
+    done = F.flatten(F.transform("found", lambda f: f["done"]))
+    df = df.select("id", text.alias("text"), F.coalesce(done, F.array().cast("array<string>")).alias("done"))
 
     def count(name: str) -> Column:
-        return F.size(F.filter("done", lambda f: f["kind"] == name)).cast("long").alias(f"n_{name}")
+        return F.size(F.filter("done", lambda kind: kind == name)).cast("long").alias(f"n_{name}")
 
-    counts = [count(n) for n in PATTERNS]
+    counts = [count(n) for n in KINDS]
     return df.select("id", "text", *counts, F.size("done").cast("long").alias("n_replaced"))
