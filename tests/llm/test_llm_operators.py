@@ -114,7 +114,8 @@ def components(sets):
     return {i: find(i) for i in sets}
 
 
-def test_jaccard_components(spark):
+def near_groups():
+    """Texts with near copies at many sizes, passages that many share, and odd ones."""
     r = random.Random(5)
     rows = []
     for g in range(12):
@@ -124,18 +125,50 @@ def test_jaccard_components(spark):
             for _ in range(r.randint(0, max(1, len(w) // 25))):
                 w[r.randrange(len(w))] = f"x{r.random()}"
             rows.append(" ".join(w).upper() if r.random() < 0.3 else " ".join(w))
-    rows += [None, "", " ", "a", "A"]
-    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(rows)] + [(0, rows[0], "c"), (None, "null id", "c")], "doc_id long, text string, cls string").repartition(4)
+    passage = prose(60, 77)
+    for i in range(40):
+        rows.append(f"{prose(r.choice([8, 15, 40]), 900 + i)} {passage} {prose(10, 950 + i)}")
+    chain = prose(80, 78).split()
+    for i in range(12):
+        rows.append(" ".join(chain[2 * i : 2 * i + 50]))
+    return rows + [None, "", " ", "a", "A"]
+
+
+def shingle_sets(rows):
     sets = {}
     for i, t in enumerate(rows):
         w = (t or "").lower().split()
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return sets
+
+
+@pytest.mark.parametrize("rounds, cell, hot", [(1, 20_000, 10_000), (0, 3, 2), (2, 5, 10_000)])
+def test_jaccard_components(spark, monkeypatch, rounds, cell, hot):
+    """Also with cells and hot blocks so small that the large ones of a cluster are met."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    monkeypatch.setattr(jaccard_join, "HOT_BLOCK", hot)
+    rows = near_groups()
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(rows)] + [(0, rows[0], "c", 1), (None, "null id", "c", 1)], "doc_id long, text string, cls string, mark int").repartition(4)
+    sets = shingle_sets(rows)
     want = components(sets)
     got = jaccard_join.jaccard_components(df).collect()
     assert len(got) == len(rows) + 2
     assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got if r["id"] is not None} == {i: (len(sets[i]), want[i]) for i in sets}
     kept = jaccard_join.drop_near_copies(df)
-    assert {r["doc_id"] for r in kept.collect()} == {*want.values(), None}
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(want.values()))
+
+
+def test_near_copies_with_repeated_ids(spark):
+    p, q = prose(100, 1), prose(100, 2)
+    near = p.replace(p.split()[50], "changed")
+    rows = [(3, p, 1), (5, near, 2), (5, q, 3), (7, q, 4), (3, p, 5), (9, None, 6), (9, None, 7), (None, prose(50, 3), 8), (None, prose(50, 3), 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int")
+    got = jaccard_join.drop_near_copies(df)
+    assert got.columns == df.columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(3, p), (5, q), (9, None), (9, None), (None, prose(50, 3))], key=str)
 
 
 def test_sketch_bounds_difference():
@@ -143,8 +176,42 @@ def test_sketch_bounds_difference():
     for n in (3, 40, 700):
         a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
         b = np.unique(np.concatenate((a[n // 10 :], r.integers(0, 2**63, n // 8).astype(np.uint64))))
-        x, y = (np.frombuffer(jaccard_join.sketch(s, 1024), np.uint8) for s in (a, b))
+        both = jaccard_join.Sets(np.concatenate((a, b)), np.array([len(a), len(b)]))
+        x, y = (np.frombuffer(s, np.uint8) for s in jaccard_join.sketches(both, 1024))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        assert np.packbits(np.bincount(((jaccard_join.mix(a ^ jaccard_join._M1) >> np.uint64(32)) & np.uint64(1023)).astype(int), minlength=1024) & 1).tobytes() == x.tobytes()
+
+
+def test_similar_sets_share_a_block():
+    """The pigeonhole principle, at the largest difference that is allowed and with shingles that count as common."""
+    r = np.random.default_rng(3)
+    heavy = np.where(r.random(1 << 20) < 0.3, 50, 0)
+    for _ in range(300):
+        n = int(r.integers(1, 400))
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        grow = int(r.integers(0, n // 3 + 1))
+        b = np.unique(np.concatenate((a, r.integers(0, 2**64, grow, dtype=np.uint64))))
+        while True:
+            c = np.delete(b, r.integers(0, len(b))) if len(b) > 1 else b
+            if c is b or 4 * len(np.intersect1d(a, c)) < 3 * len(np.union1d(a, c)):
+                break
+            b = c
+        sets = jaccard_join.Sets(np.concatenate((a, b)), np.array([len(a), len(b)]))
+        sent = [set(), set()]
+        for band, of in jaccard_join.bands(sets.sizes, 75, 100):
+            keys, at, _ = jaccard_join.block_keys(sets.pick(of), band, heavy)
+            for k, i in zip(keys.tolist(), np.flatnonzero(of)[at].tolist()):
+                sent[i].add(k)
+        assert 4 * len(np.intersect1d(a, b)) >= 3 * len(np.union1d(a, b)) and sent[0] & sent[1]
+
+
+def test_shingles_of_many_texts_at_once():
+    rows = [t.encode() if t is not None else None for t in near_groups()]
+    sets = jaccard_join.shingles(rows)
+    for i, t in enumerate(rows):
+        assert sets.one(i).tolist() == jaccard_join.shingles([t]).flat.tolist()
+    assert sets.sizes.tolist() == [len(s) for s in shingle_sets([t and t.decode() for t in rows]).values()]
+    assert len(jaccard_join.shingles([])) == 0 and jaccard_join.shingles([None, b""]).sizes.tolist() == [0, 0]
 
 
 def check_pieces(rows, want):
@@ -190,7 +257,7 @@ def test_chunks_are_cut_where_the_tokenizer_cuts():
     r = random.Random(9)
     for _ in range(400):
         t = "".join(r.choice(["a", "Bé", " ", "  ", "\n", "\n\n", "\t", "1", ".", "'s", " ", "\x1c", "　", "ﬁ", "²", "🙂", "don't "]) for _ in range(r.randint(0, 25)))
-        assert words.ids(t).tolist() == list(words.whole(t)), repr(t)
+        assert words.ids(t).tolist() == np.frombuffer(words.whole(t), "<u4").tolist(), repr(t)
 
 
 def test_mixing(docs):

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts spell it.
 SPACE = r"[\x20\x09-\x0D]"
 OWN_FOLDER = "/tmp/checkpoints/trackloom"
+#: Whether Spark drops the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A key is hot when it has at least 1 / HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 10_000
 #: Edges of which one task finds the components in its memory.
@@ -28,10 +30,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends at files that survive executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet into the shared folder and read it back: lineage ends at files that survive executors.
+
+    The shuffle files of the write are dropped when it ends, as nothing can read them again.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def no_space(text: Column) -> Column:
