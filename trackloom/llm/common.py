@@ -54,6 +54,29 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, SPACE + "+"), "")), F.lit(0)).cast("long")
 
 
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, mark): each row as one struct, so that no column of docs clashes, with its id and a hash of its text."""
+    return docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
+
+
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    return left["id"].eqNullSafe(right["id"]) & (left["mark"] == right["mark"])
+
+
+def without(docs: DataFrame, gone: DataFrame, twice: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose (id, mark) is in gone, and with one of the rows of each (id, mark) in twice.
+
+    Of the rows in twice, which may differ in other columns, the first by their values as JSON stays.
+    """
+    rows = marked(docs, id_col, text_col)
+    kept = rows.join(gone, same_row(rows, gone), "left_anti")
+    if twice.isEmpty():
+        return kept.select("row.*")
+    twice = materialize(twice, "twice")
+    once = rows.join(twice, same_row(rows, twice), "left_semi").groupBy("id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.join(twice, same_row(kept, twice), "left_anti").select("row").unionByName(once.select("row")).select("row.*")
+
+
 def split_hot(keys: DataFrame, weight: str, total: int) -> tuple[DataFrame | None, DataFrame]:
     """(hot, cold) keys. weight sums up to total at most, so at most HOT_SHARE keys are hot; None if there are none."""
     least = max(1_000, total // HOT_SHARE)

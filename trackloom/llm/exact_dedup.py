@@ -2,8 +2,9 @@
 
 Rows are logged as (row, id, length, digest). Every memtable_rows consecutive log rows are one memtable, flushed as a run:
 one entry per digest, sorted by digest, in Parquet files that carry min/max fences and Bloom filters on the digest.
-Compaction merges runs into one entry per digest, which keeps the best row and the count. A hit (a digest with more
-than one row) is verified byte by byte; digests whose texts differ are split into one entry per text.
+Compaction merges runs into one entry per digest, which keeps the best row and the count, and builds the index's filter: a
+bitmap with a bit per digest. A hit (a digest with more than one row) is verified byte by byte; the filter is asked before
+any text moves, so only hits and a few false ones do. Digests whose texts differ are split into one entry per text.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import lookup, materialize, no_space, split_hot
+from trackloom.llm.common import lookup, materialize, no_space, without
 
 Digest = Callable[[Column], Column]
+#: Bits of the filter per digest, bits of one of its pages, and the largest filter that is sent to every task.
+FILTER_BITS, PAGE_BITS, SENT_BYTES = 16, 32_768, 32 << 20
 
 
 def sha256(norm: Column) -> Column:
@@ -30,6 +33,7 @@ def log(docs: DataFrame, id_col: str, text_col: str, digest: Digest) -> DataFram
             F.monotonically_increasing_id().alias("row"),
             F.col(id_col).cast("long").alias("id"),
             F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("len"),
+            F.xxhash64(F.col(text_col).cast("string")).alias("mark"),
             digest(norm).alias("digest"),
         ),
         "lsm-log",
@@ -56,20 +60,48 @@ def compact(runs: DataFrame) -> DataFrame:
     return materialize(merged.where("n > 1").sortWithinPartitions("digest"), "lsm-index", **{"parquet.bloom.filter.enabled#digest": "true"})
 
 
-def collisions(docs: DataFrame, index: DataFrame, rows: int, text_col: str, digest: Digest) -> DataFrame:
+def _place(digest: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(bits))
+
+
+def asked(texts: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    """The rows of texts whose digest the index's filter has; all rows if the filter of n digests would pass SENT_BYTES."""
+    bits = -(-FILTER_BITS * n // PAGE_BITS) * PAGE_BITS
+    if bits // 8 > SENT_BYTES:
+        return texts
+    place = _place(F.col("digest"), bits)
+    pages = index.select((place % PAGE_BITS).alias("bit"), F.floor(place / PAGE_BITS).alias("page")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    pages = materialize(pages, "lsm-filter")
+    rows = texts.withColumns({"bit": place % PAGE_BITS, "page": F.floor(place / PAGE_BITS)}).join(F.broadcast(pages), "page")
+    byte = F.conv(F.hex(F.substring("bitmap", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(1) == 1).select(*texts.columns)
+
+
+def collisions(docs: DataFrame, index: DataFrame, text_col: str, digest: Digest) -> DataFrame:
     """Digests of the index under which different texts lie, by comparing the bytes of every hit.
 
     A group's texts are equal when its smallest and its largest text are. Both combine before the shuffle, so a group
-    sends two texts per task at most. Digests with a large share of the rows are few: they are found by broadcast.
+    sends two texts per task at most. The few texts that only the filter takes for hits are alone under their digest.
     """
     norm = no_space(F.col(text_col))
-    texts = docs.select(digest(norm).alias("digest"), norm.alias("norm"))
-    hot, cold = split_hot(index.select("digest", "n"), "n", rows)
-    parts = [texts.join(cold, "digest", "left_semi")]
-    if hot is not None:
-        parts.append(texts.join(F.broadcast(hot), "digest", "left_semi"))
-    differ = [p.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("digest") for p in parts]
-    return differ[0] if len(differ) == 1 else differ[0].union(differ[1])
+    texts = asked(docs.select(digest(norm).alias("digest"), F.col(text_col).alias("text")), index, index.count())
+    norm = no_space(F.col("text"))
+    return texts.groupBy("digest").agg(F.min(norm).alias("lo"), F.max(norm).alias("hi")).where("lo <> hi").select("digest")
+
+
+def _entries(docs: DataFrame, id_col: str, text_col: str, digest: Digest, memtable_rows: int) -> DataFrame:
+    """The log with the entry of each digest that has one: best_id, best_row, n."""
+    wal = log(docs, id_col, text_col, digest)
+    index = compact(flush(wal, memtable_rows))
+    bad = materialize(collisions(docs, index, text_col, digest), "lsm-collisions")
+    if not bad.isEmpty():
+        # a digest holds different texts: give each text of such a digest a longer digest, and index again
+        norm = no_space(F.col(text_col))
+        wide = F.concat(F.lit("x"), F.sha2(norm, 512), F.sha2(F.reverse(norm), 512))
+        return _entries(docs, id_col, text_col, lambda _: wide, memtable_rows)
+    entry = index.select("digest", F.bitwise_not("best.nid").alias("best_id"), F.bitwise_not("best.nrow").alias("best_row"), "n")
+    found = lookup(wal, entry, "digest", "n")
+    return found.withColumn("kept", F.col("n").isNull() | (F.col("row") == F.col("best_row")))
 
 
 def exact_dedup(
@@ -79,40 +111,30 @@ def exact_dedup(
     digest: Digest = sha256,
     memtable_rows: int = 100_000,
 ) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, digest of the text without ASCII white space.
+    """One row per row of docs: id, keep_id, group_size, kept, n_chars, digest of the text without ASCII white space.
 
     Of equal texts the longest original stays, then the smallest id, then the first row; null ids come last.
     Null text is empty, so empty and null texts form one group. Repeated rows are copies: one of them stays.
     No rows give no rows; other columns of docs are not read.
     """
-    wal = log(docs, id_col, text_col, digest)
-    index = compact(flush(wal, memtable_rows))
-    bad = materialize(collisions(docs, index, wal.count(), text_col, digest), "lsm-collisions")
-    if not bad.isEmpty():
-        # a digest holds different texts: give each text of such a digest a longer digest, and index again
-        norm = no_space(F.col(text_col))
-        wide = F.concat(F.lit("x"), F.sha2(norm, 512), F.sha2(F.reverse(norm), 512))
-        return exact_dedup(docs, id_col, text_col, lambda _: wide, memtable_rows)
-    entry = index.select(
-        "digest",
-        F.bitwise_not("best.nid").alias("best_id"),
-        F.bitwise_not("best.nrow").alias("best_row"),
-        F.col("n").alias("n"),
-    )
-    found = lookup(wal, entry, "digest", "n")
+    found = _entries(docs, id_col, text_col, digest, memtable_rows)
     return found.select(
         F.col("id"),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("best_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("n").isNull() | (F.col("row") == F.col("best_row"))).alias("kept"),
+        "kept",
         F.col("len").alias("n_chars"),
         F.col("digest"),
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup() drops, all columns as they were."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("n_chars").alias("_chars"))
-    keyed = docs.withColumns({"_digest": sha256(no_space(F.col(text_col))), "_chars": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "_id": F.col(id_col).cast("long")})
-    same = (keyed["_digest"] == kept["_digest"]) & keyed["_id"].eqNullSafe(kept["_id"]) & (keyed["_chars"] == kept["_chars"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_digest"]).drop("_digest", "_chars", "_id")
+    """docs without the rows that exact_dedup() drops, all columns as they were.
+
+    Rows are told apart by id and text; of repeated rows, which may differ in other columns, the first by their values as
+    JSON stays. Empty tables stay empty.
+    """
+    found = materialize(_entries(docs, id_col, text_col, sha256, 100_000).where("n > 1").select("id", "mark", "kept"), "lsm-copies")
+    per = found.groupBy("id", "mark").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    per = materialize(per, "lsm-verdicts")
+    return without(docs, per.where("not kept").select("id", "mark"), per.where("kept and rows > 1").select("id", "mark"), id_col, text_col)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import components, lookup, materialize
+from trackloom.llm.common import components, lookup, materialize, without
 
 WIDTH = 5
 #: Similarity as a fraction: PART / WHOLE.
@@ -596,15 +596,3 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     every = found.select("id", "mark").distinct()
     gone = every.join(stays, every["id"].eqNullSafe(stays["id"]) & (every["mark"] == stays["mark"]), "left_anti")
     return without(docs, gone, stays.where("rows > 1").select("id", "mark"), id_col, text_col)
-
-
-def without(docs: DataFrame, gone: DataFrame, twice: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs without the rows whose (id, text hash) is in gone, and with one of those in twice."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
-    same = lambda other: rows["id"].eqNullSafe(other["id"]) & (rows["mark"] == other["mark"])
-    kept = rows.join(gone, same(gone), "left_anti")
-    if twice.isEmpty():
-        return kept.select("row.*")
-    twice = materialize(twice, "twice")
-    once = rows.join(twice, same(twice), "left_semi").dropDuplicates(["id", "mark"])
-    return kept.join(twice, kept["id"].eqNullSafe(twice["id"]) & (kept["mark"] == twice["mark"]), "left_anti").unionByName(once).select("row.*")

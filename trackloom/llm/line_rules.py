@@ -5,21 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import SPACE, lookup, materialize
+from trackloom.llm.common import SPACE, lookup, marked, materialize
 
 SYMBOLS = "[#*$%&|<>]"
 
 
-def _repeat_words() -> Column:
-    """Words inside a 3-word window that is found twice or more, from columns words and n_words.
+def _window_hashes() -> Column:
+    """Sorted longs from columns words and n_words, one per 3-word window: a hash in the upper bits, its place in the lower `bits`."""
+    window = "xxhash64(w, get(words, i + 1), get(words, i + 2))"
+    return F.expr(f"sort_array(transform(slice(words, 1, n_words - 2), (w, i) -> shiftleft({window}, bits) | cast(i as bigint)))")
+
+
+#: Whether the windows x and y have equal hashes, the place of a window, and whether the windows at two places have equal words.
+_SAME = "shiftrightunsigned({y}, bits) = shiftrightunsigned(x, bits)"
+_AT = "cast({x} & (shiftleft(1L, bits) - 1) as int)"
+_EQUAL = "slice(words, {x} + 1, 3) = slice(words, {y} + 1, 3)"
+
+
+def _repeated() -> Column:
+    """Places of the windows that are found twice or more.
 
-    Each window becomes one long: a hash in the upper bits, its place in the lower `bits`. Sorting the longs brings equal
-    windows together, and the places of those with an equal neighbour are spread over their three words.
+    Windows of equal hash are neighbours in the sorted longs; if all neighbours of equal hash have equal words, so have all
+    windows of that hash. Should two hashes be equal by chance, the windows themselves are compared as strings.
     """
-    window = "xxhash64(w, get(words, i + 1), get(words, i + 2))"
-    packed = f"array_sort(transform(slice(words, 1, n_words - 2), (w, i) -> shiftleft({window}, bits) | cast(i as bigint)))"
-    packed = packed.replace("array_sort(", "sort_array(", 1)
-    return F.expr(packed)
+    after, before = _SAME.format(y="get(windows, i + 1)"), _SAME.format(y="get(windows, i - 1)")
+    by_hash = f"transform(filter(windows, (x, i) -> {after} or {before}), x -> {_AT.format(x='x')})"
+    equal = _EQUAL.format(x=_AT.format(x="x"), y=_AT.format(x="get(windows, i + 1)"))
+    chance = f"exists(transform(windows, (x, i) -> {after} and not ({equal})), x -> x)"
+    text = "concat_ws(' ', slice(words, i + 1, 3))"
+    strings = f"sort_array(transform(windows, (x, i) -> named_struct('t', {text}, 'at', i)))"
+    by_text = f"transform(filter(sorted, (x, i) -> coalesce(get(sorted, i + 1).t = x.t, false) or coalesce(get(sorted, i - 1).t = x.t, false)), x -> x.at)"
+    return F.expr(f"case when {chance} then transform(array({strings}), sorted -> {by_text})[0] else {by_hash} end")
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -30,22 +46,14 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"),
         text.alias("text"),
+        F.col(text_col).cast("string").alias("own"),
     )
     df = df.withColumn("lines", F.split("text", "\n"))
     df = df.withColumn("line_words", F.transform("lines", lambda x: F.array_remove(F.split(x, SPACE + "+"), "")))
     df = df.withColumn("words", F.flatten("line_words"))
     df = df.withColumn("n_words", F.size("words"))
     df = df.withColumn("bits", F.length(F.bin(F.col("n_words").cast("long"))))
-    df = df.withColumn("windows", F.when(F.col("n_words") >= 4, _repeat_words()))
-    same = "shiftrightunsigned({0}, bits) = shiftrightunsigned(x, bits)"
-    twice = F.expr(
-        "transform(filter(windows, (x, i) -> "
-        + same.format("get(windows, i + 1)")
-        + " or "
-        + same.format("get(windows, i - 1)")
-        + "), x -> cast(x & (shiftleft(1L, bits) - 1) as int))"
-    )
-    df = df.withColumn("twice", twice)
+    df = df.withColumn("windows", F.when(F.col("n_words") >= 4, _window_hashes())).withColumn("twice", _repeated())
     spread = F.array_distinct(F.concat("twice", F.transform("twice", lambda p: p + 1), F.transform("twice", lambda p: p + 2)))
     full = F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return df.select(
@@ -53,6 +61,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         "id",
         "host",
         F.xxhash64("text").alias("text_hash"),
+        F.xxhash64(F.col("own")).alias("mark"),
         F.col("n_words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -116,20 +125,25 @@ def line_frequency_rules(
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules) -> DataFrame:
-    """docs without the rejected rows and without the lines that the rules remove; n_chars, if there, follows the text."""
-    verdict = line_frequency_rules(docs, id_col, text_col, host_col, **rules).where("kept")
-    verdict = verdict.dropDuplicates(["id", "host", "text_hash"]).select(
-        F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), F.col("removed_keys").alias("_keys")
-    )
-    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_host": host, "_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    same = keyed["_id"].eqNullSafe(verdict["_id"]) & (keyed["_host"] == verdict["_host"]) & (keyed["_hash"] == verdict["_hash"])
-    df = keyed.join(verdict, same).select(*[keyed[c] for c in docs.columns], keyed["_host"].alias("_h"), verdict["_keys"].alias("_k"))
+    """docs without the rejected rows and without the lines that the rules remove; n_chars, if there, follows the text.
+
+    Rows are told apart by id, host and text, on which alone the verdicts rest, so repeated rows share theirs; all other
+    columns stay as they were. Null texts are rejected; empty tables stay empty.
+    """
+    verdict = line_frequency_rules(docs, id_col, text_col, host_col, **rules).where("not kept or removed_lines > 0")
+    # equal keys have equal verdicts; only rows that go or change are looked up
+    changes = materialize(verdict.groupBy("id", "mark", "host").agg(F.first("kept").alias("kept"), F.first("removed_keys").alias("keys")), "changes")
+    rows = marked(docs, id_col, text_col).withColumn("host", F.coalesce(F.concat(F.lit("="), F.col(f"row.`{host_col}`").cast("string")), F.lit("")))
+    same = rows["id"].eqNullSafe(changes["id"]) & (rows["mark"] == changes["mark"]) & (rows["host"] == changes["host"])
+    df = rows.join(changes, same, "left").where("kept is null or kept").select("row", rows["host"].alias("host"), "keys")
+    text = F.col(f"row.`{text_col}`")
 
     def stays(line: Column) -> Column:
         words = F.array_remove(F.split(line, SPACE + "+"), "")
-        return ~F.array_contains("_k", F.xxhash64("_h", F.xxhash64(F.lower(F.array_join(words, " ")))))
+        return ~F.array_contains("keys", F.xxhash64("host", F.xxhash64(F.lower(F.array_join(words, " ")))))
 
-    text = F.when(F.col("_k").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text_col, "\n"), stays), "\n"))
-    df = df.withColumn(text_col, text).drop("_h", "_k")
-    return df.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else df
+    cut = F.when(F.col("keys").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
+    df = df.withColumn("row", F.col("row").withField(f"`{text_col}`", cut))
+    if "n_chars" in docs.columns:
+        df = df.withColumn("row", F.col("row").withField("n_chars", F.length(F.col(f"row.`{text_col}`")).cast("long")))
+    return df.select("row.*")

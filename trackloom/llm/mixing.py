@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import lookup, materialize, n_words
+from trackloom.llm.common import lookup, marked, materialize, n_words, same_row
 
 #: Slot t lies at frac(t / golden ratio), in steps of 2**-31; PHI is odd, so the first 2**31 points all differ.
 ONE = 1 << 31
 PHI = 1_327_217_885
-#: Sources are a dimension: more than this many are refused, so that their table may be broadcast.
-MAX_SOURCES = 100_000
+#: The table of up to so many sources is sent to every task; that of more meets the points by a shuffle on cells.
+SENT_SOURCES = 100_000
 CELLS = 4_096
+#: Words that one partition of the mixed documents holds, about.
+PARTITION_WORDS = 4_000_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], total_share: float, max_epochs: float) -> DataFrame:
@@ -74,8 +76,6 @@ def schedule(spark, plan: DataFrame, block_words: int) -> DataFrame:
     n = plan.agg(F.sum("need"), F.count(F.lit(1))).first()
     if not n[0]:
         return spark.createDataFrame([], "slot long, key string, block long, epoch long, `limit` long")
-    if n[1] > MAX_SOURCES:
-        raise ValueError(f"{n[1]} sources; at most {MAX_SOURCES} are mixed")
     slots = int(n[0] + n[1] * (4 + 2 * int(n[0]).bit_length()))
     up_to = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     p = plan.where("need > 0").withColumn("hi", F.sum("need").over(up_to) / F.lit(float(n[0])))
@@ -86,7 +86,7 @@ def schedule(spark, plan: DataFrame, block_words: int) -> DataFrame:
     points = points.withColumn("u", (F.col("slot") % ONE) * PHI % ONE / float(ONE))
     points = points.withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
     hit = (points["cell"] == p["cell"]) & (points["u"] >= p["lo"]) & (points["u"] < p["hi"])
-    placed = points.join(F.broadcast(p), hit).select("slot", "key", "source_size", "target")
+    placed = points.join(F.broadcast(p) if n[1] <= SENT_SOURCES else p, hit).select("slot", "key", "source_size", "target")
     # rank per source: counts of chunks of slots first, then the rank inside a chunk
     placed = placed.withColumn("chunk", F.shiftright("slot", 12))
     counts = materialize(placed.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n")), "slot-counts")
@@ -112,6 +112,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
         F.col(source_col).cast("string").alias("source"),
         _key(F.col(source_col).cast("string")).alias("key"),
         n_words(F.col(text_col)).alias("size"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("mark"),
     )
 
 
@@ -146,7 +147,7 @@ def mix(
     pieces = slots.join(blocks(rows, block_words, seed), ["key", "block"])
     taken = F.least("length", F.col("limit") - F.col("at")).alias("length")
     pieces = pieces.where("at < limit").select("slot", "key", "row", "epoch", "start", taken)
-    return rows, plan, pieces
+    return rows, plan, materialize(pieces, "mix-pieces")
 
 
 def taken_words(rows: DataFrame, plan: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -157,27 +158,36 @@ def taken_words(rows: DataFrame, plan: DataFrame, pieces: DataFrame) -> DataFram
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as documents: one row per document and epoch, its text cut after the last word taken there.
+    """The mix as documents: one row per document and epoch, its text cut after the last word taken there, in the order of slots.
 
-    Columns as in docs; n_chars, if there, follows the text. A document that the mix does not reach is left out.
-    Rows with equal id and source are told apart by the hash of their text.
+    Columns as in docs; n_chars, if there, follows the text. A document that the mix does not reach is left out, as are null
+    and blank texts. Repeated rows (equal id, source and text) are documents of their own; they are numbered by their
+    values as JSON. The rows are dealt into partitions by slot and sorted there, so that files hold the schedule's order.
     """
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     rows, _, pieces = mix(docs, id_col, text_col, source_col, **options)
-    parts = pieces.groupBy("row", "epoch").agg(F.max(F.col("start") + F.col("length")).alias("_end"))
-    parts = rows.select("row", F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size")).join(parts, "row").select("_id", "_key", "_size", "_end", "epoch")
-    return _cut(keyed, parts, docs.columns, id_col, text_col, source_col)
-
-
-def _cut(keyed: DataFrame, parts: DataFrame, columns: list[str], id_col: str, text_col: str, source_col: str) -> DataFrame:
-    parts = parts.groupBy("_id", "_key", "_size").agg(F.collect_list("_end").alias("_ends"))
-    keyed = keyed.withColumns({"_i": F.col(id_col).cast("long"), "_k": _key(F.col(source_col).cast("string")), "_n": n_words(F.col(text_col))})
-    same = keyed["_i"].eqNullSafe(parts["_id"]) & (keyed["_k"] == parts["_key"]) & (keyed["_n"] == parts["_size"])
-    df = keyed.join(parts, same)
-    df = df.withColumn("_end", F.explode("_ends"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(F.col("_end") >= F.col("_n"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_end").cast("int")), ""))
-    df = df.withColumn(text_col, cut)
-    if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.length(text_col).cast("long"))
-    return df.select(*columns)
+    parts = pieces.groupBy("row", "epoch").agg(F.max(F.col("start") + F.col("length")).alias("end"), F.min("slot").alias("slot"))
+    names = rows.where("size > 0").select("row", "id", "mark", "key", "size")
+    many = materialize(names.groupBy("id", "mark", "key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "repeated")
+    repeated = not many.isEmpty()
+    if repeated:
+        again = names.join(many, same_row(names, many) & (names["key"] == many["key"]), "left_semi").select("row", F.row_number().over(Window.partitionBy("id", "mark", "key").orderBy("row")).alias("nth"))
+        parts = parts.join(again, "row", "left")
+    parts = names.join(parts, "row").groupBy("id", "mark", "key", "size", F.coalesce("nth", F.lit(1)).alias("nth") if repeated else F.lit(1).alias("nth"))
+    parts = materialize(parts.agg(F.collect_list(F.struct("slot", "end")).alias("parts")), "mixed-parts")
+    keyed = marked(docs, id_col, text_col).withColumns({"key": _key(F.col(f"row.`{source_col}`").cast("string")), "nth": F.lit(1)})
+    if repeated:
+        again = same_row(keyed, many) & (keyed["key"] == many["key"])
+        nth = F.row_number().over(Window.partitionBy("id", "mark", "key").orderBy(F.to_json("row")))
+        keyed = keyed.join(many, again, "left_anti").unionByName(keyed.join(many, again, "left_semi").withColumn("nth", nth))
+    df = keyed.join(parts, same_row(keyed, parts) & (keyed["key"] == parts["key"]) & (keyed["nth"] == parts["nth"]))
+    df = df.select("row", "size", F.explode("parts").alias("part"))
+    text = F.col(f"row.`{text_col}`")
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(F.col("part.end") >= F.col("size"), text).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("part.end").cast("int")), ""))
+    df = df.select(F.col("row").withField(f"`{text_col}`", cut).alias("row"), "part.slot")
+    if "n_chars" in docs.columns:
+        df = df.withColumn("row", F.col("row").withField("n_chars", F.length(F.col(f"row.`{text_col}`")).cast("long")))
+    about = pieces.agg(F.max("slot"), F.sum("length")).first()
+    n = max(1, -(-(about[1] or 0) // PARTITION_WORDS))
+    df = df.repartitionById(n, F.least(F.floor(F.col("slot") * n / ((about[0] or 0) + 1)), F.lit(n - 1)).cast("int"))
+    return df.sortWithinPartitions("slot").select("row.*")
