@@ -2,10 +2,12 @@
 
 import hashlib
 import io
+import itertools
 import random
 import re
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -404,6 +406,149 @@ def test_chat_roles(spark):
     assert [x for x, _ in parsed] == ["user", "assistant"]
 
 
+def test_viterbi_against_all_paths(spark):
+    """Short talks: the decoded roles have the likelihood of the best of all paths."""
+    r = np.random.default_rng(1)
+    rows = [(c, t, ("system", "user", "assistant")[int(r.integers(0, 3))], prose(int(r.integers(1, 40)), int(r.integers(0, 10**6)))) for c in range(80) for t in range(5)]
+    model = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for c in range(40):
+        texts = [x[3] for x in rows if x[0] == c]
+        emit = [model.emit(t) for t in texts]
+        score = lambda p: model.start[p[0]] + emit[0][p[0]] + sum(model.step[a, b] + e[b] for a, b, e in zip(p, p[1:], emit[1:]))  # noqa: B023,E731
+        decoder = chat.Decoder(model)
+        for t in texts:
+            decoder.add(t)
+        assert score([chat.ROLES.index(x) for x in decoder.roles()]) == pytest.approx(max(map(score, itertools.product(range(3), repeat=len(texts)))))
+
+
+def test_marked_lines_inside_a_turn(spark):
+    rows = [(1, 0, "user", "User: hi\nand more\nAssistant: " + prose(80, 1), "k"), (1, 1, None, None, "k"), (None, 0, "user", "a", "k"), (None, 0, "user", "a", "k"), (2, 0, "user", prose(30_000, 2), "k")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string")
+    got = chat.recover_roles(turns, chat.fit(turns)).collect()
+    assert sorted((r["conv_id"] or 0, r["turn"], r["part"]) for r in got) == [(0, 0, 0), (0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 0), (2, 0, 0)]
+    first = {r["part"]: r for r in got if (r["conv_id"], r["turn"]) == (1, 0)}
+    assert first[0]["role"] == "user" and first[0]["rendered"] == "<|user|>\nhi\nand more\n<|end|>\n" and first[1]["role"] == "assistant"
+
+
+def plain_feistel(x, low, high, key, tweak):
+    a, b = x % low, x // low
+    for i in range(8):
+        half, m = (b, low) if i % 2 == 0 else (a, high)
+        h = int(hashlib.sha256(f"{key}:{tweak}:{low}:{high}:{i}:{half}".encode()).hexdigest()[:13], 16) % m
+        a, b = ((a + h) % low, b) if i % 2 == 0 else (a, (b + h) % high)
+    return b * low + a
+
+
+def plain_permute(x, base, most, key, tweak):
+    alphabet, out = "0123456789" if base == 10 else "abcdefghijklmnopqrstuvwxyz", ""
+    for at in range(0, len(x), most):
+        limb = x[at : at + most]
+        n, v = len(limb), 0
+        for c in limb:
+            v = v * base + alphabet.index(c)
+        v = plain_feistel(v, base ** (n // 2), base ** (n - n // 2), key, f"{tweak}:{len(x)}:{x[:at]}")
+        out += "".join(alphabet[v // base**i % base] for i in reversed(range(n)))
+    return out
+
+
+def test_permutations_against_a_plain_feistel_network(spark):
+    r = random.Random(2)
+    digits = ["".join(r.choice("0123456789") for _ in range(r.choice([0, 1, 2, 9, 17, 18, 19, 40]))) for _ in range(150)] + ["9" * 18, "0" * 18, "9" * 37]
+    letters = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice([0, 1, 2, 11, 12, 13, 30]))) for _ in range(150)] + ["z" * 12]
+    df = spark.createDataFrame(list(zip(digits, letters)), "d string, l string")
+    for row in df.select("d", "l", pseudonyms.permute_digits(F.col("d"), "k", "t").alias("p"), pseudonyms.permute_letters(F.col("l"), "k", "t").alias("q")).collect():
+        assert row["p"] == plain_permute(row["d"], 10, 18, "k", "t") and row["q"] == plain_permute(row["l"], 26, 12, "k", "t")
+
+
+def test_pseudonyms_never_collide(spark):
+    mails = [f"{c}@x.com" for c in "abcdefghijklmnopqrstuvwxyzABC"] + ["u1234567890123456789@x.com", "u1234567890123456780@x.com", "aB.c-1@x.com", "aB.c-2@x.com"]
+    numbers = [f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 665, 667, 899) for g in (1, 99) for s in (1, 9999)]
+    odd = ["000-12-1234", "666-12-1234", "900-12-1234", "123-00-1234", "123-12-0000"]
+    rows = mails + numbers + odd
+    df = spark.createDataFrame([(i, t, "d", 0) for i, t in enumerate(rows)] + [(0, rows[0], "d", 0)], "doc_id long, text string, done string, row int")
+    got = {r["id"]: r for r in pseudonyms.pseudonymize(df, "k").collect()}
+    new = [got[i]["text"] for i in range(len(mails))]
+    assert len(set(new)) == len(mails) and all(re.sub("[a-z]", "x", re.sub("[A-Z]", "X", re.sub("[0-9]", "0", x))) == re.sub("[a-z]", "x", re.sub("[A-Z]", "X", re.sub("[0-9]", "0", y))) for x, y in zip(new, mails))
+    assert "1234567890123456789" not in new[29]
+    valid = [got[len(mails) + i] for i in range(len(numbers))]
+    assert len({r["text"] for r in valid}) == len(numbers) and all(r["n_ssn"] == 1 and re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", r["text"]) for r in valid)
+    assert all(got[len(mails) + len(numbers) + i]["text"] == t and not got[len(mails) + len(numbers) + i]["n_replaced"] for i, t in enumerate(odd))
+
+
+def test_automaton_bits_against_plain_enumeration():
+    """The likelihoods of all short words, ends included, sum to one but for the smoothing, and bits() follows the states."""
+    r = random.Random(3)
+    words = ["".join(r.choice("Ud") for _ in range(r.randint(1, 3))) for _ in range(300)]
+    a = secrets.Automaton(words)
+    for n in range(5):
+        for w in map("".join, itertools.product("Udx", repeat=n)):
+            at, total = 0, 0.0
+            for c in w:
+                step, _, unseen = a.states[at]
+                p, at = step.get(c, (unseen, 0))
+                total += p
+            assert a.bits(w) == pytest.approx((total + a.states[at][1]) / (n + 1))
+    bits, to, end = a.tables()
+    assert bits.shape == to.shape == (len(a.states), len(secrets.SYMBOLS)) and len(end) == len(a.states)
+    assert a.bits("Ud") > a.bits("xx")
+
+
+def test_equal_hashes_of_windows_are_compared_by_words(spark, monkeypatch):
+    monkeypatch.setattr(line_rules, "_window_hashes", lambda: F.expr("transform(slice(words, 1, n_words - 2), (w, i) -> cast(i as bigint))"))
+    rows = ["a b c d a b c", "a b c d e f g h", "x y z q x y z x y z", "a a a a a"]
+    got = line_rules.measures(spark.createDataFrame([(i, t, "h") for i, t in enumerate(rows)], "doc_id long, text string, source string")).collect()
+    assert {r["id"]: r["n_repeat_words"] for r in got} == {0: 6, 1: 0, 2: 9, 3: 5}
+
+
+CLASHING = "doc_id long, text string, source string, n_chars long, id long, mark string, row int, host string, keys string, kept string, slot int, part int, _id int"
+
+
+def test_rows_are_told_apart(spark):
+    """Equal ids with other texts, repeated rows, and columns named like the operators' own."""
+    p, q = prose(100, 1), prose(100, 2)
+    line = "a line that is everywhere"
+    rows = [(3, p, "s"), (3, q, "s"), (4, q, "s"), (3, p, "s"), (None, p + " ", None), (5, None, "s"), (6, "", "s"), (7, prose(80, 9) + "\n" + line, "s"), (7, prose(80, 10) + "\n" + line, "s"), (7, prose(80, 11) + "\n" + line, "t")]
+    data = [(i, t, s, len(t or ""), 1, "m", n, "h", "k", "y", 0, 0, n) for n, (i, t, s) in enumerate(rows)]
+    df = spark.createDataFrame(data, CLASHING).repartition(3)
+    single = exact_dedup.drop_copies(df)
+    assert single.columns == df.columns
+    got = sorted((r["doc_id"] or 0, (r["text"] or "")[:20], r["_id"]) for r in single.collect())
+    assert got == sorted((rows[n][0] or 0, (rows[n][1] or "")[:20], n) for n in (1, 4, 5, 7, 8, 9))
+    clean = line_rules.clean_documents(df, max_docs=1)
+    assert clean.columns == df.columns
+    got = {r["_id"]: r for r in clean.collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 7, 8, 9] and [n for n in got if line in got[n]["text"]] in ([7, 9], [9, 7], [8, 9], [9, 8])
+    assert all(r["n_chars"] == len(r["text"]) and r["host"] == "h" for r in got.values())
+    mixed = mixing.mixed_documents(df, block_words=16)
+    assert mixed.columns == df.columns
+    per = Counter(r["_id"] for r in mixed.collect())
+    assert set(per) <= set(range(5)) | {7, 8, 9} and max(per.values()) <= 2 and {0, 3} <= set(per)
+    none = df.limit(0)
+    assert exact_dedup.drop_copies(none).count() == line_rules.clean_documents(none).count() == mixing.mixed_documents(none).count() == 0
+
+
+def test_mixed_documents_keep_the_order_of_slots(spark):
+    """Sources alternate along the output as their weights ask; a filter over the bound gives way to a shuffle."""
+    rows = [(i, prose(40, i), ("a", "b")[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = [r["source"] for r in mixing.mixed_documents(df, block_words=40, total_share=0.5, weights=(3.0, 1.0)).collect()]
+    for at in range(0, len(seen) - 40, 40):
+        assert 22 <= seen[at : at + 40].count("a") <= 38
+
+
+def test_filter_of_the_index(spark, monkeypatch):
+    rows = [(i, prose(30, i % 150)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wal = exact_dedup.log(df, "doc_id", "text", exact_dedup.sha256)
+    index = exact_dedup.compact(exact_dedup.flush(wal, 10))
+    hits = {r["digest"] for r in index.collect()}
+    assert len(hits) == 50
+    found = {r["digest"] for r in exact_dedup.asked(wal, index, 50).collect()}
+    assert hits <= found and len(found) < 75
+    monkeypatch.setattr(exact_dedup, "SENT_BYTES", 0)
+    assert exact_dedup.asked(wal, index, 50).count() == 200
+
+
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("b.example.net", "", "block"), ("net", "", "block")]
 
 
@@ -413,8 +558,10 @@ def test_urls(spark):
     urls += [None, "", "no scheme", "://", "http:///en/"]
     pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id long, url string, key string").repartition(5)
     rules = spark.createDataFrame(RULES + RULES[:1], "host string, path string, verdict string")
-    for most in (100, 2):
-        for row in url_rules.judge_urls(pages, rules, max_sent=most).collect():
+    for most in (500_000, 7):
+        got = url_rules.judge_urls(pages, rules, range_rows=most).collect()
+        assert len(got) == len(urls)
+        for row in got:
             m = re.search(r"://([^/?#]*)([^?#]*)", urls[row["id"]] or "")
             host, path = (m[1].lower(), m[2]) if m else ("", "")
             fits = [(len(h + p), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]

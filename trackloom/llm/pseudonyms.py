@@ -1,9 +1,10 @@
 """Format-preserving pseudonyms for numbers and dates by a keyed Feistel network, with DataFrame functions only.
 
-Each validated value is a number in a domain of its format: the digits of a card but the check digit, the last seven
-digits of a telephone number, the four bytes of an IPv4 address, the digits of an e-mail's or a social security number, the
-days of a date range. The number is permuted inside its domain, so equal values stay equal, different ones stay
-different, and the format stays valid.
+Each validated value is a number in a domain of its format: the digits of a card but the check digit, area, exchange and
+line of a telephone number, the four bytes of an IPv4 address, the valid social security numbers, the days of a date range,
+the letters of an e-mail's local part to base 26 and its digits to base 10. The number is permuted inside its domain, so
+equal values stay equal, different ones stay different, and the format stays valid. Long strings are cut into limbs; each is
+permuted under a tweak that names its place and the limbs before it, so the whole stays a permutation at any length.
 """
 
 from __future__ import annotations
@@ -42,13 +43,18 @@ ODD_CARDS = tuple(rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])" for n in range(19
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)
 
 
-def feistel(x: Column, low: Column, high: Column, key: str, tweak: str) -> Column:
+def div(x: Column, y: Column | int) -> Column:
+    """The whole part of a quotient of longs, without the rounding of doubles."""
+    return F.call_function("div", x, F.lit(y).cast("long") if isinstance(y, int) else y)
+
+
+def feistel(x: Column, low: Column, high: Column, key: str, tweak: str | Column) -> Column:
     """x in [0, low * high) permuted by alternating rounds that add a keyed hash of one half to the other."""
-    start = F.struct((x % low).cast("long").alias("a"), F.floor(x / low).cast("long").alias("b"))
+    start = F.struct((x % low).cast("long").alias("a"), div(x, low).alias("b"))
 
     def hashed(half: Column, i: Column, modulus: Column) -> Column:
         # 52 bits of a keyed digest
-        text = F.concat_ws(":", F.lit(key), F.lit(tweak), low.cast("string"), high.cast("string"), i.cast("string"), half.cast("string"))
+        text = F.concat_ws(":", F.lit(key), F.lit(tweak) if isinstance(tweak, str) else tweak, low.cast("string"), high.cast("string"), i.cast("string"), half.cast("string"))
         return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long"), modulus)
 
     def step(s: Column, i: Column) -> Column:
@@ -63,17 +69,47 @@ def digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def _halves(n: Column) -> tuple[Column, Column]:
-    """Powers of ten for the halves of n digits."""
-    tens = F.array(*[F.lit(10**i) for i in range(11)])
-    return F.element_at(tens, F.floor(n / 2).cast("int") + 1), F.element_at(tens, (n - F.floor(n / 2)).cast("int") + 1)
+#: Letters and digits of a limb at most.
+LETTERS, DIGITS = 12, 18
+
+
+def _powers(base: int, n: Column) -> tuple[Column, Column]:
+    """Powers of base for the halves of n digits."""
+    of = F.array(*[F.lit(base**i).cast("long") for i in range(DIGITS // 2 + 1)])
+    low = F.floor(n / 2).cast("int")
+    return F.element_at(of, low + 1), F.element_at(of, n.cast("int") - low + 1)
+
+
+def _permute(x: Column, base: int, most: int, key: str, tweak: str) -> Column:
+    """A string of the first `base` of 0-9 or a-z as another of that length, limb by limb."""
+    first = ord("0" if base == 10 else "a")
+
+    def number(limb: Column) -> Column:
+        return F.aggregate(F.filter(F.split(limb, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a * base + F.ascii(c) - first)
+
+    def text(v: Column, n: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(most - 1), F.lit(0)), lambda i: i < n)
+        of = F.array(*[F.lit(base**i).cast("long") for i in range(most)])
+        return F.array_join(F.transform(places, lambda i: F.char((div(v, F.element_at(of, i + 1)) % base + first).cast("int"))), "")
+
+    def limb(i: Column) -> Column:
+        part, n = F.substring(x, i * most + 1, F.lit(most)), F.least(F.lit(most), F.length(x) - i * most)
+        low, high = _powers(base, n)
+        before = F.concat_ws(":", F.lit(tweak), F.length(x).cast("string"), F.substring(x, F.lit(1), i * most))
+        return text(feistel(number(part), low, high, key, before), n)
+
+    limbs = F.sequence(F.lit(0), F.floor((F.length(x) - 1) / most).cast("int"))
+    return F.when(F.length(x) == 0, F.lit("")).otherwise(F.array_join(F.transform(limbs, limb), ""))
 
 
 def permute_digits(d: Column, key: str, tweak: str) -> Column:
-    """A string of 0 to 18 digits as another of that length."""
-    n = F.length(d)
-    low, high = _halves(n)
-    return F.when(n == 0, F.lit("")).otherwise(F.lpad(feistel(d.cast("long"), low.cast("long"), high.cast("long"), key, tweak).cast("string"), n, F.lit("0")))
+    """A string of digits as another of that length."""
+    return _permute(d, 10, DIGITS, key, tweak)
+
+
+def permute_letters(x: Column, key: str, tweak: str) -> Column:
+    """A string of a-z as another of that length."""
+    return _permute(x, 26, LETTERS, key, tweak)
 
 
 def refill(shape: Column, new: Column) -> Column:
@@ -109,7 +145,7 @@ def _phone(x: Column, key: str) -> Column:
     d = digits(x)
     area, rest, line = F.substring(d, 2, 3).cast("long") - 200, F.substring(d, 5, 3).cast("long") - 200, F.substring(d, 8, 4).cast("long")
     v = feistel((area * 800 + rest) * 10_000 + line, F.lit(80_000).cast("long"), F.lit(80_000).cast("long"), key, "phone")
-    new = F.concat(F.lit("1"), (F.floor(v / 8_000_000) + 200).cast("string"), (F.pmod(F.floor(v / 10_000), F.lit(800)) + 200).cast("string"), F.lpad((v % 10_000).cast("string"), 4, "0"))
+    new = F.concat(F.lit("1"), (div(v, 8_000_000) + 200).cast("string"), (div(v, 10_000) % 800 + 200).cast("string"), F.lpad((v % 10_000).cast("string"), 4, "0"))
     return refill(x, new)
 
 
@@ -122,7 +158,14 @@ def _ip(x: Column, key: str) -> Column:
 
 
 def _ssn(x: Column, key: str) -> Column:
-    return refill(x, permute_digits(digits(x), key, "ssn"))
+    """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999; others are no numbers and stay."""
+    d = digits(x)
+    area, group, serial = (F.substring(d, at, n).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+    nth = area - F.when(area > 666, 2).otherwise(1)
+    v = feistel((nth * 99 + group - 1) * 9_999 + serial - 1, F.lit(3 * 9_999).cast("long"), F.lit(33 * 898).cast("long"), key, "ssn")
+    nth = div(v, 99 * 9_999)
+    new = F.concat(F.lpad((nth + F.when(nth >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((div(v, 9_999) % 99 + 1).cast("string"), 2, "0"), F.lpad((v % 9_999 + 1).cast("string"), 4, "0"))
+    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), refill(x, new))
 
 
 def _date(x: Column, key: str) -> Column:
@@ -133,15 +176,19 @@ def _date(x: Column, key: str) -> Column:
 
 
 def _email(x: Column, key: str) -> Column:
-    """Letters of the local part become letters of a keyed digest, digits are permuted; the domain stays."""
+    """Letters and digits of the local part are permuted, each among their kind and in their case; marks and the domain stay."""
     local, domain = F.substring_index(x, "@", 1), F.substring_index(x, "@", -1)
-    d = digits(local)
-    new_digits = F.when(F.length(d) <= 18, permute_digits(d, key, "email")).otherwise(d)
-    shape = refill(local, new_digits)
-    mask = F.translate(F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), F.lower(local)), 256), "0123456789", "ghijklmnop")
-    mask = F.concat(mask, mask, mask, mask)
+    letters = permute_letters(F.lower(F.regexp_replace(local, "[^A-Za-z]", "")), key, "email")
+    shape = refill(local, permute_digits(digits(local), key, "email"))
+
+    def put(acc: Column, c: Column) -> Column:
+        new = F.substring(acc["left"], 1, 1)
+        return F.when(c.rlike("[A-Za-z]"), F.struct(F.concat(acc["out"], F.when(c.rlike("[A-Z]"), F.upper(new)).otherwise(new)).alias("out"), F.substring(acc["left"], F.lit(2), F.length(acc["left"])).alias("left"))).otherwise(
+            F.struct(F.concat(acc["out"], c).alias("out"), acc["left"].alias("left"))
+        )
+
     chars = F.filter(F.split(shape, ""), lambda c: c != "")
-    out = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[a-z]"), F.substring(mask, F.pmod(i, F.lit(256)) + 1, F.lit(1))).when(c.rlike("[A-Z]"), F.upper(F.substring(mask, F.pmod(i, F.lit(256)) + 1, F.lit(1)))).otherwise(c)), "")
+    out = F.aggregate(chars, F.struct(F.lit("").alias("out"), letters.alias("left")), put, lambda a: a["out"])
     return F.concat(out, F.lit("@"), domain)
 
 
@@ -178,7 +225,8 @@ def _run(x: Column, key: str) -> Column:
                 date, ssn = F.regexp_extract(w, DATE, 0), F.regexp_extract(w, SSN, 0)
                 new = F.when(free & (date != ""), _date(date, key))
                 card = F.get(_valid(F.array(*[F.regexp_extract(w, p, 0) for p in CARDS])), F.lit(0))
-                out = F.when(new.isNotNull(), _found(i, date, "date", new)).when(free & (ssn != ""), _found(i, ssn, "ssn", _ssn(ssn, key)))
+                number = F.when(free & (ssn != ""), _ssn(ssn, key))
+                out = F.when(new.isNotNull(), _found(i, date, "date", new)).when(number.isNotNull(), _found(i, ssn, "ssn", number))
                 return out.otherwise(_let(card, lambda c: F.when(c.isNotNull(), _found(i, c, "card", _card(c, key)))))
 
             return _let(rest(i), at)
@@ -208,10 +256,9 @@ def _run(x: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text with pseudonyms, n_<kind> of each kind and n_replaced, one row per row of docs.
 
-    A match that fails its check (Luhn sum, byte range, calendar, date range) stays as it is and is not counted; inside runs of
-    digits the other kinds and lengths, and the next groups, are tried then. Equal values
-    under one key get equal pseudonyms in all documents; values of one format and length never collide, e-mail letters
-    but by a digest. Null text stays null with zero counts; long texts are read whole; repeated rows get equal results; no
+    A match that fails its check (Luhn sum, byte range, area and group, calendar, date range) stays as it is and is not
+    counted; inside runs of digits the other kinds and lengths, and the next groups, are tried then. Equal values under one
+    key get equal pseudonyms in all documents; values of one format and length never collide. Null text stays null with zero counts; long texts are read whole; repeated rows get equal results; no
     rows give no rows; other columns of docs are not read.
     """
     df = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules up to this many are sent to every task; more are joined by host.
-MAX_SENT_RULES = 50_000
+#: Rows (URLs and rules) that one range holds, about, and rows sampled for each range's bounds. Only balance depends on the sample.
+RANGE_ROWS, SAMPLED = 500_000, 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -68,43 +69,72 @@ class Sweep:
 
 
 OUT = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("found", pa.string())])
+DEALT = pa.schema([("range", pa.int32()), ("is_url", pa.bool_()), ("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("verdict", pa.string())])
+DEALT_DDL = "range int, is_url boolean, id long, host string, path string, verdict string"
 
+Bounds = list[tuple[tuple[str, ...], str]]
 
-def _sweep(rules: list[tuple[str, str, str]]):
+
+def reaches(host: str, bounds: Bounds) -> range:
+    """The ranges that the interval of a rule's host (itself and its subdomains) overlaps."""
+    k = key(host)
+    # after all (key, path) whose key begins with k
+    end = bisect_left(bounds, True, key=lambda b: b[0][: len(k)] > k)
+    return range(bisect_right(bounds, (k, "")), end + 1)
+
+
+def _deal(bounds: Bounds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep = Sweep(rules)
         for batch in batches:
-            ids, hosts, paths = (batch.column(c) for c in ("id", "host", "path"))
-            found = [sweep.judge(key(h), p) if h else None for h, p in zip(hosts.to_pylist(), paths.to_pylist())]
-            cols = [ids, hosts, paths, *(pa.array([f and f[i] for f in found], pa.string()) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays(cols, schema=OUT)
+            rows = []
+            for is_url, *row in zip(*(batch.column(c).to_pylist() for c in DEALT.names[1:])):
+                at = (bisect_right(bounds, (key(row[1]), row[2])),) if is_url else reaches(row[1], bounds)
+                rows += [(r, is_url, *row) for r in at]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(DEALT)], schema=DEALT)
 
     return run
 
 
-def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_sent: int = MAX_SENT_RULES) -> DataFrame:
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges one after the other: first the rules that reach into one, then its URLs in order."""
+    at, rules, sweep = None, [], None
+    for batch in batches:
+        out = []
+        for r, is_url, i, host, path, verdict in zip(*(batch.column(c).to_pylist() for c in DEALT.names)):
+            if r != at:
+                at, rules, sweep = r, [], None
+            if not is_url:
+                rules.append((host, path, verdict))
+                continue
+            sweep = sweep or Sweep(rules)
+            found = sweep.judge(key(host), path) if host else None
+            out.append((i, host, path, *(found or (None, None))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), OUT)], schema=OUT)
+
+
+def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", range_rows: int = RANGE_ROWS) -> DataFrame:
     """id, host, path, rule and verdict, one row per row of urls. rules has (host, path, verdict), all strings.
 
     A rule fits its host and all its subdomains when the path starts with the rule's; of several the one with the longest
-    host + path wins, then the larger by code point; without one the verdict is default. URLs are range-partitioned by key
-    and path and swept in order, so a hot host is spread over many tasks. Up to max_sent rules every task gets them all;
-    beyond that the URLs meet the rules by the hosts above them. Null or odd urls have an empty host and meet no rule, as
-    does a rule with an empty or null host; a null path counts as empty; repeated rules are one; no rows give no rows.
+    host + path wins, then the larger by code point; without one the verdict is default. URLs are dealt into ranges of
+    key and path, so a hot host is spread over many; a rule goes to each range that its host's interval overlaps, which
+    are its own and those of URLs below it. Ranges are sorted and swept, whatever the number of rules. Bounds come from a
+    sample of SAMPLED rows per range; only balance depends on it. Null or odd urls have an empty host and meet no rule, as
+    does a rule with an empty or null host; a null path counts as empty; repeated rules are one, repeated rows are rows;
+    no rows give no rows; other columns of urls are not read.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
-    df = urls.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
-    rules = rules.select(F.col("host").alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")).where("r_host <> ''").distinct()
-    few = [tuple(r) for r in rules.limit(max_sent + 1).collect()]
-    if len(few) <= max_sent:
-        order = [F.reverse(F.split("host", r"\.")), F.col("path"), F.col("id")]
-        keyed = df.select("*", order[0].alias("key"))
-        swept = keyed.repartitionByRange("key", "path", "id").sortWithinPartitions("key", "path", "id").select("id", "host", "path")
-        out = swept.mapInArrow(_sweep(few), "id long, host string, path string, rule string, found string")
-    else:
-        labels = F.split("host", r"\.")
-        above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-        hosts = df.select("host").distinct().withColumn("r_host", F.explode(above))
-        fits = hosts.join(rules, "r_host").groupBy("host").agg(F.collect_list(F.struct(F.length(F.concat("r_host", "r_path")).alias("n"), F.concat("r_host", "r_path").alias("rule"), "r_path", F.col("r_verdict").alias("found"))).alias("fits"))
-        best = F.array_max(F.filter("fits", lambda x: F.col("path").startswith(x["r_path"])))
-        out = df.join(fits, "host", "left").withColumn("best", best).select("id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.found").alias("found"))
+    df = urls.select(F.lit(True).alias("is_url"), F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("verdict"))
+    rules = rules.select(F.lit(False).alias("is_url"), F.lit(None).cast("long").alias("id"), "host", F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> ''").distinct()
+    both = df.unionByName(rules)
+    total = both.count()
+    n = max(1, -(-total // range_rows))
+    share = min(1.0, SAMPLED * n / max(1, total))
+    some = sorted({(key(r[0]), r[1]) for r in both.select("host", "path").sample(share, 7).collect()}) if n > 1 else []
+    bounds = [some[i * len(some) // n] for i in range(1, n)] if some else []
+    dealt = both.mapInArrow(_deal(sorted(set(bounds))), DEALT_DDL)
+    reverse = F.reverse(F.split("host", r"\."))
+    dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "is_url", reverse, "path", "id")
+    out = dealt.mapInArrow(_sweep, "id long, host string, path string, rule string, found string")
     return out.select("id", "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))

@@ -27,6 +27,8 @@ from trackloom.llm.common import lookup, materialize, new_path
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of records that one archive holds, and of neighbouring records that are read at once.
 ARCHIVE_BYTES, READ_BYTES = 64 << 20, 4 << 20
+#: Bytes of records that one task reads, about.
+TASK_BYTES = 8 << 20
 #: Payloads under this size are never revisits.
 LEAST_REVISIT = 1_000
 _MAX16, _MAX32 = 0xFFFF, 0xFFFFFFFF
@@ -191,6 +193,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     digests = materialize(rows.where(F.col("size") >= LEAST_REVISIT).select("id", "digest"), "digests")
     seen = materialize(digests.groupBy("digest").agg(F.max("id").alias("refers"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
     revisits = lookup(digests, seen, "digest", "copies", "inner").where("id <> refers").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers").distinct()
+    # a written table, whose size Spark knows: while it is small it is broadcast and payloads stay where they are
+    revisits = materialize(revisits, "revisits")
     rows = rows.join(revisits, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     rows = rows.select("id", "url", "size", "digest", F.when(F.col("refers").isNull(), "response").otherwise("revisit").alias("type"), "refers", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"))
     rows = rows.withColumn("payload", F.coalesce("payload", F.lit("").cast("binary")))
@@ -258,11 +262,13 @@ def _read(with_payload: bool):
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of ZIP-packaged archives: id, url, type, refers_to, payload_bytes, digest (hex SHA-1), payload.
 
-    archives has a column archive with paths that executors can open. Records are dealt over tasks by archive and place
+    archives has a column archive with paths that executors can open; with n_bytes too, tasks are dealt TASK_BYTES each. Records are dealt over tasks by archive and place
     and read by range; responses are checked against their digests. A revisit has no payload of its own; its size and digest
     are those of the full payload. A damaged archive or record raises an error. No archives give no rows.
     """
-    places = locate_records(archives).repartitionByRange("archive", "at").sortWithinPartitions("archive", "at")
+    n = max(1, -(-(archives.agg(F.sum("n_bytes")).first()[0] or 0) // TASK_BYTES)) if "n_bytes" in archives.columns else None
+    places = locate_records(archives)
+    places = places.repartitionByRange(*([n] if n else []), "archive", "at").sortWithinPartitions("archive", "at")
     return places.mapInArrow(_read(with_payload), "id long, url string, type string, refers_to long, payload_bytes long, digest string, payload binary")
 
 
