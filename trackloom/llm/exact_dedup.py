@@ -60,21 +60,18 @@ def compact(runs: DataFrame) -> DataFrame:
     return materialize(merged.where("n > 1").sortWithinPartitions("digest"), "lsm-index", **{"parquet.bloom.filter.enabled#digest": "true"})
 
 
-def _place(digest: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(bits))
-
-
 def asked(texts: DataFrame, index: DataFrame, n: int) -> DataFrame:
     """The rows of texts whose digest the index's filter has; all rows if the filter of n digests would pass SENT_BYTES."""
-    bits = -(-FILTER_BITS * n // PAGE_BITS) * PAGE_BITS
+    bits = max(PAGE_BITS, 1 << (FILTER_BITS * n - 1).bit_length() if n else 0)
     if bits // 8 > SENT_BYTES:
         return texts
-    place = _place(F.col("digest"), bits)
-    pages = index.select((place % PAGE_BITS).alias("bit"), F.floor(place / PAGE_BITS).alias("page")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    pages = materialize(pages, "lsm-filter")
-    rows = texts.withColumns({"bit": place % PAGE_BITS, "page": F.floor(place / PAGE_BITS)}).join(F.broadcast(pages), "page")
-    byte = F.conv(F.hex(F.substring("bitmap", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.where(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(1) == 1).select(*texts.columns)
+    # never null, so that the join needs no check for which the digest would be computed once more
+    place = F.xxhash64("digest").bitwiseAND(bits - 1)
+    bit, page = place.bitwiseAND(PAGE_BITS - 1), F.shiftrightunsigned(place, PAGE_BITS.bit_length() - 1)
+    pages = materialize(index.select(bit.alias("bit"), page.alias("page")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bitmap")), "lsm-filter")
+    rows = texts.withColumns({"bit": bit, "page": page}).join(F.broadcast(pages), "page")
+    byte = F.conv(F.hex(F.substring("bitmap", F.shiftright("bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.call_function("shiftright", byte, F.col("bit").bitwiseAND(7).cast("int")).bitwiseAND(1) == 1).select(*texts.columns)
 
 
 def collisions(docs: DataFrame, index: DataFrame, text_col: str, digest: Digest) -> DataFrame:

@@ -43,6 +43,11 @@ ODD_CARDS = tuple(rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])" for n in range(19
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def div(x: Column, y: Column | int) -> Column:
     """The whole part of a quotient of longs, without the rounding of doubles."""
     return F.call_function("div", x, F.lit(y).cast("long") if isinstance(y, int) else y)
@@ -50,11 +55,12 @@ def div(x: Column, y: Column | int) -> Column:
 
 def feistel(x: Column, low: Column, high: Column, key: str, tweak: str | Column) -> Column:
     """x in [0, low * high) permuted by alternating rounds that add a keyed hash of one half to the other."""
-    start = F.struct((x % low).cast("long").alias("a"), div(x, low).alias("b"))
+    about = F.concat_ws(":", F.lit(key), F.lit(tweak) if isinstance(tweak, str) else tweak, low.cast("string"), high.cast("string"))
+    start = _let(x, lambda v: F.struct((v % low).cast("long").alias("a"), div(v, low).alias("b")))
 
     def hashed(half: Column, i: Column, modulus: Column) -> Column:
         # 52 bits of a keyed digest
-        text = F.concat_ws(":", F.lit(key), F.lit(tweak) if isinstance(tweak, str) else tweak, low.cast("string"), high.cast("string"), i.cast("string"), half.cast("string"))
+        text = F.concat_ws(":", about, i.cast("string"), half.cast("string"))
         return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long"), modulus)
 
     def step(s: Column, i: Column) -> Column:
@@ -95,8 +101,9 @@ def _permute(x: Column, base: int, most: int, key: str, tweak: str) -> Column:
     def limb(i: Column) -> Column:
         part, n = F.substring(x, i * most + 1, F.lit(most)), F.least(F.lit(most), F.length(x) - i * most)
         low, high = _powers(base, n)
-        before = F.concat_ws(":", F.lit(tweak), F.length(x).cast("string"), F.substring(x, F.lit(1), i * most))
-        return text(feistel(number(part), low, high, key, before), n)
+        about = F.struct(low.alias("low"), high.alias("high"), F.concat_ws(":", F.lit(tweak), F.length(x).cast("string"), F.substring(x, F.lit(1), i * most)).alias("before"))
+        # bound once: lambdas evaluate what they name at each use
+        return _let(about, lambda o: _let(feistel(number(part), o["low"], o["high"], key, o["before"]), lambda v: text(v, n)))
 
     limbs = F.sequence(F.lit(0), F.floor((F.length(x) - 1) / most).cast("int"))
     return F.when(F.length(x) == 0, F.lit("")).otherwise(F.array_join(F.transform(limbs, limb), ""))
@@ -136,8 +143,8 @@ def luhn_sum(d: Column) -> Column:
 def _card(x: Column, key: str) -> Column:
     d = digits(x)
     body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-    check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(luhn_sum(d) % 10 == 0, refill(x, F.concat(body, check)))
+    new = _let(body, lambda body: F.concat(body, F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
+    return F.when(luhn_sum(d) % 10 == 0, _let(new, lambda new: refill(x, new)))
 
 
 def _phone(x: Column, key: str) -> Column:
@@ -145,15 +152,15 @@ def _phone(x: Column, key: str) -> Column:
     d = digits(x)
     area, rest, line = F.substring(d, 2, 3).cast("long") - 200, F.substring(d, 5, 3).cast("long") - 200, F.substring(d, 8, 4).cast("long")
     v = feistel((area * 800 + rest) * 10_000 + line, F.lit(80_000).cast("long"), F.lit(80_000).cast("long"), key, "phone")
-    new = F.concat(F.lit("1"), (div(v, 8_000_000) + 200).cast("string"), (div(v, 10_000) % 800 + 200).cast("string"), F.lpad((v % 10_000).cast("string"), 4, "0"))
-    return refill(x, new)
+    new = _let(v, lambda v: F.concat(F.lit("1"), (div(v, 8_000_000) + 200).cast("string"), (div(v, 10_000) % 800 + 200).cast("string"), F.lpad((v % 10_000).cast("string"), 4, "0")))
+    return _let(new, lambda new: refill(x, new))
 
 
 def _ip(x: Column, key: str) -> Column:
     parts = F.transform(F.split(x, r"\."), lambda p: p.cast("long"))
     v = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p)
     n = feistel(v, F.lit(65_536).cast("long"), F.lit(65_536).cast("long"), key, "ip")
-    new = F.array_join(F.transform(F.array(*[F.lit(i) for i in (24, 16, 8, 0)]), lambda s: F.pmod(F.floor(n / F.pow(F.lit(2.0), s)), F.lit(256)).cast("string")), ".")
+    new = _let(n, lambda n: F.array_join(F.transform(F.array(*[F.lit(1 << i).cast("long") for i in (24, 16, 8, 0)]), lambda s: (div(n, s) % 256).cast("string")), "."))
     return F.when(F.forall(parts, lambda p: p <= 255), new)
 
 
@@ -163,9 +170,12 @@ def _ssn(x: Column, key: str) -> Column:
     area, group, serial = (F.substring(d, at, n).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
     nth = area - F.when(area > 666, 2).otherwise(1)
     v = feistel((nth * 99 + group - 1) * 9_999 + serial - 1, F.lit(3 * 9_999).cast("long"), F.lit(33 * 898).cast("long"), key, "ssn")
-    nth = div(v, 99 * 9_999)
-    new = F.concat(F.lpad((nth + F.when(nth >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((div(v, 9_999) % 99 + 1).cast("string"), 2, "0"), F.lpad((v % 9_999 + 1).cast("string"), 4, "0"))
-    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), refill(x, new))
+    def number(v: Column) -> Column:
+        nth = div(v, 99 * 9_999)
+        return F.concat(F.lpad((nth + F.when(nth >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((div(v, 9_999) % 99 + 1).cast("string"), 2, "0"), F.lpad((v % 9_999 + 1).cast("string"), 4, "0"))
+
+    new = _let(_let(v, number), lambda new: refill(x, new))
+    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), new)
 
 
 def _date(x: Column, key: str) -> Column:
@@ -179,7 +189,7 @@ def _email(x: Column, key: str) -> Column:
     """Letters and digits of the local part are permuted, each among their kind and in their case; marks and the domain stay."""
     local, domain = F.substring_index(x, "@", 1), F.substring_index(x, "@", -1)
     letters = permute_letters(F.lower(F.regexp_replace(local, "[^A-Za-z]", "")), key, "email")
-    shape = refill(local, permute_digits(digits(local), key, "email"))
+    shape = _let(permute_digits(digits(local), key, "email"), lambda new: refill(local, new))
 
     def put(acc: Column, c: Column) -> Column:
         new = F.substring(acc["left"], 1, 1)
@@ -195,11 +205,6 @@ def _email(x: Column, key: str) -> Column:
 REPLACE = {"email": _email, "phone": _phone, "ip": _ip}
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _found(i: Column, old: Column, kind: str, new: Column) -> Column:
     return F.struct(i.cast("int").alias("i"), F.size(F.split(old, "[ -]")).alias("m"), F.lit(kind).alias("kind"), new.alias("new"))
 
