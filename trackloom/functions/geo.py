@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6_371.0
@@ -91,3 +91,40 @@ def solar_elevation(day_of_year: Column, hour_utc: Column, lat: float, lon: floa
     la = F.radians(F.lit(lat))
     c = F.sin(la) * F.sin(dec) + F.cos(la) * F.cos(dec) * F.cos(ha)
     return 90 - F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
+
+
+def feet_to_metres(feet: Column, geoid: float = 0.0) -> Column:
+    """Metres, moved by the geoid's height; null stays null."""
+    return feet * FEET + geoid
+
+
+def roi_halves(along: Column, cross: Column, padding: float) -> tuple[Column, Column]:
+    """Half lengths along and across: of the full sizes if both are given and not 0, else three paddings and one."""
+    given = F.coalesce((along != 0) & (cross != 0), F.lit(False))
+    return F.when(given, along / 2).otherwise(3 * padding), F.when(given, cross / 2).otherwise(padding)
+
+
+def rotated_box(cx: Column, cy: Column, vx: Column, vy: Column, along: Column, cross: Column) -> Column:
+    """Four corners (x, y) of the rectangle around a centre with its long side along the unit vector, in turning order."""
+
+    def corner(a: int, c: int) -> Column:
+        return F.struct((cx + a * along * vx - c * cross * vy).alias("x"), (cy + a * along * vy + c * cross * vx).alias("y"))
+
+    return F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
+
+
+def crop_origin(edge: Column, padding: int) -> Column:
+    """Where a padded crop begins in its frame, clipped at 0."""
+    return F.greatest(edge - padding, F.lit(0))
+
+
+def pixel_metres(pixels: Column, e: Column, n: Column, u: Column, fx: float, fy: float) -> Column:
+    """Metres that a length in pixels spans at the slant range; 0 without a length, a position or a distance."""
+    slant = F.sqrt(e * e + n * n + u * u)
+    return F.when((pixels > 0) & (slant >= 1), slant * pixels / (fx * fy) ** 0.5).otherwise(0.0)
+
+
+def along_span(lines: DataFrame, keys: list[str], vx: float, vy: float) -> DataFrame:
+    """Extent along a unit vector of the ends (x1, y1) and (x2, y2) of all lines of a key."""
+    p, q = F.col("x1") * vx + F.col("y1") * vy, F.col("x2") * vx + F.col("y2") * vy
+    return lines.groupBy(*keys).agg((F.max(F.greatest(p, q)) - F.min(F.least(p, q))).alias("span"))

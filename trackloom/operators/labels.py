@@ -65,3 +65,26 @@ def upsert(table: DataFrame, labels: DataFrame, item: str, labeler: str, label:
     added = fresh.join(shape, item).select(item, labeler, F.col("_new").alias(label), *rest)
     still = open_.join(last.select(item).distinct(), item, "left_anti")
     return known.select(*table.columns).unionByName(added.select(*table.columns)).unionByName(still)
+
+
+def suppress(frames: DataFrame, mask: DataFrame, frame_id: str, cells: str, cell: str, score: str, line: str, most: float) -> DataFrame:
+    """frames with suppressed: a line with more than the share `most` of its cells in the mask loses its line and its score."""
+    touched = frames.select(frame_id, F.size(cells).alias("_all"), F.explode(cells).alias(cell)).join(mask, cell)
+    hit = touched.groupBy(frame_id).agg((F.count(F.lit(1)) / F.first("_all") > most).alias("suppressed"))
+    rows = frames.join(hit, frame_id, "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
+    return rows.withColumns({score: F.when(F.col("suppressed"), 0.0).otherwise(F.col(score)), line: F.col(line) & ~F.col("suppressed")}).drop(cells)
+
+
+def id_space(rows: DataFrame, known: DataFrame, file: list[str], item: str, known_id: str, most: float) -> DataFrame:
+    """Per file its labels, those with unknown ids and their share; a file with more than `most` of them is skipped."""
+    found = rows.join(known.select(F.col(known_id).alias(item), F.lit(1).alias("_hit")).distinct(), item, "left")
+    counts = found.groupBy(*file).agg(F.count(F.lit(1)).alias("labels"), F.count_if(F.col("_hit").isNull()).alias("unmapped"))
+    share = F.col("unmapped") / F.col("labels")
+    return counts.withColumns({"unmapped_fraction": F.round(share, 3), "action": F.when(share > most, "skipped").otherwise("remapped")})
+
+
+def catalogue(files: DataFrame, name: str, known: str) -> DataFrame:
+    """Labelers and number of files per date: the known labeler, else the one in DATE_LABELER.json; other names are left out."""
+    pattern = r"^(\d{4}-\d\d-\d\d)_(.+)\.json$"
+    rows = files.where(F.col(name).rlike(pattern)).select(F.regexp_extract(name, pattern, 1).alias("date"), F.coalesce(known, F.regexp_extract(name, pattern, 2)).alias("labeler"))
+    return rows.groupBy("date").agg(F.array_join(F.array_sort(F.collect_set("labeler")), ",").alias("labelers"), F.count(F.lit(1)).alias("files"))

@@ -67,3 +67,38 @@ def kappa(pairs: DataFrame, keys: list[str]) -> DataFrame:
     po, pe = F.col("same") / F.col("n"), F.col("x") / (F.col("n") * F.col("n"))
     k = F.when(F.col("x") == F.col("n") * F.col("n"), F.when(F.col("same") == F.col("n"), 1.0).otherwise(float("nan"))).otherwise((po - pe) / (1 - pe))
     return total.join(chance, keys).select(*keys, "n", po.alias("agreement"), k.alias("kappa"))
+
+
+def at_thresholds(df: DataFrame, keys: list[str], positive: Column, score: Column, thresholds: tuple[float, ...]) -> DataFrame:
+    """Confusion counts per key and threshold: one row per key is counted, not one per row and threshold."""
+    hits = [c.alias(f"{k}{i}") for i, t in enumerate(thresholds) for k, c in (("tp", F.count_if(positive & (score >= t))), ("fp", F.count_if(~positive & (score >= t))))]
+    counts = df.groupBy(*keys).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"), *hits)
+    points = [F.struct(F.lit(t).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), (F.col("_p") - F.col(f"tp{i}")).alias("fn"), (F.col("_n") - F.col(f"fp{i}")).alias("tn")) for i, t in enumerate(thresholds)]
+    return counts.select(*keys, F.inline(F.array(*points)))
+
+
+def median_of_all(df: DataFrame, value: str) -> DataFrame:
+    """One row (m): the median of all values. Buckets of whole numbers are counted, and only the middle ones are sorted."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.floor(value).alias("_b"))
+    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    up_to, every = Window.orderBy("_b"), Window.partitionBy()
+    counts = counts.select("_b", (F.sum("_c").over(up_to) - F.col("_c")).alias("_before"), "_c", F.sum("_c").over(every).alias("_all"))
+    lo, hi = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    # at most two buckets hold the middle ranks
+    middle = counts.where((F.col("_before") <= hi) & (F.col("_before") + F.col("_c") > lo)).select("_b", "_before", lo.alias("_lo"), hi.alias("_hi"))
+    values = rows.groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("_k")).join(F.broadcast(middle), "_b")
+    end = F.col("_before") + F.sum("_k").over(Window.partitionBy("_b").orderBy("_v"))
+    values = values.select("_v", (end - F.col("_k")).alias("_from"), end.alias("_to"), "_lo", "_hi")
+    in_ = lambda r: F.when((F.col(r) >= F.col("_from")) & (F.col(r) < F.col("_to")), F.col("_v"))
+    return values.agg(((F.max(in_("_lo")) + F.max(in_("_hi"))) / 2).alias("m"))
+
+
+def two_best(vectors: DataFrame, bank: DataFrame, vector: str, name: str, template: str, most: int = 10_000) -> DataFrame:
+    """vectors with best: the two (sim, minus name) of largest cosine, found inside the row. A bank of over `most` is refused."""
+    if bank.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} templates; join them by blocks instead")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    one = bank.agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col(template).alias("t"), dot(F.col(template), F.col(template)).alias("tt"))).alias("_bank"))
+    rows = vectors.withColumn("_vv", dot(F.col(vector), F.col(vector))).crossJoin(F.broadcast(one))
+    sims = F.transform("_bank", lambda b: F.struct(F.round(dot(F.col(vector), b["t"]) / F.sqrt(F.col("_vv") * b["tt"]), 9).alias("sim"), (-b["name"]).alias("g")))
+    return rows.withColumn("best", F.slice(F.sort_array(sims, asc=False), 1, 2)).drop("_bank", "_vv")

@@ -66,3 +66,8 @@ def farthest_points(df: DataFrame, key: str, item: str, x: str, y: str, k: int,
         return out[[key, item, "rank"]]
 
     return df.select(key, item, x, y).groupBy(key).applyInPandas(pick, f"{key} {schema[key].dataType.simpleString()}, {item} {schema[item].dataType.simpleString()}, rank int")
+
+
+def top_above(df: DataFrame, value: Column, least: float, order: list, n: int) -> DataFrame:
+    """The first n rows by order among those of at least a value."""
+    return df.where(value >= least).orderBy(*order).limit(n)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +31,32 @@ def upsample(df: DataFrame, key: str, step: str, values: list[str], most: int, c
 
 
 def thin(df: DataFrame, key: str, t: str, step: float, payload: list[str]) -> DataFrame:
-    """Greedy thinning of each key's rows in order of t: a row stays if it is the first, the last, or `step` after the last kept one."""
-    packed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(t, *payload))).alias("rows"))
-
-    def take(acc, x):
-        first = F.size(acc["kept"]) == 0
-        due = first | (x[t] - acc["last"] >= step)
-        return F.struct(F.when(due, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"), F.when(due, x[t]).otherwise(acc["last"]).alias("last"))
-
-    none = F.slice("rows", 1, 0)
-    kept = F.aggregate("rows", F.struct(none.alias("kept"), F.get("rows", F.lit(0))[t].alias("last")), take, lambda a: a["kept"])
-    last = F.element_at("rows", -1)
-    kept = F.when(F.array_contains(kept, last), kept).otherwise(F.concat(kept, F.array(last)))
-    return packed.select(key, F.inline(kept))
+    """Greedy thinning of each key's rows in order of t: a row stays if it is the first, the last, or `step` after the last kept one.
+
+    A key's sorted rows stream through one task, which holds the time of the last kept row and the row it saw last.
+    """
+    rows = df.select(key, t, *payload)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, due, held = object(), None, None
+        for batch in chain(batches, [None]):
+            out = []
+            if batch is None:
+                out += [held] if held is not None else []
+            else:
+                for i, (k, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                    new = k != now
+                    if new and held is not None:
+                        out.append(held)
+                    if new or at >= due:
+                        out.append(batch.slice(i, 1))
+                        now, due, held = k, at + step, None
+                    else:
+                        held = batch.slice(i, 1)
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return rows.where(F.col(t).isNotNull()).repartition(key).sortWithinPartitions(key, t, *payload).mapInArrow(run, rows.schema)
 
 
 def previous(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:

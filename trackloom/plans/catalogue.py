@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackloom.plans import evaluation, geometry, tracks
+from trackloom.plans import curation, evaluation, geometry, regions, tracks, tuning
 
-MODULES = (tracks, evaluation, geometry)
+MODULES = (tracks, evaluation, geometry, regions, tuning, curation)
 
 
 def queries() -> dict:

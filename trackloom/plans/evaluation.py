@@ -20,11 +20,12 @@ SCORES = {
 
 
 def q_truth_table(spark, sf_dir):
-    """Confusion counts per day and over all, by grouping sets."""
-    d = scored(spark, sf_dir)
-    per = metrics.confusion(d, ["day"], F.col("pos"), F.col("score") >= 0.5)
-    every = metrics.confusion(d.withColumn("day", F.lit("OVERALL")), ["day"], F.col("pos"), F.col("score") >= 0.5)
-    return per.unionByName(every).select("day", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr", "precision")])
+    """Confusion counts per day and over all, by grouping sets over one scan."""
+    pos, hit = F.col("pos"), F.col("score") >= 0.5
+    counts = [F.count_if(c).alias(n) for n, c in (("tp", pos & hit), ("fp", ~pos & hit), ("fn", pos & ~hit), ("tn", ~pos & ~hit))]
+    c = scored(spark, sf_dir).groupingSets([["day"], []], "day").agg(*counts).withColumn("day", F.coalesce("day", F.lit("OVERALL")))
+    share = lambda a, b: F.round(metrics.rate(F.col(a), F.col(a) + F.col(b)), 6)
+    return c.select("day", "tp", "fp", "fn", "tn", share("tp", "fn").alias("tpr"), share("fp", "tn").alias("fpr"), share("tp", "fp").alias("precision"))
 
 
 def q_outcome_review(spark, sf_dir):
@@ -45,34 +46,13 @@ def q_youden(spark, sf_dir):
     return metrics.youden(scored(spark, sf_dir), ["day"], F.col("pos"), "score").select("day", F.round("threshold", 7).alias("threshold"), F.round("j", 9).alias("j"))
 
 
-def _sweep(spark, sf_dir):
-    grid = spark.createDataFrame([(i, g, w) for i, (g, w) in enumerate((g, w) for g in (0.5, 1.0, 2.0) for w in (0.0, 0.1, 0.2))], "combo int, gamma double, bonus double")
-    rows = scored(spark, sf_dir).crossJoin(F.broadcast(grid)).withColumn("s", F.round(F.least(F.lit(1.0), F.pow("score", F.col("gamma")) + F.col("bonus") * (F.col("n_chars") % 10) / 10.0), 6))
-    rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])))
-    c = metrics.confusion(rows, ["day", "combo", "threshold"], F.col("pos"), F.col("s") >= F.col("threshold"))
-    return c, rows
-
-
 def q_grid_sweep(spark, sf_dir):
-    """Nine parameter combinations by five thresholds over all days: counts and Youden's J, ranked per combination."""
-    c, _ = _sweep(spark, sf_dir)
-    c = c.groupBy("combo", "threshold").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn", "tn")])
-    j = F.round(metrics.rate(F.col("tp"), F.col("tp") + F.col("fn")) - metrics.rate(F.col("fp"), F.col("fp") + F.col("tn")), 9)
-    return c.withColumn("j", j)
-
-
-def q_holdout(spark, sf_dir):
-    """The combination that is best on two days against the default one on the other two, with the verdict."""
-    c, _ = _sweep(spark, sf_dir)
-    rate = metrics.rate
-    tune = c.where(F.col("day").isin("en", "de")).groupBy("combo", "threshold").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn", "tn")])
-    j = F.round(rate(F.col("tp"), F.col("tp") + F.col("fn")) - rate(F.col("fp"), F.col("fp") + F.col("tn")), 9)
-    best = tune.withColumn("j", j).orderBy(F.col("j").desc(), "fp", "combo", "threshold").limit(1).select("combo", "threshold")
-    rest = c.where(~F.col("day").isin("en", "de")).groupBy("combo", "threshold").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn", "tn")])
-    card = rest.select("combo", "threshold", F.round(rate(F.col("tp"), F.col("tp") + F.col("fn")), 9).alias("recall"), F.round(rate(F.col("fp"), F.col("fp") + F.col("tn")), 9).alias("fpr"))
-    base = card.where("combo = 3 and threshold = 0.5").select(F.col("recall").alias("recall0"), F.col("fpr").alias("fpr0"))
-    out = card.join(F.broadcast(best), ["combo", "threshold"]).crossJoin(F.broadcast(base))
-    return out.withColumn("verdict", F.when(~F.isnan(F.col("recall") + F.col("recall0") + F.col("fpr") + F.col("fpr0")) & (F.col("recall") >= F.col("recall0")) & (F.col("fpr") <= F.col("fpr0") + 0.02), "ship").otherwise("keep"))
+    """Nine parameter combinations by five thresholds over all days: counts and Youden's J."""
+    grid = spark.createDataFrame([(i, g, w) for i, (g, w) in enumerate((g, w) for g in (0.5, 1.0, 2.0) for w in (0.0, 0.1, 0.2))], "combo int, gamma double, bonus double")
+    rows = scored(spark, sf_dir).crossJoin(F.broadcast(grid))
+    s = F.round(F.least(F.lit(1.0), F.pow("score", F.col("gamma")) + F.col("bonus") * (F.col("n_chars") % 10) / 10.0), 6)
+    c = metrics.at_thresholds(rows.withColumn("s", s), ["combo"], F.col("pos"), F.col("s"), THRESHOLDS)
+    return c.withColumn("j", F.round(metrics.rate(F.col("tp"), F.col("tp") + F.col("fn")) - metrics.rate(F.col("fp"), F.col("fp") + F.col("tn")), 9))
 
 
 def q_go_gate(spark, sf_dir):
@@ -176,10 +156,6 @@ ORACLES = {
     "q_auc": f"WITH {SCORED}, {_AUC} SELECT day, round(auc, 9) AS auc, count(*) FILTER (pos) AS n_pos, count(*) FILTER (NOT pos) AS n_neg FROM scored LEFT JOIN au USING (day) GROUP BY day, auc",
     "q_youden": f"WITH {SCORED}, {_YOU} SELECT day, CASE WHEN NOT isnan(j) THEN round(threshold, 7) END AS threshold, round(j, 9) AS j FROM yo",
     "q_grid_sweep": f"WITH {SCORED}, {_SW}, s AS (SELECT CAST(combo AS INTEGER) AS combo, threshold, {_SUMS} FROM cf GROUP BY 1, 2) SELECT *, {_J} AS j FROM s",
-    "q_holdout": f"""WITH {SCORED}, {_SW}, tu AS (SELECT combo, threshold, {_SUMS} FROM cf WHERE day IN ('en', 'de') GROUP BY 1, 2), be AS (SELECT combo, threshold FROM tu ORDER BY {_J} DESC, fp, combo, threshold LIMIT 1),
-        re AS (SELECT combo, threshold, {_SUMS} FROM cf WHERE day NOT IN ('en', 'de') GROUP BY 1, 2), ca AS (SELECT combo, threshold, round({_R.format(a="tp", b="tp + fn")}, 9) AS recall, round({_R.format(a="fp", b="fp + tn")}, 9) AS fpr FROM re)
-        SELECT CAST(c.combo AS INTEGER) AS combo, c.threshold, c.recall, c.fpr, d.recall AS recall0, d.fpr AS fpr0, CASE WHEN c.recall >= d.recall AND c.fpr <= d.fpr + 0.02 THEN 'ship' ELSE 'keep' END AS verdict
-        FROM ca c JOIN be ON be.combo = c.combo AND be.threshold = c.threshold, ca d WHERE d.combo = 3 AND d.threshold = 0.5""",
     "q_go_gate": f"WITH {SCORED}, {_AUC}, {_YOU} SELECT day, CASE WHEN auc >= 0.85 AND j >= 0.6 THEN 'GO' WHEN auc >= 0.75 THEN 'INVESTIGATE' ELSE 'NO-GO' END AS gate FROM (SELECT DISTINCT day FROM scored) LEFT JOIN au USING (day) LEFT JOIN yo USING (day)",
     "q_score_catalogue": f"WITH {DET}, d AS (SELECT *, event_id % 17 AS n FROM det), l AS ("
     + " UNION ALL ".join(f"SELECT event_type, '{k}' AS name, {v} AS s FROM d" for k, v in SCORES.items())

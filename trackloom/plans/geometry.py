@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import geo as g
 from trackloom.functions import text as tx
 from trackloom.functions.core import micros
+from trackloom.operators import metrics
 from trackloom.plans.tracks import episodes_of
 from trackloom.plans.views import DET, EPISODES, GEO, det, geo, table
 
@@ -109,13 +110,10 @@ def q_template_match(spark, sf_dir):
     v = _glyphs(spark, sf_dir)
     parts = v.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     bank = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("t")).withColumnRenamed("label", "guess")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    # the bank is one row per class
-    both = v.crossJoin(F.broadcast(bank)).withColumn("sim", dot(F.col("v"), F.col("t")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("t"), F.col("t"))))
-    top = both.groupBy("vec_id", "label").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.round("sim", 9).alias("sim"), (-F.col("guess")).alias("g"))), asc=False), 1, 2).alias("top"))
-    b, r = F.col("top")[0]["sim"], F.col("top")[1]["sim"]
+    top = metrics.two_best(v, bank, "v", "guess", "t")
+    b, r = F.col("best")[0]["sim"], F.col("best")[1]["sim"]
     sure = F.when(b > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), b * (0.5 + 0.5 * (b - r) / b)))).otherwise(0.0)
-    return top.select("vec_id", (-F.col("top")[0]["g"]).alias("guess"), F.round(sure, 6).alias("confidence"))
+    return top.select("vec_id", (-F.col("best")[0]["g"]).alias("guess"), F.round(sure, 6).alias("confidence"))
 
 
 def _cells(spark, sf_dir):
@@ -151,7 +149,7 @@ def q_offsets(spark, sf_dir):
     """Distance from the median per user, with totals and a verdict."""
     d = det(spark, sf_dir)
     s = d.groupBy("user_id").agg(F.median("value").alias("m"), F.max("value").alias("top"), F.count(F.lit(1)).alias("n"))
-    every = d.agg(F.median("value").alias("m"), F.max("value").alias("top"), F.count(F.lit(1)).alias("n")).withColumn("user_id", F.lit(-1).cast("long"))
+    every = d.agg(F.max("value").alias("top"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(metrics.median_of_all(d, "value"))).withColumn("user_id", F.lit(-1).cast("long"))
     return s.unionByName(every).select("user_id", F.round("m", 6).alias("m"), "top", "n", F.when(F.col("m") <= 40, "aligned").otherwise("off").alias("verdict"))
 
 

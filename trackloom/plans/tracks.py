@@ -55,11 +55,11 @@ def q_upsample(spark, sf_dir):
 
 
 def q_second_join(spark, sf_dir):
-    """Many-to-many join on the truncated hour and the type; users differ."""
-    e = det(spark, sf_dir).select("event_id", "user_id", "event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
-    a, b = (e.select("event_type", "hour", F.col("event_id").alias(f"id_{s}"), F.col("user_id").alias(f"user_{s}")) for s in "ab")
-    both = a.join(b, ["event_type", "hour"]).where("user_a < user_b")
-    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("hour").alias("hours"))
+    """Pairs of events of one truncated hour and type whose users differ, from counts per user: no pair is built."""
+    e = det(spark, sf_dir).where("user_id is not null").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    hours = e.groupBy("event_type", "hour").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    pairs = hours.withColumn("pairs", F.call_function("div", F.col("n") * F.col("n") - F.col("own"), F.lit(2).cast("long"))).where("pairs > 0")
+    return pairs.groupBy("event_type").agg(F.sum("pairs").alias("pairs"), F.count_distinct("hour").alias("hours"))
 
 
 def q_overlay_default(spark, sf_dir):
