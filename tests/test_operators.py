@@ -198,3 +198,66 @@ def test_sources_and_sinks(spark, tmp_path):
     files.write_csv(df.limit(0), str(tmp_path / "c"), ["id", "date"])
     assert "| 1 |" in files.markdown(df.select("id"), "t")
     files.write_manifests(df.withColumn("owner", F.lit("o")), str(tmp_path / "m"), "owner", ["id"])
+
+
+def plain_clock(reads, spf):
+    """(believed, status, refused) of one clock by the rules as they are told, without the step function's short cuts."""
+    trusted, contender, last, refused, out = [], [], None, 0, []
+
+    def near(f, t, a):
+        return not (t - a[1] < 0 or t - a[1] > 10 * (f - a[0]) * spf or t - a[1] < (f - a[0]) * spf / 2)
+
+    for f, t, ok in reads:
+        guess = trusted[-1][1] + (f - trusted[-1][0]) * spf if trusted else (last or 0.0) + spf
+        if len(trusted) < 5:
+            if ok and (not trusted or near(f, t, trusted[-1])):
+                trusted.append((f, t))
+                last, status = t, f"building_history ({len(trusted)}/5)"
+            else:
+                last, status = guess, "building_history_invalid_ocr"
+        elif ok and near(f, t, trusted[-1]) and t >= last:
+            trusted, contender, last, status = trusted[-4:] + [(f, t)], [], t, "consistent"
+        else:
+            was, last, status = last, guess, "anomaly_projected"
+            if ok and abs(t // 86_400 - trusted[-1][1] // 86_400) > 1:
+                refused, contender = refused + 1, []
+            elif ok and t >= was:
+                contender = contender + [(f, t)] if contender and near(f, t, contender[-1]) else [(f, t)]
+                if len(contender) == 3:
+                    trusted, contender, last, status = contender, [], t, "RE-ANCHORED"
+            else:
+                contender = []
+        out.append((last, status, refused))
+    return out
+
+
+def test_tracker_against_a_plain_clock(spark):
+    import random
+
+    r = random.Random(4)
+    for _ in range(200):
+        reads, shift = [], 0.0
+        for f in range(r.randint(1, 60)):
+            shift += r.choice([0.0] * 20 + [900.0, 40_000.0, 5 * 86_400.0])
+            reads.append((f, f * 60.0 + shift + r.choice([0.0] * 9 + [-500.0, 3e5, 20.0]), r.random() > 0.1))
+        state = tracker.State(60.0, 0.0, 60.0)
+        assert [(*tracker.step(state, *x), state.refused) for x in reads] == plain_clock(reads, 60.0)
+
+
+def test_days_come_from_the_context(spark):
+    rows = [(1, i, float(x), "s", 0) for i, x in enumerate((80_000, 86_000, 87_000, 86_990, 170_000, 173_000))]
+    got = tracker.dated(spark.createDataFrame(rows, "k long, f long, believed double, status string, refused long"), "k", "f", 100)
+    assert [r["day"] for r in got.orderBy("f").collect()] == [100, 100, 101, 101, 101, 102]
+
+
+def test_thinning_keeps_equal_last_rows(spark):
+    rows = [(1, t, "x") for t in (0, 1, 5, 9, 10, 10)] + [(2, 7, "y"), (3, 0, "z"), (3, 3, "z")]
+    got = timeseries.thin(spark.createDataFrame(rows, "k long, t long, v string"), "k", "t", 5, ["v"]).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "x"), (1, 5, "x"), (1, 10, "x"), (2, 7, "y"), (3, 0, "z"), (3, 3, "z")] or sorted(map(tuple, got)) == [(1, 0, "x"), (1, 5, "x"), (1, 10, "x"), (1, 10, "x"), (2, 7, "y"), (3, 0, "z"), (3, 3, "z")]
+
+
+def test_median_of_all(spark):
+    from statistics import median
+
+    for xs in ([3.0], [1.0, 2.0], [5.5, 5.1, 5.9, 100.0], [2.0] * 5 + [9.0], [-3.2, -3.9, 4.0, 4.5, 7.0]):
+        assert metrics.median_of_all(spark.createDataFrame([(x,) for x in xs] + [(None,)], "v double"), "v").first()["m"] == pytest.approx(median(xs))

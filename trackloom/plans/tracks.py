@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions.core import median_high, micros, ordinals
-from trackloom.operators import joins, sampling, sessions, timeseries
+from trackloom.operators import joins, sampling, sessions, timeseries, tracker
 from trackloom.plans.views import DET, EPISODES, GAP_S, GEO, THRESHOLD, WINDOW, det, geo, table
 
 
@@ -193,6 +193,14 @@ def q_compact(spark, sf_dir):
     return timeseries.thin(e, "user_id", "us", 21_600_000_000, ["event_id", "v"]).select("user_id", "event_id")
 
 
+def q_tracker(spark, sf_dir):
+    """Clocks of a third of a day per frame, some misread: what to believe, why, the refused dates, and the day from the context."""
+    d = joins.numbered(det(spark, sf_dir).where("user_id is not null").select("user_id", "event_id", "us"), "user_id", ["us", "event_id"], "frame")
+    shift = F.when(F.col("event_id") % 7 == 0, 5.0 * 86_400).when(F.col("event_id") % 11 == 0, -7_200.0).when(F.col("frame") >= 40, 40_000.0).otherwise(0.0)
+    reads = d.select("user_id", "frame", (F.col("frame") * 28_800.0 + shift).alias("t"), (F.col("event_id") % 13 > 0).alias("ok"))
+    return tracker.dated(tracker.track(reads, "user_id", "frame", "t", "ok", 28_800.0), "user_id", "frame", 0)
+
+
 def q_delta_hist(spark, sf_dir):
     """Hours since the user's event before, clipped at 24."""
     rows = timeseries.previous(det(spark, sf_dir), "user_id", ["ts", "event_id"], ["us"]).where("prev_us is not null")
