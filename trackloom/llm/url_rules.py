@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows (URLs and rules) that one range holds, about, and rows sampled for each range's bounds. Only balance depends on the sample.
-RANGE_ROWS, SAMPLED = 500_000, 16
+#: Rows (URLs and rules) that one range holds, about, the most ranges, which grow beyond that, and rows sampled for each
+#: range's bounds. Only balance depends on these.
+RANGE_ROWS, MOST_RANGES, SAMPLED = 10_000, 10_000, 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -129,7 +130,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     rules = rules.select(F.lit(False).alias("is_url"), F.lit(None).cast("long").alias("id"), "host", F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> ''").distinct()
     both = df.unionByName(rules)
     total = both.count()
-    n = max(1, -(-total // range_rows))
+    n = max(1, min(MOST_RANGES, -(-total // range_rows)))
     share = min(1.0, SAMPLED * n / max(1, total))
     some = sorted({(key(r[0]), r[1]) for r in both.select("host", "path").sample(share, 7).collect()}) if n > 1 else []
     bounds = [some[i * len(some) // n] for i in range(1, n)] if some else []
