@@ -261,3 +261,43 @@ def test_median_of_all(spark):
 
     for xs in ([3.0], [1.0, 2.0], [5.5, 5.1, 5.9, 100.0], [2.0] * 5 + [9.0], [-3.2, -3.9, 4.0, 4.5, 7.0]):
         assert metrics.median_of_all(spark.createDataFrame([(x,) for x in xs] + [(None,)], "v double"), "v").first()["m"] == pytest.approx(median(xs))
+
+
+def test_nearest_without_tolerance(spark):
+    rng = np.random.default_rng(5)
+    left = [(i, int(rng.integers(0, 4)), int(rng.integers(0, 60))) for i in range(80)]
+    right = [(int(rng.integers(0, 3)), int(rng.integers(0, 60)), 100 + i) for i in range(40)]
+    got = joins.nearest(spark.createDataFrame(left, "id long, k long, t long"), spark.createDataFrame(right, "k long, u long, other long"), "k", "id", "t", "u", None, "other").collect()
+    want = {}
+    for i, k, t in left:
+        near = [(abs(t - u), u, o) for kk, u, o in right if kk == k]
+        if near:
+            want[i] = min(near)[1:]
+    assert {r["id"]: (r["u"], r["other"]) for r in got} == want and len(got) == len(want)
+
+
+def test_unknown_labels_are_errors(spark):
+    df = spark.createDataFrame([("contrail",), ("other",)], "label string")
+    with pytest.raises(Exception, match="unknown label"):
+        df.select(labels.checked(F.col("label"))).collect()
+
+
+def test_observed_counts_come_with_the_first_action(spark):
+    df, seen = metrics.observed(spark.range(10).toDF("x"), "counts", large=F.col("x") > 6)
+    assert df.count() == 10 and seen.get == {"rows": 10, "large": 3}
+
+
+def test_an_empty_day_is_removed(spark, tmp_path):
+    path = str(tmp_path / "days")
+    rows = [(1, None, "2026-04-08"), (2, "ann", "2026-04-09")]
+    spark.createDataFrame(rows, "id long, labeler_id string, date string").write.partitionBy("date").parquet(path)
+    fresh = spark.createDataFrame([], "id long, labeler_id string")
+    files.replace_open_rows(spark, path, fresh, "2026-04-08")
+    assert [r["id"] for r in spark.read.parquet(path).collect()] == [2]
+
+
+def test_upsert_copies_come_from_the_open_row(spark):
+    table = spark.createDataFrame([(1, None, None, 5), (1, "b", "x", 9)], "item long, who string, label string, extra long")
+    new = spark.createDataFrame([(1, "c", "y", 1)], "item long, who string, label string, at long")
+    got = labels.upsert(table, new, "item", "who", "label", "at").collect()
+    assert sorted((r["who"], r["label"], r["extra"]) for r in got) == [("b", "x", 9), ("c", "y", 5)]

@@ -25,14 +25,15 @@ def canonical_date(x: Column) -> Column:
     """M/D/YY or M/D/YYYY as MM/DD/YYYY; null outside the calendar's ranges."""
     m, d, y = (F.regexp_extract(x, r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$", i) for i in (1, 2, 3))
     year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    fits = m.try_cast("int").between(1, 12) & d.try_cast("int").between(1, 31)
+    fits = m.try_cast("int").between(1, 12) & d.try_cast("int").between(1, 31) & year.try_cast("int").between(1900, 2100)
     return F.when(fits, F.concat_ws("/", F.lpad(m, 2, "0"), F.lpad(d, 2, "0"), year))
 
 
 def canonical_time(x: Column) -> Column:
-    """H:MM:SS with an optional AM or PM as 24-hour HH:MM:SS; null outside the ranges."""
-    p = r"^(\d{1,2}):(\d{2}):(\d{2})\s*([AaPp][Mm])?$"
+    """H:MM:SS or H:MM with an optional AM or PM as 24-hour HH:MM:SS; null outside the ranges."""
+    p = r"^(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AaPp][Mm])?$"
     h, m, s = (F.regexp_extract(x, p, i).try_cast("int") for i in (1, 2, 3))
+    s = F.when(F.regexp_extract(x, p, 2) != "", F.coalesce(s, F.lit(0)))
     half = F.upper(F.regexp_extract(x, p, 4))
     hour = F.when(half == "", h).when(h.between(1, 12), F.pmod(h, F.lit(12)) + F.when(half == "PM", 12).otherwise(0))
     return F.when(hour.between(0, 23) & m.between(0, 59) & s.between(0, 59), F.format_string("%02d:%02d:%02d", hour, m, s))
@@ -47,6 +48,24 @@ def stitch(tokens: Column) -> Column:
     return F.get(F.filter(found, lambda t: t != ""), F.lit(0))
 
 
+def read_tokens(tokens: Column) -> Column:
+    """MM/DD/YYYY HH:MM:SS from tokens, or only the date or the time that is found, else UNREADABLE.
+
+    Date and time are looked for in turn in: all tokens with blanks, all without, each one, each two neighbours without a
+    blank. They need not lie in the same place; the first valid one of each counts.
+    """
+    n = F.size(tokens)
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i < n - 1), lambda i: F.concat(F.get(tokens, i), F.get(tokens, i + 1)))
+    tries = F.concat(F.array(F.array_join(tokens, " "), F.array_join(tokens, "")), tokens, pairs)
+
+    def first(pattern: str, canonical) -> Column:
+        return F.get(F.filter(F.transform(tries, lambda t: canonical(F.regexp_extract(t, pattern, 0))), lambda x: x.isNotNull()), F.lit(0))
+
+    date = first(r"\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})", canonical_date)
+    time = first(r"(?<!\d)\d{1,2}:\d{2}(?::\d{2})?(?:\s*[AaPp][Mm])?", canonical_time)
+    return F.coalesce(F.nullif(F.concat_ws(" ", date, time), F.lit("")), F.lit("UNREADABLE"))
+
+
 def frame_index(t: Column, start: Column, seconds_per_frame: float) -> Column:
     """Frame number of a time, half to even; both in microseconds."""
     return F.bround((t - start) / (seconds_per_frame * 1e6)).cast("long")

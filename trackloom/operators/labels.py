@@ -61,7 +61,9 @@ def upsert(table: DataFrame, labels: DataFrame, item: str, labeler: str, label:
     fresh = last.join(table.where(F.col(labeler).isNotNull()).select(item, labeler), [item, labeler], "left_anti")
     open_ = table.where(F.col(labeler).isNull())
     rest = [c for c in table.columns if c not in (item, labeler, label)]
-    shape = table.groupBy(item).agg(*[F.first(c).alias(c) for c in rest])
+    # an item's open row, else that of its first labeler
+    order = F.struct(F.col(labeler).isNotNull(), F.col(labeler))
+    shape = table.groupBy(item).agg(F.min_by(F.struct(*rest), order).alias("_shape")).select(item, "_shape.*")
     added = fresh.join(shape, item).select(item, labeler, F.col("_new").alias(label), *rest)
     still = open_.join(last.select(item).distinct(), item, "left_anti")
     return known.select(*table.columns).unionByName(added.select(*table.columns)).unionByName(still)
@@ -88,3 +90,8 @@ def catalogue(files: DataFrame, name: str, known: str) -> DataFrame:
     pattern = r"^(\d{4}-\d\d-\d\d)_(.+)\.json$"
     rows = files.where(F.col(name).rlike(pattern)).select(F.regexp_extract(name, pattern, 1).alias("date"), F.coalesce(known, F.regexp_extract(name, pattern, 2)).alias("labeler"))
     return rows.groupBy("date").agg(F.array_join(F.array_sort(F.collect_set("labeler")), ",").alias("labelers"), F.count(F.lit(1)).alias("files"))
+
+
+def checked(label: Column, known: tuple[str, ...] = LABELS) -> Column:
+    """The label; one that is not known is an error."""
+    return F.when(label.isin(*known), label).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(label, F.lit("null")))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -53,7 +53,7 @@ def histogram(df: DataFrame, value: Column, edges: list[float]) -> DataFrame:
 
 
 def rater_pairs(df: DataFrame, item: str, rater: str, label: str) -> DataFrame:
-    """Pairs of labels of two raters on one item, raters in order; of a rater's rows on an item the last label counts."""
+    """Pairs of labels of two raters on one item, raters in order; a rater has one row per item."""
     one = df.select(item, F.col(rater).alias("r"), F.col(label).alias("l"))
     return one.select(item, F.col("r").alias("ra"), F.col("l").alias("la")).join(one.select(item, F.col("r").alias("rb"), F.col("l").alias("lb")), item).where("ra < rb")
 
@@ -102,3 +102,9 @@ def two_best(vectors: DataFrame, bank: DataFrame, vector: str, name: str, templa
     rows = vectors.withColumn("_vv", dot(F.col(vector), F.col(vector))).crossJoin(F.broadcast(one))
     sims = F.transform("_bank", lambda b: F.struct(F.round(dot(F.col(vector), b["t"]) / F.sqrt(F.col("_vv") * b["tt"]), 9).alias("sim"), (-b["name"]).alias("g")))
     return rows.withColumn("best", F.slice(F.sort_array(sims, asc=False), 1, 2)).drop("_bank", "_vv")
+
+
+def observed(df: DataFrame, name: str, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """df, and how many of its rows meet each condition, known once an action has read df: no second pass."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in conditions.items()]), seen

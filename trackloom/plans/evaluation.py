@@ -78,8 +78,8 @@ def q_score_histogram(spark, sf_dir):
 
 
 def q_confusion(spark, sf_dir):
-    """Label pairs per pair of raters, all classes in columns."""
-    pairs = metrics.rater_pairs(raters(spark, sf_dir), "doc_id", "rater", "label")
+    """Label pairs per pair of raters, all classes in columns; an unknown label is an error."""
+    pairs = metrics.rater_pairs(raters(spark, sf_dir).withColumn("label", lab.checked(F.col("label"))), "doc_id", "rater", "label")
     return pairs.groupBy("ra", "rb", "la").pivot("lb", list(lab.LABELS)).agg(F.count(F.lit(1))).fillna(0)
 
 

@@ -96,6 +96,15 @@ def q_clean_tokens(spark, sf_dir):
     return rows.select("event_id", tx.canonical_date(F.col("d")).alias("date"), tx.canonical_time(F.col("t")).alias("time"))
 
 
+def q_read_tokens(spark, sf_dir):
+    """Time stamps from tokens in any order, in pieces, or with parts missing."""
+    n = F.col("event_id")
+    date, time, short = F.date_format("ts", "M/d/yyyy"), F.date_format("ts", "h:mm:ss a"), F.date_format("ts", "H:mm")
+    cut = F.array(F.substring_index(date, "/", 2), F.concat(F.lit("/"), F.substring_index(date, "/", -1)), F.lit("cam"), time)
+    tokens = F.when(n % 5 == 0, F.array(time, F.lit("cam"), date)).when(n % 5 == 1, cut).when(n % 5 == 2, F.array(date, F.lit("25:61"))).when(n % 5 == 3, F.array(F.lit("x"), short)).otherwise(F.array(F.lit("13/45/2026"), F.lit("no")))
+    return det(spark, sf_dir).select("event_id", tx.read_tokens(tokens).alias("read"))
+
+
 def q_frame_index(spark, sf_dir):
     """Frame numbers of times at 2.5 seconds per frame."""
     return det(spark, sf_dir).select("event_id", tx.frame_index(F.col("us"), F.lit(1_704_067_200_000_000), 2.5).alias("frame"))
@@ -234,6 +243,7 @@ ORACLES = {
         SELECT day, n, timezone('UTC', timezone('America/New_York', CAST(day AS TIMESTAMP))) AS lo, timezone('UTC', timezone('America/New_York', CAST(day + 1 AS TIMESTAMP))) AS hi FROM d""",
     "q_parse_timestamps": f"WITH {DET} SELECT event_id, try_strptime(strftime(ts, '%m/') || lpad(CAST(event_id % 33 AS VARCHAR), 2, '0') || strftime(ts, '/%Y %H:%M:%S'), '%m/%d/%Y %H:%M:%S') AS at FROM det",
     "q_clean_tokens": f"WITH {DET} SELECT event_id, strftime(ts, '%m/%d/%Y') AS date, strftime(ts, '%H:%M:%S') AS time FROM det",
+    "q_read_tokens": f"""WITH {DET} SELECT event_id, CASE event_id % 5 WHEN 2 THEN strftime(ts, '%m/%d/%Y') WHEN 3 THEN strftime(ts, '%H:%M:00') WHEN 4 THEN 'UNREADABLE' ELSE strftime(ts, '%m/%d/%Y %H:%M:%S') END AS read FROM det""",
     "q_frame_index": f"WITH {DET} SELECT event_id, CAST(round_even((us - 1704067200000000) / 2.5e6, 0) AS BIGINT) AS frame FROM det",
     "q_template_match": """WITH gl AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT label, i, avg(v[i]) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM gl) GROUP BY label, i),
         t AS (SELECT label AS guess, list(x ORDER BY i) AS t FROM p GROUP BY label), s AS (SELECT vec_id, guess, round(list_dot_product(v, t) / sqrt(list_dot_product(v, v) * list_dot_product(t, t)), 9) AS sim FROM gl, t),

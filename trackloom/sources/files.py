@@ -48,12 +48,21 @@ def write_manifests(df: DataFrame, path: str, owner: str, order: list[str]) -> N
 
 
 def replace_open_rows(spark: SparkSession, path: str, fresh: DataFrame, day: str, labeler: str = "labeler_id", date: str = "date") -> None:
-    """Rewrite one day's partition: labelled rows stay, open ones give way to fresh. The old partition is read whole first."""
+    """Rewrite one day's partition: labelled rows stay, open ones give way to fresh. The old partition is read whole first.
+
+    With neither labelled rows nor fresh ones the day's partition is removed.
+    """
     old = spark.read.parquet(path).where((F.col(date) == day) & F.col(labeler).isNotNull())
     new = old.unionByName(fresh.withColumn(date, F.lit(day).cast(old.schema[date].dataType)), allowMissingColumns=True)
     staged = f"{path.rstrip('/')}_staged"
     new.write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
+    rows = spark.read.schema(new.schema).parquet(staged)
+    if rows.isEmpty():
+        # a dynamic overwrite without rows replaces nothing
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{date}={day}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    else:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
 
 
 def markdown(df: DataFrame, title: str, most: int = 200) -> str:
