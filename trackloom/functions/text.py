@@ -69,3 +69,14 @@ def read_tokens(tokens: Column) -> Column:
 def frame_index(t: Column, start: Column, seconds_per_frame: float) -> Column:
     """Frame number of a time, half to even; both in microseconds."""
     return F.bround((t - start) / (seconds_per_frame * 1e6)).cast("long")
+
+
+def composed(parsed: Column, confidence: Column, status: Column, other: Column, other_confidence: Column, least: float) -> Column:
+    """struct(parsed, confidence, method, status) of two readers: the first if it is sure enough, else the second if it read
+    anything, else the first's doubtful read, which is called low_confidence.
+    """
+    parts = lambda p, c, m, s: F.struct(p.alias("parsed"), c.alias("confidence"), F.lit(m).alias("method"), s.alias("status"))
+    sure = parsed.isNotNull() & (confidence >= least)
+    doubt = F.when(parsed.isNull(), status).otherwise(F.lit("low_confidence"))
+    ok = F.lit("ok")
+    return F.when(sure, parts(parsed, confidence, "first", ok)).when(other.isNotNull(), parts(other, other_confidence, "second", ok)).otherwise(parts(parsed, confidence, "first", doubt))

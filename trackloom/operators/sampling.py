@@ -47,25 +47,26 @@ def assign(df: DataFrame, ordinal: str, total: int, labelers: list[str], overlap
     return rows.withColumn("labeler", F.explode(F.when(F.col("_shared"), names).otherwise(F.array(F.element_at(names, turn + 1))))).drop("_shared")
 
 
-def farthest_points(df: DataFrame, key: str, item: str, x: str, y: str, k: int, per_part: int | None = None) -> DataFrame:
-    """k items per key by greedy max-min distance, from the smallest item on. Only (item, x, y) of one key meet in a task."""
-    import pandas as pd
-
-    schema = df.schema
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item).reset_index(drop=True)
-        chosen, best = [0], None
-        while len(chosen) < min(k, len(pdf)):
-            last = pdf.iloc[chosen[-1]]
-            d = (pdf[x] - last[x]) ** 2 + (pdf[y] - last[y]) ** 2
-            best = d if best is None else best.where(best < d, d)
-            chosen.append(int(best.to_numpy().argmax()))
-        out = pdf.iloc[chosen].copy()
-        out["rank"] = range(1, len(out) + 1)
-        return out[[key, item, "rank"]]
-
-    return df.select(key, item, x, y).groupBy(key).applyInPandas(pick, f"{key} {schema[key].dataType.simpleString()}, {item} {schema[item].dataType.simpleString()}, rank int")
+def farthest_points(df: DataFrame, key: str, item: str, x: str, y: str, k: int, centre: tuple[float, float]) -> DataFrame:
+    """k items per key that lie far apart: first the one farthest from the centre, then always the one farthest from its
+    nearest chosen item; the smaller item wins a tie. (key, item, rank).
+
+    A round is an aggregation with partial sums per task; what grows in a row is the list of the k chosen items only.
+    """
+
+    def d2(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+        return (ax - bx) * (ax - bx) + (ay - by) * (ay - by)
+
+    rows = df.select(F.col(key).alias("_k"), F.struct(F.col(item).alias("i"), F.col(x).alias("x"), F.col(y).alias("y")).alias("p"))
+    far = lambda d: F.max_by("p", F.struct(d.alias("d"), (-F.col("p.i")).alias("i")))
+    chosen = rows.groupBy("_k").agg(F.array(far(d2(F.col("p.x"), F.col("p.y"), F.lit(centre[0]), F.lit(centre[1])))).alias("c"))
+    for _ in range(k - 1):
+        held = chosen.select(F.col("_k").alias("_h"), "c")
+        near = F.array_min(F.transform("c", lambda c: d2(F.col("p.x"), F.col("p.y"), c["x"], c["y"])))
+        best = rows.join(held, F.col("_k").eqNullSafe(F.col("_h"))).groupBy("_k").agg(F.any_value("c").alias("c"), F.max(near).alias("d"), far(near).alias("b"))
+        # no distance left: all items of the key lie on chosen ones
+        chosen = best.select("_k", F.when(F.col("d") > 0, F.array_append("c", F.col("b"))).otherwise(F.col("c")).alias("c"))
+    return chosen.select(F.col("_k").alias(key), F.posexplode("c").alias("rank", "p")).select(key, F.col("p.i").alias(item), (F.col("rank") + 1).alias("rank"))
 
 
 def top_above(df: DataFrame, value: Column, least: float, order: list, n: int) -> DataFrame:

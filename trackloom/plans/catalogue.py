@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackloom.plans import curation, evaluation, geometry, regions, tracks, tuning
+from trackloom.plans import curation, evaluation, geometry, regions, sourcing, tracks, tuning
 
-MODULES = (tracks, evaluation, geometry, regions, tuning, curation)
+MODULES = (tracks, evaluation, geometry, regions, tuning, curation, sourcing)
 
 
 def queries() -> dict:
