@@ -100,30 +100,55 @@ def _cross(x: np.ndarray) -> np.ndarray:
     return np.hypot(gx, gy)
 
 
-#: Transforms by name: each takes (image, previous image or None).
-TRANSFORMS: dict[str, Callable[[np.ndarray, np.ndarray | None], np.ndarray]] = {
-    "bgr": lambda i, p: gray(i),
-    "nrbr": lambda i, p: _ratio(i),
-    "hsv_sat_inv": lambda i, p: _unsaturated(i),
-    "lab_L": lambda i, p: _lab(i)[0],
-    "lab_b": lambda i, p: _lab(i)[1],
-    "grey_excess": lambda i, p: np.min(_bgr(i), axis=0) / (np.max(_bgr(i), axis=0) + 1),
-    "local_contrast": lambda i, p: gray(i) - blur(gray(i), 8.0),
-    "dog": lambda i, p: blur(gray(i), 1.0) - blur(gray(i), 3.0),
-    "tophat": lambda i, p: top_hat(gray(i)),
-    "tophat_oriented": lambda i, p: np.maximum(top_hat(gray(i), 5), top_hat(gray(i), 11)),
-    "clahe": lambda i, p: equalize(gray(i)),
-    "cross_grad": lambda i, p: _cross(gray(i)),
-    "temporal_diff": lambda i, p: np.zeros(i.shape[:2]) if p is None else np.abs(gray(i) - gray(p)),
-    "frangi": lambda i, p: ridge(gray(i)),
+def across(x: np.ndarray, v: tuple[float, float] | None, gain: float = 2.0) -> np.ndarray:
+    """Gradient at right angles to the direction of flight; without one, flight is taken to be level."""
+    vx, vy = v if v and math.hypot(*v) > 0.1 else (1.0, 0.0)
+    gx, gy = gradients(x)
+    return np.clip(np.abs(gy * vx - gx * vy) * gain, 0, 255)
+
+
+def top_hat_along(x: np.ndarray, v: tuple[float, float] | None, length: int = 81, width: int = 5) -> np.ndarray:
+    """What is brighter than its surroundings along a bar of length by width cells that lies in the direction of flight."""
+    vx, vy = v if v and math.hypot(*v) > 0.1 else (1.0, 0.0)
+    n = math.hypot(vx, vy)
+    along, aside = np.arange(-(length // 2), length // 2 + 1), np.arange(-(width // 2), width // 2 + 1)
+    steps = {(round((a * vy + b * vx) / n), round((a * vx - b * vy) / n)) for a in along for b in aside}
+    r = max(max(abs(dy), abs(dx)) for dy, dx in steps)
+
+    def over(y: np.ndarray, f: Callable) -> np.ndarray:
+        padded, out = np.pad(y, r, mode="edge"), None
+        for dy, dx in steps:
+            part = padded[r + dy : r + dy + y.shape[0], r + dx : r + dx + y.shape[1]]
+            out = part if out is None else f(out, part)
+        return out
+
+    return x - over(over(x, np.minimum), np.maximum)
+
+
+#: Transforms by name: each takes (image, previous image or None, direction of flight or None).
+TRANSFORMS: dict[str, Callable[..., np.ndarray]] = {
+    "bgr": lambda i, p, v=None: gray(i),
+    "nrbr": lambda i, p, v=None: _ratio(i),
+    "hsv_sat_inv": lambda i, p, v=None: _unsaturated(i),
+    "lab_L": lambda i, p, v=None: _lab(i)[0],
+    "lab_b": lambda i, p, v=None: _lab(i)[1],
+    "grey_excess": lambda i, p, v=None: np.min(_bgr(i), axis=0) / (np.max(_bgr(i), axis=0) + 1),
+    "local_contrast": lambda i, p, v=None: gray(i) - blur(gray(i), 8.0),
+    "dog": lambda i, p, v=None: blur(gray(i), 1.0) - blur(gray(i), 3.0),
+    "tophat": lambda i, p, v=None: top_hat(gray(i)),
+    "tophat_oriented": lambda i, p, v=None: top_hat_along(gray(i), v),
+    "clahe": lambda i, p, v=None: equalize(gray(i)),
+    "cross_grad": lambda i, p, v=None: across(gray(i), v),
+    "temporal_diff": lambda i, p, v=None: np.zeros(i.shape[:2]) if p is None else np.abs(gray(i) - gray(p)),
+    "frangi": lambda i, p, v=None: ridge(gray(i)),
 }
 
 
-def apply_chain(img: np.ndarray, names: list[str], previous: np.ndarray | None = None) -> np.ndarray:
+def apply_chain(img: np.ndarray, names: list[str], previous: np.ndarray | None = None, vector: tuple[float, float] | None = None) -> np.ndarray:
     """Known transforms one after the other, each stretched to 0 to 255; unknown names are skipped."""
     for name in names:
         if name in TRANSFORMS:
-            img = stretch(TRANSFORMS[name](img, previous))
+            img = stretch(TRANSFORMS[name](img, previous, vector))
             previous = None if previous is None else gray(previous)
     return img
 
@@ -158,18 +183,29 @@ def lines(edge: np.ndarray, least: int = 20, angles: int = 180, most: int = 8) -
     return out
 
 
-def detect(img: np.ndarray, heading: float | None = None, tolerance: float = 15.0, mask: np.ndarray | None = None, norm: float = 200.0, **kw) -> dict:
-    """score, pixel_line, num_long_lines, aligned_lines of one crop; lines off the heading or in the mask do not count."""
+def examine(img: np.ndarray, heading: float | None = None, tolerance: float = 15.0, mask: np.ndarray | None = None, excluded: tuple | None = None, **kw) -> dict:
+    """All that a detection rests on: edges, lines, aligned lines (off the heading left out), the longest of them and its length.
+
+    excluded is (y0, y1, x0, x1) in the crop's cells, such as a burned-in clock; nothing there counts, nor in the mask.
+    """
     e = edges(img)
     if mask is not None:
         e &= ~mask
+    if excluded:
+        y0, y1, x0, x1 = (max(0, int(v)) for v in excluded)
+        e[y0:y1, x0:x1] = False
     found = lines(e, **kw)
     angle = lambda x: math.degrees(math.atan2(x[3] - x[1], x[2] - x[0])) % 180
     apart = lambda a, b: min(abs(a - b) % 180, 180 - abs(a - b) % 180)
     fit = [x for x in found if heading is None or apart(angle(x), heading % 180) <= tolerance]
     best = max(fit, key=lambda x: math.hypot(x[2] - x[0], x[3] - x[1]), default=None)
-    length = math.hypot(best[2] - best[0], best[3] - best[1]) if best else 0.0
-    return {"score": min(1.0, length / norm), "pixel_line": list(best) if best else None, "num_long_lines": len(found), "aligned_lines": len(fit)}
+    return {"edges": e, "lines": found, "aligned": fit, "best": best, "length": math.hypot(best[2] - best[0], best[3] - best[1]) if best else 0.0}
+
+
+def detect(img: np.ndarray, heading: float | None = None, norm: float = 200.0, **kw) -> dict:
+    """score, pixel_line, num_long_lines, aligned_lines of one crop, from what examine() finds."""
+    x = examine(img, heading, **kw)
+    return {"score": min(1.0, x["length"] / norm), "pixel_line": list(x["best"]) if x["best"] else None, "num_long_lines": len(x["lines"]), "aligned_lines": len(x["aligned"])}
 
 
 def grown_length(measure: Callable[[int], float], start: int, step: int, most: int) -> float:
