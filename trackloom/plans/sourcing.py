@@ -61,7 +61,7 @@ def q_near_equal(spark, sf_dir):
 def q_farthest(spark, sf_dir):
     """Four customers per nation that lie far apart, the first one far from the centre."""
     c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", (F.col("c_custkey") % 401).alias("x"), (F.col("c_custkey") % 997).alias("y"))
-    return sampling.farthest_points(c, "c_nationkey", "c_custkey", "x", "y", FAR_K, CENTRE).withColumn("rank", F.col("rank").cast("long"))
+    return sampling.farthest_points(c, "c_nationkey", "c_custkey", "x", "y", FAR_K, CENTRE)
 
 
 def q_daily_actions(spark, sf_dir):
@@ -82,7 +82,7 @@ def q_compose_reads(spark, sf_dir):
 def q_json_round_trip(spark, sf_dir):
     """Records as JSON text and back; a null field is left out of the text and comes back as null."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", F.nullif("lang", F.lit("en")).alias("lang"), "n_chars")).alias("j"))
-    return d.select(F.from_json("j", "doc_id long, lang string, n_chars long").alias("r"), F.size(F.json_object_keys("j")).cast("long").alias("fields")).select("r.*", "fields")
+    return d.select(F.from_json("j", "doc_id long, lang string, n_chars int").alias("r"), F.size(F.json_object_keys("j")).cast("long").alias("fields")).select("r.*", "fields")
 
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__name__", "").startswith("q_")}
