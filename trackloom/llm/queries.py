@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, exact_dedup, jaccard_join, line_rules, mixing, packing, pseudonyms, secrets, url_rules, warc_zip
+from trackloom.llm import chat, decontaminate, exact_dedup, jaccard_join, line_rules, mixing, packing, pseudonyms, secrets, url_rules, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,9 +89,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in windows of benchmark items."""
+    r = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return r.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_warc_zip, op2_line_frequency, op3_packing, op4_secret_scan, op5_pseudonyms, op6_jaccard_join, op7_chat_roles, op8_mixing, op9_url_rules, op10_exact_dedup)
+    for f in (
+        op1_warc_zip,
+        op2_line_frequency,
+        op3_packing,
+        op4_secret_scan,
+        op5_pseudonyms,
+        op6_jaccard_join,
+        op7_chat_roles,
+        op8_mixing,
+        op9_url_rules,
+        op10_exact_dedup,
+        op11_decontamination,
+    )
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -152,4 +170,18 @@ ORACLES: dict[str, str] = {
         g AS (SELECT doc_id, text_sha256, CAST(count(*) OVER (PARTITION BY text_sha256) AS BIGINT) AS group_size,
                      first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op11_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bi AS (SELECT item, w, least(10, len(w)) AS m, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) AS i FROM b),
+        bw AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM bi),
+        sizes AS (SELECT DISTINCT m FROM bw),
+        di AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes),
+        dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g FROM di),
+        hit AS (SELECT doc_id, i, m, item FROM dw JOIN bw USING (m, g)),
+        h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(array_to_string(list_sort(list(DISTINCT item)), ',')) AS items_sha256 FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
 }
