@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, decontaminate, exact_dedup, jaccard_join, line_rules, mixing, packing, pseudonyms, secrets, url_rules, warc_zip
+from trackloom.llm import chat, decontaminate, exact_dedup, hard_negatives, jaccard_join, line_rules, mixing, packing, prefix_trie, pseudonyms, secrets, url_rules, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,6 +95,17 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumnRenamed("id", "doc_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, against all vectors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, once heads are shared."""
+    return prefix_trie.conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -109,6 +120,8 @@ QUERIES: dict[str, Query] = {
         op9_url_rules,
         op10_exact_dedup,
         op11_decontamination,
+        op12_hard_negatives,
+        op13_prefix_trie,
     )
 }
 
@@ -184,4 +197,34 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op12_hard_negatives": """
+        WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+        p AS (SELECT anchor, id AS positive, score AS p FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS nth FROM s WHERE same) WHERE nth <= 5),
+        n AS (SELECT p.anchor, positive, p, s.id, score, row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, s.id) AS nth
+              FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 80 * p <= 100 * score AND 100 * score <= 100 * p)
+        SELECT anchor AS anchor_id, positive AS positive_id, CAST(nth AS INTEGER) AS rank, id AS negative_id, p AS positive_score, score AS negative_score FROM n WHERE nth <= 5""",
+    "op13_prefix_trie": """
+        WITH RECURSIVE t AS (SELECT conv_id AS c, turn, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS pos, digest, strlen(text) AS bytes FROM t),
+        ids AS (SELECT c, max(pos) AS own FROM o GROUP BY c),
+        bits(c, s, i, x) AS (SELECT c, CAST(c AS VARCHAR), 0, 4294967295 FROM ids UNION ALL
+                   SELECT c, s, i + 1, CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END
+                   FROM (SELECT c, s, i, CASE WHEN i % 8 = 0 THEN xor(x, CAST(ascii(s[i // 8 + 1]) AS BIGINT)) ELSE x END AS y FROM bits WHERE i < 8 * length(s))),
+        h AS (SELECT c, CAST(xor(x, 4294967295) % 9 AS BIGINT) AS h, c - c % 5 AS b FROM bits WHERE i = 8 * length(s)),
+        g AS (SELECT h.c, h.h, h.b, least(h.h, coalesce(ids.own, 0)) AS head FROM h LEFT JOIN ids ON ids.c = h.b),
+        r AS (SELECT g.c, pos AS d, digest, bytes FROM g JOIN o ON o.c = g.b AND pos <= head UNION ALL
+              SELECT g.c, pos - h + head, digest, bytes FROM g JOIN o ON o.c = g.c AND pos > h),
+        m AS (SELECT c, d, string_agg(digest, '') OVER (PARTITION BY c ORDER BY d) AS key, bytes FROM r UNION ALL SELECT c, 0, '', 0 FROM ids),
+        l AS (SELECT c, max(d) AS len FROM m GROUP BY c),
+        n AS (SELECT key, d, min(c) AS conv, count(*) AS n, any_value(bytes) AS bytes, max(len) = d AS leaf FROM m JOIN l USING (c) GROUP BY key, d),
+        u AS (SELECT n.key, n.d, p.conv AS parent, p.key AS up FROM n JOIN m ON m.c = n.conv AND m.d = n.d - 1 JOIN n p ON p.key = m.key AND p.d = m.d),
+        k AS (SELECT up AS key, d - 1 AS d, count(*) AS kids FROM u GROUP BY up, d - 1),
+        s AS (SELECT m.key, m.d, sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS leaves, sum((n.n - 1) * n.bytes) AS saved FROM n JOIN m ON m.c = n.conv AND m.d <= n.d GROUP BY m.key, m.d),
+        e AS (SELECT key, d, sha256(string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c)) AS ends FROM m JOIN l ON l.c = m.c AND l.len = m.d GROUP BY key, d)
+        SELECT n.conv AS conv_id, CAST(n.d AS BIGINT) AS depth, parent AS parent_conv_id, n.n AS n_convs, CAST(coalesce(kids, 0) AS BIGINT) AS n_children,
+               CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+        FROM n JOIN s USING (key, d) LEFT JOIN u USING (key, d) LEFT JOIN k USING (key, d) LEFT JOIN e USING (key, d)""",
 }
