@@ -21,6 +21,8 @@ MARKS = {
     "assistant": ("assistant", "ai", "bot", "a", "answer", "agent"),
 }
 _ROLE_OF = {m: i for i, r in enumerate(ROLES) for m in MARKS[r]}
+#: Turns that the prior of speaker marks counts for.
+MARK_PRIOR = 100
 MARK = re.compile(r"^[\s#>*\[<|]*(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")[\s\]>*|]*:[*\s]*", re.IGNORECASE)
 
 
@@ -51,12 +53,13 @@ class Model:
                 step[i, j] += n
             else:
                 seen[int(table)][i, j] += n
-        # a mark names its role but for slips, whatever share of the labelled turns has one
+        # before any count a mark names its role but for slips
         marked = np.full((3, 4), 0.01) + np.eye(3, 4, 1) * 0.45
         marked[:, 0] = 0.5
+        seen[0] += MARK_PRIOR * marked - 1
         norm = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
         self.start, self.step = norm(start), norm(step)
-        self.seen = [norm(marked), *map(norm, seen[1:])]
+        self.seen = [*map(norm, seen)]
 
     def emit(self, text: str) -> np.ndarray:
         return sum(t[:, v] for t, v in zip(self.seen, features(text)))
@@ -105,9 +108,15 @@ class Decoder:
         return out[::-1]
 
 
+def unmarked(role: str, text: str) -> str:
+    """text without the speaker mark at its start, if that is the role's; words that look like another role's mark stay."""
+    m = MARK.match(text)
+    return (text[m.end() :] if m and ROLES[_ROLE_OF[m[1].lower()]] == role else text).strip()
+
+
 def render(role: str, text: str) -> str:
-    """The canonical turn: the mark is gone, the role is named once."""
-    return f"<|{role}|>\n{MARK.sub('', text, count=1).strip()}\n<|end|>\n"
+    """The canonical turn: the role is named once; a mark of that role is gone."""
+    return f"<|{role}|>\n{unmarked(role, text)}\n<|end|>\n"
 
 
 def turns_of(text: str, blank_lines: bool) -> list[str]:
@@ -134,7 +143,7 @@ def parse_transcript(text: str, model: Model) -> list[tuple[str, str]]:
         decoder.add(p)
     out: list[tuple[str, str]] = []
     for role, p in zip(decoder.roles(), parts):
-        body = MARK.sub("", p, count=1).strip()
+        body = unmarked(role, p)
         if out and out[-1][0] == role and not MARK.match(p):
             out[-1] = (role, out[-1][1] + "\n\n" + body)
         else:

@@ -79,17 +79,25 @@ Bounds = list[tuple[tuple[str, ...], str]]
 def reaches(host: str, bounds: Bounds) -> range:
     """The ranges that the interval of a rule's host (itself and its subdomains) overlaps."""
     k = key(host)
-    # after all (key, path) whose key begins with k
+    # equal bounds stand for a frequent key, whose rows are dealt over all ranges between them; after all (key, path) whose key begins with k
     end = bisect_left(bounds, True, key=lambda b: b[0][: len(k)] > k)
-    return range(bisect_right(bounds, (k, "")), end + 1)
+    return range(bisect_left(bounds, (k, "")), end + 1)
 
 
 def _deal(bounds: Bounds):
+    def place(host: str, path: str, nth: int) -> int:
+        """A range for a URL: any for an empty host, which meets no rule, one of those between equal bounds, or the only one."""
+        if not host:
+            return nth % (len(bounds) + 1)
+        k = key(host), path
+        lo, hi = bisect_left(bounds, k), bisect_right(bounds, k)
+        return hi if lo == hi else lo + 1 + nth % (hi - lo)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for is_url, *row in zip(*(batch.column(c).to_pylist() for c in DEALT.names[1:])):
-                at = (bisect_right(bounds, (key(row[1]), row[2])),) if is_url else reaches(row[1], bounds)
+            for nth, (is_url, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in DEALT.names[1:]))):
+                at = (place(row[1], row[2], nth),) if is_url else reaches(row[1], bounds)
                 rows += [(r, is_url, *row) for r in at]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(DEALT)], schema=DEALT)
 
@@ -119,7 +127,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
 
     A rule fits its host and all its subdomains when the path starts with the rule's; of several the one with the longest
     host + path wins, then the larger by code point; without one the verdict is default. URLs are dealt into ranges of
-    key and path, so a hot host is spread over many; a rule goes to each range that its host's interval overlaps, which
+    key and path, so a hot host is spread over many, and so is a hot URL, which takes several equal bounds; a rule goes to each range that its host's interval overlaps, which
     are its own and those of URLs below it. Ranges are sorted and swept, whatever the number of rules. Bounds come from a
     sample of SAMPLED rows per range; only balance depends on it. Null or odd urls have an empty host and meet no rule, as
     does a rule with an empty or null host; a null path counts as empty; repeated rules are one, repeated rows are rows;
@@ -132,10 +140,10 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     total = both.count()
     n = max(1, min(MOST_RANGES, -(-total // range_rows)))
     share = min(1.0, SAMPLED * n / max(1, total))
-    some = sorted({(key(r[0]), r[1]) for r in both.select("host", "path").sample(share, 7).collect()}) if n > 1 else []
+    some = sorted((key(r[0]), r[1]) for r in both.select("host", "path").where("host <> ''").sample(share, 7).collect()) if n > 1 else []
     bounds = [some[i * len(some) // n] for i in range(1, n)] if some else []
-    dealt = both.mapInArrow(_deal(sorted(set(bounds))), DEALT_DDL)
+    dealt = both.mapInArrow(_deal(bounds), DEALT_DDL)
     reverse = F.reverse(F.split("host", r"\."))
-    dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "is_url", reverse, "path", "id")
+    dealt = dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "is_url", reverse, "path", "id")
     out = dealt.mapInArrow(_sweep, "id long, host string, path string, rule string, found string")
     return out.select("id", "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))

@@ -184,18 +184,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write every row of pages as a record into ZIP-packaged archives under folder; returns (archive, n_records, n_bytes).
 
     The payload is the body in UTF-8; a null body or url is empty. Of equal payloads of LEAST_REVISIT bytes or more the largest
-    id is the response and the others revisit it; smaller ones are responses. Repeated ids are written each. No rows give
-    no archives. Spaces and control characters in a url are percent-encoded in the archive.
+    id is the response and the others, rows without an id too, revisit it; smaller ones are responses, as are all rows that
+    share the largest id and equal rows none of which has an id. Repeated ids are written each. No rows give no archives. Spaces and control characters in a url are percent-encoded in the archive.
     """
     body = F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary")
     url = F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\x00-\x20\x7F]", "%20")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), body.alias("payload"), F.octet_length(body).cast("long").alias("size"), F.sha1(body).alias("digest"))
     digests = materialize(rows.where(F.col("size") >= LEAST_REVISIT).select("id", "digest"), "digests")
     seen = materialize(digests.groupBy("digest").agg(F.max("id").alias("refers"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
-    revisits = lookup(digests, seen, "digest", "copies", "inner").where("id <> refers").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers").distinct()
+    revisits = lookup(digests, seen, "digest", "copies", "inner").where("refers is not null and not (id <=> refers)").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers").distinct()
     # a written table, whose size Spark knows: while it is small it is broadcast and payloads stay where they are
     revisits = materialize(revisits, "revisits")
-    rows = rows.join(revisits, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    rows = rows.join(revisits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     rows = rows.select("id", "url", "size", "digest", F.when(F.col("refers").isNull(), "response").otherwise("revisit").alias("type"), "refers", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"))
     rows = rows.withColumn("payload", F.coalesce("payload", F.lit("").cast("binary")))
     return materialize(rows.mapInArrow(_write(folder, archive_bytes), "archive string, n_records long, n_bytes long"), "archives")
@@ -210,7 +210,8 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, size = begins(f, members[INDEX]), members[INDEX].size
                 first = begins(f, members[DATA])
                 f.seek(at)
-                rows = [json.loads(x[x.index(b"{") :]) for x in f.read(size).splitlines()]
+                # a url may hold braces; the entry behind it has one, which is the last of the line
+                rows = [json.loads(x[x.rindex(b"{") :]) for x in f.read(size).splitlines()]
             yield pa.RecordBatch.from_pydict(
                 {"archive": [path] * len(rows), "at": pa.array([first + r["offset"] for r in rows], pa.int64()), "length": pa.array([r["length"] for r in rows], pa.int64())}
             )
