@@ -23,7 +23,7 @@ from trackloom.llm.common import materialize
 
 #: Rows of the sample that the upper tree is fitted on, its most cells, rows of a part, rows of a leaf and anchors that one
 #: task asks for at most. Results do not depend on them.
-SAMPLE, MOST_CELLS, PART_ROWS, LEAF_ROWS, BLOCK_ANCHORS = 4096, 1024, 2048, 64, 20_000
+SAMPLE, MOST_CELLS, PART_ROWS, LEAF_ROWS, BLOCK_ANCHORS = 4096, 1024, 4096, 512, 20_000
 #: Components become floor(SCALE * x).
 SCALE = 256
 #: Squared lengths stay below this, so that a hundred times an inner product is a long.
@@ -150,10 +150,7 @@ class Part:
         build(0, len(q))
         self.row, self.ids, self.labels, self.q = row[order], ids[order], labels[order], q[order]
         # whole numbers below 2**53 are exact as floats, whose products are faster
-        self.fast = self.q.astype(np.float64) if most < 1 << 53 else None
-
-    def scores(self, a: int, b: int, anchor: np.ndarray) -> np.ndarray:
-        return self.q[a:b] @ anchor if self.fast is None else (self.fast[a:b] @ anchor.astype(np.float64)).astype(np.int64)
+        self.q = self.q.astype(np.float64) if most < 1 << 53 else self.q
 
     def nearest_first(self, anchor: np.ndarray, most: int, same: bool, label: int, row: int, wanted: "Wanted") -> Iterator[tuple[int, int, int]]:
         """(score, id, row) of the rows whose label is the anchor's, or is not, in order, as far as `wanted` asks for them.
@@ -162,6 +159,7 @@ class Part:
         before all that are left. A subtree whose scores are all outside of what is wanted is left out.
         """
         a = np.append(anchor.astype(np.float64), 0.0)
+        x = anchor.astype(self.q.dtype)
         # least and most score inside of distances lo to hi, widened by what floats may be off
         whole = int(anchor @ anchor) + most
         off = 1 + LOOSE * whole
@@ -177,9 +175,11 @@ class Part:
                 continue
             node = self.nodes[one]
             if len(node) == 2:
-                s = self.scores(*node, anchor)
-                ok = ((self.labels[node[0] : node[1]] == label) == same) & (self.row[node[0] : node[1]] != row) & wanted.inside(s)
-                for i in np.flatnonzero(ok).tolist():
+                s = (self.q[node[0] : node[1]] @ x).astype(np.int64)
+                least, last = wanted.reach()
+                at = np.flatnonzero(((self.labels[node[0] : node[1]] == label) == same) & (s >= least) & (s <= last) & (self.row[node[0] : node[1]] != row))
+                at = at[np.lexsort((self.row[node[0] + at], self.ids[node[0] + at], -s[at]))]
+                for i in at[wanted.first(s[at])].tolist():
                     heapq.heappush(heap, (-int(s[i]), 1, int(self.ids[node[0] + i]), int(self.row[node[0] + i]), 0.0, 0.0))
                 continue
             point, inner, in_lo, in_hi, outer, out_lo, out_hi = node
@@ -201,12 +201,18 @@ class Wanted:
     def meets(self, lo: float, hi: float) -> bool:
         return any(n and lo <= b and hi >= a for (a, b), n in zip(self.windows, self.left))
 
-    def inside(self, s: np.ndarray) -> np.ndarray:
-        ok = np.zeros(len(s), bool)
+    def reach(self) -> tuple[int, int]:
+        """Least and most score of the open windows."""
+        some = [w for w, n in zip(self.windows, self.left) if n]
+        return min(a for a, _ in some), max(b for _, b in some)
+
+    def first(self, s: np.ndarray) -> list[int]:
+        """Of falling scores, those among the first that each open window still lacks."""
+        got: set[int] = set()
         for (a, b), n in zip(self.windows, self.left):
-            if n:
-                ok |= (s >= a) & (s <= b)
-        return ok
+            i, j = np.searchsorted(-s, (-b, -a + 1)) if n else (0, 0)
+            got.update(range(int(i), min(int(j), int(i) + n)))
+        return sorted(got)
 
     def take(self, s: int) -> list[int]:
         """The windows that take a row of score s."""
