@@ -475,24 +475,60 @@ def test_pseudonyms_never_collide(spark):
     assert all(got[len(mails) + len(numbers) + i]["text"] == t and not got[len(mails) + len(numbers) + i]["n_replaced"] for i, t in enumerate(odd))
 
 
-def test_automaton_bits_against_plain_enumeration():
-    """The likelihoods of all short words, ends included, sum to one but for the smoothing, and bits() follows the states."""
+def test_automaton_bits_against_plain_walk():
+    """bits() follows the tables, and the states' next symbols and ends are probabilities but for the smoothing."""
     r = random.Random(3)
     words = ["".join(r.choice("Ud") for _ in range(r.randint(1, 3))) for _ in range(300)]
     a = secrets.Automaton(words)
     for n in range(5):
         for w in map("".join, itertools.product("Udx", repeat=n)):
             at, total = 0, 0.0
-            for c in w:
-                step, _, unseen = a.states[at]
-                p, at = step.get(c, (unseen, 0))
-                total += p
-            assert a.bits(w) == pytest.approx((total + a.states[at][1]) / (n + 1))
-    bits, to, end = a.tables()
-    assert bits.shape == to.shape == (len(a.states), len(secrets.SYMBOLS)) and len(end) == len(a.states)
+            for c in map(secrets.SYMBOLS.index, w):
+                total, at = total + a.step[at, c], a.to[at, c]
+            assert a.bits(w) == pytest.approx((total + a.end[at]) / (n + 1))
+    assert a.step.shape == a.to.shape == (len(a.end), len(secrets.SYMBOLS))
+    assert all((2.0 ** a.step[i]).sum() + 2.0 ** a.end[i] < 1.02 for i in range(len(a.end)))
     assert a.bits("Ud") > a.bits("xx")
 
 
+@pytest.mark.parametrize("n", [40, 24])
+def test_automata_keep_the_length(n):
+    """A format of one length has a state per place; shorter and longer values are refused, whatever they are made of."""
+    r = random.Random(n)
+    make = lambda m: "".join(r.choice("0123456789abcdef") for _ in range(m))
+    plain = lambda: prose(1, r.random()) + str(r.randint(1, 99))
+    scorer = secrets.Scorer([("hex", make(n)) for _ in range(120)] + [("", plain()) for _ in range(120)])
+    assert len(scorer.formats["hex"].end) == n + 2
+    assert all(scorer.is_secret(make(n)) for _ in range(100))
+    assert not any(scorer.is_secret(make(m)) for m in (6, 10, n - 1, n + 1, 2 * n) for _ in range(50))
+    # glued to other characters it is found at its length
+    for _ in range(20):
+        head, key = prose(1, r.random()) + "_", make(n)
+        assert scorer.secrets(head + key + "/zz") == [(len(head), len(head) + n)]
+
+
+def test_few_labels_make_a_format():
+    r = random.Random(5)
+    make = lambda: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(20))
+    scorer = secrets.Scorer([("access", make()) for _ in range(3)] + [("word", prose(1, i)) for i in range(100)])
+    assert scorer.is_secret(make()) and not any(scorer.is_secret(prose(1, 500 + i)) for i in range(100))
+
+
+def test_hidden_labels_of_the_given_tables(spark):
+    """Automata fitted on half of the labelled values accept the other half, and next to nothing of ordinary tokens."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labelled = secrets.labelled_values(rows, 100_000)
+    half = lambda v, k: zlib.crc32(v.encode()) % 2 == k
+    scorer = secrets.Scorer([x for x in labelled if half(x[1], 0) and x[0] not in ("", "word")] + [x for x in labelled if half(x[1], 0) and x[0] in ("", "word")][:800])
+    assert set(scorer.formats) == {"assign", "hex"}
+    for kind in scorer.formats:
+        assert len(scorer.formats[kind].end) > 20
+        hidden = [v for k, v in labelled if k == kind and half(v, 1)]
+        assert hidden and np.mean([scorer.is_secret(v) for v in hidden]) >= 0.9
+    plain = [v for k, v in labelled if k in ("", "word") and half(v, 1)]
+    assert sum(bool(scorer.secrets(v)) for v in plain) <= len(plain) / 1_000
+
+
 def test_equal_hashes_of_windows_are_compared_by_words(spark, monkeypatch):
     monkeypatch.setattr(line_rules, "_window_hashes", lambda: F.expr("transform(slice(words, 1, n_words - 2), (w, i) -> cast(i as bigint))"))
     rows = ["a b c d a b c", "a b c d e f g h", "x y z q x y z x y z", "a a a a a"]

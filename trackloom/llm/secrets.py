@@ -2,8 +2,10 @@
 
 Credentials that the fixed patterns label are turned into prefix trees over character classes; statistically compatible
 states are merged (Hoeffding bounds, red-blue order) into probabilistic automata, one per label and one each for ordinary
-words and for ordinary tokens with digits. Every other candidate token is scored by its format's likelihood against the ordinary one: whole, and, if it is long
-and not accepted whole, in every window that is as long as a labelled value.
+words and for ordinary tokens with digits. States are compatible if the next symbols, the ends and the lengths that are left
+agree: branches of a prefix tree have few visits each, but the lengths of all that is below a state are told apart by few, so
+a format keeps its length. Every other candidate token is scored by its format's likelihood against the ordinary one: whole,
+and, if it is not accepted whole, in every stretch of it.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,18 +36,16 @@ WORDS = ("password", "passwd", "secret", "token", "api")
 SHORTEST = 6
 CANDIDATE, DIGIT = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"), re.compile("[0-9]")
 WORD = "word"
-#: Labelled values per automaton, chosen by hash order over all documents, and the part of a value that automata are fitted on.
-TRAIN_VALUES, READ_CHARS = 400, 64
-#: Bits per character by which a format must beat ordinary tokens, and by which it may fall short of its weakest label.
-MARGIN, SLACK = 0.5, 0.25
-#: Bits in all by which a format must beat ordinary tokens; a window, one of n, must do so by log2(n) more.
+#: Labelled values per automaton, chosen by hash order over all documents.
+TRAIN_VALUES = 400
+#: Bits per character by which a format must beat ordinary tokens, and by which it may fall short of its weakest label; with
+#: n labels, by 1 / n more.
+MARGIN, SLACK = 0.5, 0.1
+#: Bits in all by which a format must beat ordinary tokens; a stretch of a run of n must do so by log2(n) more.
 EVIDENCE = 8.5
-#: Runs longer than this are scored in windows too, so many starts at a time.
-LONG, STARTS = 16, 65_536
 #: Character classes as numbers.
 SYMBOLS = "xlUd+/_=-."
 _CLASS = {ord(c): "x" if "a" <= c <= "f" else "l" if c.islower() else "U" if c.isupper() else "d" for c in "".join(map(chr, range(128))) if c.isalnum()}
-_CODE = np.array([max(0, SYMBOLS.find(chr(i))) for i in range(128)])
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -76,17 +78,20 @@ class Automaton:
     def __init__(self, words: Iterable[str], alpha: float = 0.01):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
-        self.ends, self.total = [0], [0]
+        self.ends, self.total, self.left = [0], [0], [Counter()]
+        self.alpha = alpha
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         for word in sorted(words):
             at = 0
-            for c in word:
+            for i, c in enumerate(word):
                 self.total[at] += 1
+                self.left[at][len(word) - i] += 1
                 self.count[at][c] = self.count[at].get(c, 0) + 1
                 if c not in self.next[at]:
                     self.next[at][c] = self._state()
                 at = self.next[at][c]
             self.total[at] += 1
+            self.left[at][0] += 1
             self.ends[at] += 1
         self._merge_all()
 
@@ -95,11 +100,24 @@ class Automaton:
         self.count.append({})
         self.ends.append(0)
         self.total.append(0)
+        self.left.append(Counter())
         return len(self.next) - 1
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
+    def _lengths_differ(self, a: int, b: int) -> bool:
+        """Whether the distributions of what is left of the words differ somewhere."""
+        n, m, f, g = self.total[a], self.total[b], 0, 0
+        if max(self.left[a]) < min(self.left[b]) or max(self.left[b]) < min(self.left[a]):
+            # all of one before all of the other, by chance alone
+            return 2 / math.comb(n + m, n) < self.alpha
+        for x in sorted(self.left[a].keys() | self.left[b].keys()):
+            f, g = f + self.left[a][x], g + self.left[b][x]
+            if self._differ(f, n, g, m):
+                return True
+        return False
+
     def _compatible(self, a: int, b: int) -> bool:
         todo = [(a, b)]
         while todo:
@@ -107,7 +125,7 @@ class Automaton:
             n, m = self.total[a], self.total[b]
             if not n or not m:
                 continue
-            if self._differ(self.ends[a], n, self.ends[b], m):
+            if self._differ(self.ends[a], n, self.ends[b], m) or self._lengths_differ(a, b):
                 return False
             for c in self.next[a].keys() | self.next[b].keys():
                 if self._differ(self.count[a].get(c, 0), n, self.count[b].get(c, 0), m):
@@ -123,6 +141,7 @@ class Automaton:
             a, b = todo.pop()
             self.total[a] += self.total[b]
             self.ends[a] += self.ends[b]
+            self.left[a] += self.left[b]
             for c, n in self.count[b].items():
                 self.count[a][c] = self.count[a].get(c, 0) + n
                 if c in self.next[a]:
@@ -145,26 +164,38 @@ class Automaton:
                     break
             else:
                 red.append(state)
-        number = {r: i for i, r in enumerate(red)}
-        self.states = [
-            ({c: (math.log2((self.count[r].get(c, 0) + 0.5) / (self.total[r] + 8)), number[t]) for c, t in self.next[r].items()}, math.log2((self.ends[r] + 0.5) / (self.total[r] + 8)), math.log2(0.5 / (self.total[r] + 8)))
-            for r in red
-        ]
-
-    def bits(self, word: str) -> float:
-        """Mean log2 likelihood per character, the end included; unseen characters are smoothed and lead to the start."""
+        self._tables(red)
+
+    def _tables(self, red: list[int]) -> None:
+        """log2 likelihood and next state by state and symbol, log2 likelihood of the end by state and whether a word ended there.
+
+        An unseen symbol leads on to the most frequent next state, so that the length is kept; where words only end, it leads
+        into the last state, from which nothing is likely.
+        """
+        number, sink = {r: i for i, r in enumerate(red)}, len(red)
+        rare = [math.log2(0.5 / (self.total[r] + 8)) for r in red] + [math.log2(0.5 / (self.total[0] + 8))]
+        self.step, self.to, self.end = np.repeat(np.array(rare)[:, None], len(SYMBOLS), axis=1), np.full((sink + 1, len(SYMBOLS)), sink), np.array(rare)
+        self.stops = np.array([self.ends[r] > 0 for r in red] + [False])
+        for r, i in number.items():
+            count, n = self.count[r], self.total[r] + 8
+            self.end[i] = math.log2((self.ends[r] + 0.5) / n)
+            if count:
+                self.to[i] = number[self.next[r][max(sorted(count), key=count.get)]]
+            for c, t in self.next[r].items():
+                at = SYMBOLS.find(c)
+                self.step[i, at], self.to[i, at] = math.log2((count[c] + 0.5) / n), number[t]
+
+    def read(self, word: str) -> tuple[float, bool]:
+        """Mean log2 likelihood per character, the end included, and whether some labelled word ended in that state."""
         at, sum_ = 0, 0.0
         for c in word:
-            step, _, unseen = self.states[at]
-            p, at = step.get(c, (unseen, 0))
-            sum_ += p
-        return (sum_ + self.states[at][1]) / (len(word) + 1)
+            c = SYMBOLS.find(c)
+            sum_ += self.step[at, c]
+            at = self.to[at, c]
+        return float(sum_ + self.end[at]) / (len(word) + 1), bool(self.stops[at])
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log2 likelihood and next state by state and symbol, log2 likelihood of the end by state."""
-        bits = np.array([[step.get(c, (unseen, 0))[0] for c in SYMBOLS] for step, _, unseen in self.states])
-        to = np.array([[step.get(c, (unseen, 0))[1] for c in SYMBOLS] for step, _, unseen in self.states])
-        return bits, to, np.array([end for _, end, _ in self.states])
+    def bits(self, word: str) -> float:
+        return self.read(word)[0]
 
 
 class Scorer:
@@ -174,11 +205,9 @@ class Scorer:
         by: dict[str, list[str]] = {}
         for kind, value in labelled:
             by.setdefault(kind, []).append(classes(value))
-        self.formats = {k: Automaton(v) for k, v in by.items() if k not in ("", WORD) and len(v) >= 8}
+        self.formats = {k: Automaton(v) for k, v in by.items() if k not in ("", WORD)}
         self.ordinary = [Automaton(by[k]) for k in ("", WORD) if k in by] or [Automaton(["llllllll"])]
-        self.least = {k: min(a.bits(w) for w in by[k]) - SLACK for k, a in self.formats.items()}
-        self.lengths = {k: (min(map(len, by[k])), max(map(len, by[k]))) for k in self.formats}
-        self.tables = {k: a.tables() for k, a in [*enumerate(self.ordinary), *self.formats.items()]}
+        self.least = {k: min(a.bits(w) for w in by[k]) - SLACK - 1 / len(by[k]) for k, a in self.formats.items()}
         self.known: dict[str, list[tuple[int, int]]] = {}
 
     def is_secret(self, value: str) -> bool:
@@ -186,47 +215,57 @@ class Scorer:
         word = classes(value)
         plain = max(a.bits(word) for a in self.ordinary)
         least = plain + max(MARGIN, EVIDENCE / (len(word) + 1))
-        return any((b := a.bits(word)) >= self.least[k] and b >= least for k, a in self.formats.items())
+        return any((b := a.read(word))[1] and b[0] >= max(least, self.least[k]) for k, a in self.formats.items())
 
     def secrets(self, value: str) -> list[tuple[int, int]]:
-        """(start, end) of the secrets in a run: all of it, or the windows that a format accepts, joined where they overlap."""
+        """(start, end) of the secrets in a run: all of it, or the stretches of it that a format accepts."""
         word = classes(value)
         if (out := self.known.get(word)) is None:
-            out = [(0, len(word))] if self.is_secret(value) else self._windows(word) if len(word) > LONG else []
+            out = [(0, len(word))] if self.is_secret(value) else self._inside(word)
             if len(self.known) > 200_000:
                 self.known.clear()
             if len(word) <= 256:
                 self.known[word] = out
         return out
 
-    def _windows(self, word: str) -> list[tuple[int, int]]:
-        if not self.formats:
-            return []
-        n, most = len(word), max(hi for _, hi in self.lengths.values())
-        least = EVIDENCE + math.log2(n * sum(hi - lo + 1 for lo, hi in self.lengths.values()))
-        code = _CODE[np.frombuffer(word.encode("ascii"), np.uint8)]
-        inside = np.zeros(n + 1, np.int64)
-        for at in range(0, n, STARTS):
-            part = code[at : at + STARTS + most]
-            starts = min(STARTS, n - at)
-            run = {k: (np.zeros(starts, np.int64), np.zeros(starts)) for k in self.tables}
-            for t in range(min(most, len(part))):
-                m = min(starts, len(part) - t)
-                c, ends = part[t : t + m], {}
-                for k, (bits, to, end) in self.tables.items():
-                    state, sum_ = run[k]
-                    sum_ = sum_[:m] + bits[state[:m], c]
-                    state = to[state[:m], c]
-                    run[k] = state, sum_
-                    ends[k] = sum_ + end[state]
-                plain = np.max([ends[k] for k in range(len(self.ordinary))], axis=0)
-                for k, (lo, hi) in self.lengths.items():
-                    if lo <= t + 1 <= hi:
-                        hit = np.flatnonzero((ends[k] >= self.least[k] * (t + 2)) & (ends[k] - plain >= max(MARGIN * (t + 2), least)))
-                        inside[at + hit] += 1
-                        inside[at + hit + t + 1] -= 1
-        covered = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(inside) > 0, [0]))))
-        return [(int(s), int(e)) for s, e in zip(covered[::2], covered[1::2])]
+    def _inside(self, word: str) -> list[tuple[int, int]]:
+        """The stretches of a run that a format accepts, of any length and from any start; of overlapping ones the likeliest.
+
+        A format's automaton is entered before every character; of the stretches that reach one state the one that is most
+        ahead of ordinary tokens goes on, so time and memory grow with the run's length times the number of states.
+        """
+        code, found = [SYMBOLS.find(c) for c in word], []
+        plain, ends = np.full(len(word), -np.inf), np.full(len(word), -np.inf)
+        for a in self.ordinary:
+            state = 0
+            for t, c in enumerate(code):
+                plain[t] = max(plain[t], a.step[state, c])
+                state = a.to[state, c]
+                ends[t] = max(ends[t], a.end[state])
+        for k, a in self.formats.items():
+            ahead = a.step[:, code].max(axis=0) - plain
+            least = EVIDENCE + math.log2(len(word))
+            if ahead[ahead > 0].sum() < least:
+                continue
+            lead, bits, since = np.full(len(a.end), -np.inf), np.zeros(len(a.end)), np.zeros(len(a.end), np.int64)
+            for t, c in enumerate(code):
+                if lead[0] < 0:
+                    lead[0], bits[0], since[0] = 0.0, 0.0, t
+                new = lead + a.step[:, c] - plain[t]
+                by = np.argsort(new, kind="stable")
+                to = a.to[by, c]  # the last one written, which is most ahead, stays
+                lead, old, start = np.full(len(new), -np.inf), bits, since
+                bits, since = np.zeros(len(new)), np.zeros(len(new), np.int64)
+                lead[to], bits[to], since[to] = new[by], (old + a.step[:, c])[by], start[by]
+                size = t + 2 - since
+                hit = a.stops & (lead + a.end - ends[t] >= np.maximum(least, MARGIN * size)) & (bits + a.end >= self.least[k] * size)
+                found += [(-float((bits[i] + a.end[i]) / size[i]), int(since[i]), t + 1) for i in np.flatnonzero(hit)]
+        out: list[tuple[int, int]] = []
+        for _, start, end in sorted(found):
+            i = bisect_left(out, (start, end))
+            if (i == 0 or out[i - 1][1] <= start) and (i == len(out) or end <= out[i][0]):
+                out.insert(i, (start, end))
+        return out
 
 
 def runs(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
@@ -262,13 +301,12 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             text = text or ""
             spans = base_spans(text)
-            found.update((KINDS[span[1]], _value(text, span)[:READ_CHARS]) for span in spans)
+            found.update((KINDS[span[1]], _value(text, span)) for span in spans)
             if spans:
                 plain.update(text[s:e] for s, e, rests in runs(text, joined(spans)) if rests == [(s, e)])
             else:
                 plain.update(CANDIDATE.findall(text))
-        cut = {v[:READ_CHARS] for v in plain}
-        rows = sorted(found) + sorted(("" if DIGIT.search(v) else WORD, v) for v in cut)
+        rows = sorted(found) + sorted(("" if DIGIT.search(v) else WORD, v) for v in plain)
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["kind", "value"])
 
 
@@ -313,9 +351,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_grammar: one row per row of docs.
 
     spans lists kind:start:end of the fixed patterns and of the candidates that the automata accept, by start and kind;
-    offsets are code points. The automata are fitted on the first READ_CHARS characters of at most train_values labelled values
-    per kind; everything else covers all texts and candidates whole. Of a candidate over LONG characters that is not accepted
-    whole, the accepted windows are listed; of one that extends past base spans, all of it or its rests. docs is read twice. A kind with fewer than 8 labelled values gets no automaton. Null text is empty and has no spans; repeated
+    offsets are code points. The automata are fitted on at most train_values labelled values per kind; everything else covers
+    all texts and candidates whole. Of a candidate that is not accepted whole, the accepted stretches are listed; of one that
+    extends past base spans, all of it or its rests. docs is read twice. Null text is empty and has no spans; repeated
     rows get equal results; no rows give no rows; other columns of docs are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
