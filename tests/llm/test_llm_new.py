@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontaminate, hard_negatives, prefix_trie
+from trackloom.llm import chat, decontaminate, hard_negatives, prefix_trie, url_rules, warc_zip
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -217,3 +217,66 @@ def test_a_long_conversation_lies_in_many_tasks(spark):
     assert sorted(r["pos"] for r in got) == list(range(1, 4_001))
     text = {hashlib.sha256(f"4:user{i}".encode()).digest(): i for i in range(4_000)}
     assert all(text[bytes(r["digest"])] == 4_000 - r["pos"] for r in got)
+
+
+def test_archives_of_odd_urls_and_ids(spark, tmp_path):
+    """Braces, quotes, blanks and line feeds in urls; equal payloads of rows without an id, of one id and of several."""
+    long, other, third = ("".join(random.Random(i).choices("abc é", k=1_500)) for i in range(3))
+    urls = ["http://a.com/{id}", 'http://a.com/{"id": 1}', "http://a.com/x y\nz\r\t", "http://é.com/日本", "", None, "{", "}{"]
+    rows = [(i, u, long) for i, u in enumerate(urls)] + [(None, "http://n/", long), (None, "http://n/", other), (None, None, other), (50, "x", third), (50, "y", third), (49, "z", third), (60, "t", None), (61, "t", ""), (62, "t", "short"), (63, "t", "short")]
+    df = spark.createDataFrame([(*r, "d", 1) for r in rows], "page_id long, url string, html string, digest string, id int").repartition(3)
+    got = warc_zip.round_trip(spark, df).collect()
+    assert len(got) == len(rows)
+    best = {}
+    for i, _, body in rows:
+        if len((body or "").encode()) >= 1_000 and i is not None:
+            best[body] = max(best.get(body, i), i)
+    want = []
+    for i, _, body in rows:
+        refers = best.get(body) if best.get(body) != i else None
+        raw = (body or "").encode()
+        want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "response" if refers is None else "revisit", refers))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r["id"], r["payload_bytes"], r["digest"], r["type"], r["refers_to"]) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_equal_and_empty_urls_are_dealt_over_tasks(spark, monkeypatch):
+    """A url that half of the rows repeat and urls without a host fill several ranges each, and rules still reach them."""
+    rows = [(i, ("http://hot.com/", "http://hot.com/a/b", None, f"http://h{i % 97}.org/x{i}")[i % 4]) for i in range(4_000)] + [(7, "http://hot.com/")] * 3
+    rules = spark.createDataFrame([("hot.com", "/a", "block"), ("com", None, "block"), ("hot.com", "/", "allow"), ("org", "/x1", "block")], "host string, path string, verdict string")
+    urls = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    got = url_rules.judge_urls(urls, rules, range_rows=100)
+    tasks = {}
+    seen = []
+    for r in got.withColumn("task", F.spark_partition_id()).collect():
+        tasks.setdefault((r["host"], r["path"]) if r["host"] in ("", "hot.com") else "other", set()).add(r["task"])
+        seen.append((r["id"], r["host"], r["path"], r["rule"], r["verdict"]))
+    assert all(len(t) >= 5 for t in tasks.values())
+    want = []
+    for i, u in rows:
+        host, _, path = (u or "http://").removeprefix("http://").partition("/")
+        path = "/" + path if host else ""
+        if path.startswith("/a"):
+            found = ("hot.com/a", "block")
+        elif host == "hot.com":
+            found = ("hot.com/", "allow")
+        elif path.startswith("/x1"):
+            found = ("org/x1", "block")
+        else:
+            found = (None, "allow")
+        want.append((i, host, path, *found))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(seen, key=key) == sorted(want, key=key)
+
+
+def test_words_that_look_like_another_roles_mark_stay(spark):
+    turns = [(c, t, ("user", "assistant")[t % 2], (prose(6, 10 * c + t) + "?" if t % 2 == 0 else prose(90, 10 * c + t))) for c in range(200) for t in range(4)]
+    model = chat.fit(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert chat.unmarked("user", "User: hello") == "hello" and chat.unmarked("user", "Answer: 5") == "Answer: 5"
+    assert chat.render("assistant", "Question: why") == "<|assistant|>\nQuestion: why\n<|end|>\n"
+    # marks are fitted with the prior: a table whose users often begin with "Answer:" makes that mark say less
+    odd = [(c, t, r, "Answer: " + x if t % 2 == 0 and c < 190 else x) for c, t, r, x in turns]
+    fitted = chat.fit(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string"))
+    user, assistant = chat.ROLES.index("user"), chat.ROLES.index("assistant")
+    mark = 1 + assistant
+    assert model.seen[0][assistant, mark] - model.seen[0][user, mark] > 2 > 0 > fitted.seen[0][assistant, mark] - fitted.seen[0][user, mark]

@@ -359,6 +359,66 @@ def test_every_run_is_scored(spark):
     assert got[82]["spans"] in ("grammar:4:30,assign:16:30", "grammar:4:16,assign:16:30")
 
 
+def plain_finder(text):
+    """(kind, value) of the numbers and dates inside runs of digits, by rule and from left to right."""
+    import datetime
+
+    def luhn(d):
+        return sum((v * (1 + i % 2) - 9 * (v * (1 + i % 2) > 9)) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    def date(v):
+        try:
+            return 0 <= (datetime.date.fromisoformat(v) - datetime.date(1900, 1, 1)).days < 73_000
+        except ValueError:
+            return False
+
+    usual = ((4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (4, 4, 4, 4), (4, 4, 4, 3), (4, 4, 4, 2), (4, 4, 4, 1), (4, 6, 5), (4, 6, 4))
+    out = []
+    for m in re.finditer(r"(?:-|(?<![0-9A-Za-z]))[0-9]+(?:[ -][0-9]+)*-*", text):
+        run, groups, i = m[0], list(re.finditer("[0-9]+", m[0])), 0
+        sep = lambda k: run[groups[k].end() : groups[k].end() + 1] if k < len(groups) else ""  # noqa: B023, E731
+        while i < len(groups):
+            free = run[groups[i].start() - 1 : groups[i].start()] != "-"
+            part = lambda n: run[groups[i].start() : groups[i + n - 1].end()] if i + n <= len(groups) else ""  # noqa: B023, E731
+            three, took = part(3), 0
+            if free and re.fullmatch(r"\d{4}-\d\d-\d\d", three) and sep(i + 2) != "-" and date(three):
+                took, kind = 3, "date"
+            elif free and re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", three) and sep(i + 2) != "-":
+                took, kind = 3, "ssn"
+            else:
+                for shape in (*usual, (1,)):
+                    v, n = part(len(shape)), len(shape)
+                    d = re.sub("[^0-9]", "", v)
+                    seps = set(re.findall("[ -]", v))
+                    fits = v and tuple(map(len, re.split("[ -]", v))) == shape and len(seps) == 1 if n > 1 else v and 13 <= len(v) <= 19
+                    if fits and 13 <= len(d) <= 19 and re.match("[3-6]|2[2-7]", d) and luhn(d):
+                        took, kind = n, "card"
+                        break
+            if took:
+                out.append((kind, part(took)))
+            i += took or 1
+    return out
+
+
+def test_numbers_against_a_plain_finder(spark):
+    """Runs of valid and invalid neighbours: what is found is what the rules say, and the rest of the text stays."""
+    r = random.Random(11)
+    pool = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005", "378282246310005", "9111 1111 1111 1110", "4111 1111-1111 1111", "000-00-0000", "078-05-1120", "2020-02-30", "1984-02-29", "12", "2024", "5105105105105100", "30569309025904", "1", "666-12-1234"]
+    texts = ["4111 1111 1111 1111 000-00-0000 2020-02-30"] + [" ".join(r.choice(pool) for _ in range(r.randint(1, 5))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for row in pseudonyms.pseudonymize(df, "k").collect():
+        text, want = texts[row["id"]], plain_finder(texts[row["id"]])
+        assert {k: row[f"n_{k}"] for k in ("card", "ssn", "date")} == {k: sum(x == k for x, _ in want) for k in ("card", "ssn", "date")}, text
+        shape = lambda t: re.sub("[0-9]", "0", t)
+        assert shape(row["text"]) == shape(text)
+        rest, new, at = text, row["text"], 0
+        for _, v in want:
+            at = rest.index(v, at)
+            assert new[at : at + 2] == v[:2] or _ != "card"
+            rest, new = rest[:at] + "#" * len(v) + rest[at + len(v) :], new[:at] + "#" * len(v) + new[at + len(v) :]
+        assert rest == new
+
+
 def test_pseudonyms(spark):
     rows = ["card 4111 1111 1111 1111, again 4111 1111 1111 1111", "4111111111111112 fails", "call +1 (415) 555-2671 or 10.0.0.1", "born 1984-02-29, not 1985-02-29", "a.b9@mail.example.com", None, "", "x" * 20_000 + " 078-05-1120"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")

@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for numbers and dates by a keyed Feistel network, with DataFrame functions only.
 
-Each validated value is a number in a domain of its format: the digits of a card but the check digit, area, exchange and
+Each validated value is a number in a domain of its format: the digits of a card but the issuer's two and the check digit, area, exchange and
 line of a telephone number, the four bytes of an IPv4 address, the valid social security numbers, the days of a date range,
 the letters of an e-mail's local part to base 26 and its digits to base 10. The number is permuted inside its domain, so
 equal values stay equal, different ones stay different, and the format stays valid. Long strings are cut into limbs; each is
@@ -31,14 +31,13 @@ PATTERNS = {
     "run": rf"(?:-|(?<![0-9A-Za-z]))(?=[0-9](?:[ -]?[0-9]){{7}}){_GROUP}(?:[ -]{_GROUP})*+-?+",
 }
 EVERY = "|".join(PATTERNS.values())
-#: Inside a run, from the start of a group: dates and social security numbers, cards with one separator and usual groups, and
-#: other ones; longer cards first.
+#: Inside a run, from the start of a group: dates and social security numbers, and cards of issuers' first digits, with one
+#: separator and usual groups or none; longer cards first.
 DATE, SSN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARDS = (
-    r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{1,3}(?![0-9])", r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?![0-9])",
-    r"^[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}(?![0-9])", r"^[0-9]{13,19}(?![0-9])",
-)
-ODD_CARDS = tuple(rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])" for n in range(19, 12, -1))
+CARDS = tuple(
+    "^(?=[3-6]|2[2-7])" + groups + "(?![0-9])"
+    for groups in (r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{1,3}", r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}", r"[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}", r"[0-9]{13,19}")
+)
 #: Dates run over 250 * 292 days from here.
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)
 
@@ -141,8 +140,9 @@ def luhn_sum(d: Column) -> Column:
 
 
 def _card(x: Column, key: str) -> Column:
+    """The first two digits stay, so the issuer does; the check digit fits again."""
     d = digits(x)
-    body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
+    body = F.concat(F.substring(d, 1, 2), permute_digits(F.substring(d, F.lit(3), F.length(d) - 3), key, "card"))
     new = _let(body, lambda body: F.concat(body, F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
     return F.when(luhn_sum(d) % 10 == 0, _let(new, lambda new: refill(x, new)))
 
@@ -214,10 +214,7 @@ def _valid(cards: Column) -> Column:
 
 
 def _run(x: Column, key: str) -> Column:
-    """text and kinds of a run with the values inside replaced: from left to right, a group that begins none is passed over.
-
-    A card of unusual groups is taken only where no date, social security number or usual card begins inside.
-    """
+    """text and kinds of a run with the values inside replaced: from left to right, a group that begins none is passed over."""
     lead = F.when(x.startswith("-"), F.lit("-")).otherwise(F.lit(""))
 
     def choose(raw: Column) -> Column:
@@ -236,14 +233,6 @@ def _run(x: Column, key: str) -> Column:
 
             return _let(rest(i), at)
 
-        def with_odd(sure: Column) -> Column:
-            def odd(i: Column) -> Column:
-                cards = _valid(F.array(*[F.regexp_extract(rest(i), p, 0) for p in ODD_CARDS]))
-                alone = F.filter(cards, lambda c: F.forall(F.slice(sure, i + 2, F.size(F.split(c, "[ -]")) - 1), lambda s: s.isNull()))
-                return _let(F.get(alone, F.lit(0)), lambda c: F.when(c.isNotNull(), _found(i, c, "card", _card(c, key))))
-
-            return F.transform(sure, lambda s, i: F.when(s.isNotNull(), s).otherwise(odd(i)))
-
         def take(a: Column, c: Column) -> Column:
             before = F.array_join(F.slice(raw, a["next"] + 1, c["i"] - a["next"]), "")
             after = F.regexp_extract(F.get(raw, c["i"] + c["m"] - 1), "[ -]?$", 0)
@@ -252,7 +241,7 @@ def _run(x: Column, key: str) -> Column:
 
         start = F.struct(F.lit(0).alias("next"), lead.alias("text"), F.array().cast("array<string>").alias("done"))
         left = lambda a: F.array_join(F.slice(raw, a["next"] + 1, F.size(raw)), "")
-        every = F.filter(_let(F.transform(raw, usual), with_odd), lambda c: c.isNotNull())
+        every = F.filter(F.transform(raw, usual), lambda c: c.isNotNull())
         return F.aggregate(every, start, take, lambda a: F.struct(F.concat(a["text"], left(a)).alias("text"), a["done"].alias("done")))
 
     return _let(F.regexp_extract_all(x, F.lit("[0-9]+[ -]?"), F.lit(0)), choose)
@@ -261,8 +250,8 @@ def _run(x: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text with pseudonyms, n_<kind> of each kind and n_replaced, one row per row of docs.
 
-    A match that fails its check (Luhn sum, byte range, area and group, calendar, date range) stays as it is and is not
-    counted; inside runs of digits the other kinds and lengths, and the next groups, are tried then. Equal values under one
+    A match that fails its check (issuer, groups and Luhn sum, byte range, area and group, calendar, date range) stays as it
+    is and is not counted; inside runs of digits the other kinds and lengths, and the next groups, are tried then. Equal values under one
     key get equal pseudonyms in all documents; values of one format and length never collide. Null text stays null with zero counts; long texts are read whole; repeated rows get equal results; no
     rows give no rows; other columns of docs are not read.
     """
