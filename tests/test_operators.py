@@ -256,13 +256,6 @@ def test_thinning_keeps_equal_last_rows(spark):
     assert sorted(map(tuple, got)) == [(1, 0, "x"), (1, 5, "x"), (1, 10, "x"), (2, 7, "y"), (3, 0, "z"), (3, 3, "z")] or sorted(map(tuple, got)) == [(1, 0, "x"), (1, 5, "x"), (1, 10, "x"), (1, 10, "x"), (2, 7, "y"), (3, 0, "z"), (3, 3, "z")]
 
 
-def test_median_of_all(spark):
-    from statistics import median
-
-    for xs in ([3.0], [1.0, 2.0], [5.5, 5.1, 5.9, 100.0], [2.0] * 5 + [9.0], [-3.2, -3.9, 4.0, 4.5, 7.0]):
-        assert metrics.median_of_all(spark.createDataFrame([(x,) for x in xs] + [(None,)], "v double"), "v").first()["m"] == pytest.approx(median(xs))
-
-
 def test_nearest_without_tolerance(spark):
     rng = np.random.default_rng(5)
     left = [(i, int(rng.integers(0, 4)), int(rng.integers(0, 60))) for i in range(80)]

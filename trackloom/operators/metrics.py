@@ -77,22 +77,6 @@ def at_thresholds(df: DataFrame, keys: list[str], positive: Column, score: Colum
     return counts.select(*keys, F.inline(F.array(*points)))
 
 
-def median_of_all(df: DataFrame, value: str) -> DataFrame:
-    """One row (m): the median of all values. Buckets of whole numbers are counted, and only the middle ones are sorted."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.floor(value).alias("_b"))
-    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    up_to, every = Window.orderBy("_b"), Window.partitionBy()
-    counts = counts.select("_b", (F.sum("_c").over(up_to) - F.col("_c")).alias("_before"), "_c", F.sum("_c").over(every).alias("_all"))
-    lo, hi = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
-    # at most two buckets hold the middle ranks
-    middle = counts.where((F.col("_before") <= hi) & (F.col("_before") + F.col("_c") > lo)).select("_b", "_before", lo.alias("_lo"), hi.alias("_hi"))
-    values = rows.groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("_k")).join(F.broadcast(middle), "_b")
-    end = F.col("_before") + F.sum("_k").over(Window.partitionBy("_b").orderBy("_v"))
-    values = values.select("_v", (end - F.col("_k")).alias("_from"), end.alias("_to"), "_lo", "_hi")
-    in_ = lambda r: F.when((F.col(r) >= F.col("_from")) & (F.col(r) < F.col("_to")), F.col("_v"))
-    return values.agg(((F.max(in_("_lo")) + F.max(in_("_hi"))) / 2).alias("m"))
-
-
 def two_best(vectors: DataFrame, bank: DataFrame, vector: str, name: str, template: str, most: int = 10_000) -> DataFrame:
     """vectors with best: the two (sim, minus name) of largest cosine, found inside the row. A bank of over `most` is refused."""
     if bank.limit(most + 1).count() > most:

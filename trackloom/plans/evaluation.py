@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import labels as lab
 from trackloom.operators import metrics
+from trackloom.operators.selection import percentiles
 from trackloom.plans.views import DET, RATERS, SCORED, det, raters, scored, table
 
 THRESHOLDS = (0.2, 0.35, 0.5, 0.65, 0.8)
@@ -69,7 +70,9 @@ def q_score_catalogue(spark, sf_dir):
     d = det(spark, sf_dir).withColumn("n", F.col("event_id") % 17)
     pairs = ", ".join(f"'{k}', {v}" for k, v in SCORES.items())
     long = d.select("event_type", F.expr(f"stack({len(SCORES)}, {pairs}) as (name, s)"))
-    return long.groupBy("name", "event_type").agg(F.round(F.avg("s"), 6).alias("mean"), F.round(F.percentile("s", 0.9), 6).alias("p90"), F.round(F.avg(F.when(F.col("s") >= 1, 1.0).otherwise(0.0)), 6).alias("full"))
+    about = long.groupBy("name", "event_type").agg(F.round(F.avg("s"), 6).alias("mean"), F.round(F.avg(F.when(F.col("s") >= 1, 1.0).otherwise(0.0)), 6).alias("full"))
+    high = percentiles(long, ["name", "event_type"], "s", {"p90": 0.9})
+    return about.join(high, ["name", "event_type"]).select("name", "event_type", "mean", F.round("p90", 6).alias("p90"), "full")
 
 
 def q_score_histogram(spark, sf_dir):

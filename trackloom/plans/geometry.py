@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import geo as g
 from trackloom.functions import text as tx
-from trackloom.functions.core import micros
+from trackloom.functions.core import micros, ordinals
 from trackloom.operators import metrics
+from trackloom.operators.selection import percentiles
 from trackloom.plans.tracks import episodes_of
 from trackloom.plans.views import DET, EPISODES, GEO, det, geo, table
 
@@ -157,8 +158,9 @@ def q_line_mask(spark, sf_dir):
 def q_offsets(spark, sf_dir):
     """Distance from the median per user, with totals and a verdict."""
     d = det(spark, sf_dir)
-    s = d.groupBy("user_id").agg(F.median("value").alias("m"), F.max("value").alias("top"), F.count(F.lit(1)).alias("n"))
-    every = d.agg(F.max("value").alias("top"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(metrics.median_of_all(d, "value"))).withColumn("user_id", F.lit(-1).cast("long"))
+    middle = lambda keys: percentiles(d, keys, "value", {"m": 0.5})
+    s = d.groupBy("user_id").agg(F.max("value").alias("top"), F.count(F.lit(1)).alias("n")).join(middle(["user_id"]), "user_id")
+    every = d.agg(F.max("value").alias("top"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(middle([]))).withColumn("user_id", F.lit(-1).cast("long"))
     return s.unionByName(every).select("user_id", F.round("m", 6).alias("m"), "top", "n", F.when(F.col("m") <= 40, "aligned").otherwise("off").alias("verdict"))
 
 
@@ -217,10 +219,8 @@ def q_candidate_batches(spark, sf_dir):
     """Two candidate batches in one, numbered through."""
     a = det(spark, sf_dir).where("value >= 300").select("event_id")
     b = det(spark, sf_dir).where("value between 250 and 260").select("event_id")
-    n = F.row_number().over(Window.partitionBy("batch").orderBy("event_id"))
-    rows = a.withColumn("batch", F.lit(0)).unionByName(b.withColumn("batch", F.lit(1))).withColumn("n", n)
-    size = a.agg(F.count(F.lit(1)).alias("size"))
-    return rows.crossJoin(F.broadcast(size)).select("event_id", (F.col("n") + F.col("batch") * F.col("size")).alias("idx"))
+    rows = a.withColumn("batch", F.lit(0)).unionByName(b.withColumn("batch", F.lit(1)))
+    return ordinals(rows, F.struct("batch", F.floor(F.col("event_id") / 65_536)), ["batch", "event_id"], "idx").select("event_id", "idx")
 
 
 _MK = "gl AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), ce AS (SELECT vec_id, label, i % 8 AS px, i // 8 AS py, v[i + 1] > 0.05 AS edge FROM (SELECT *, unnest(range(0, 64)) AS i FROM gl)), mk AS (SELECT label, CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, avg(CASE WHEN edge THEN 1e0 ELSE 0e0 END) AS share FROM ce GROUP BY 1, 2, 3 HAVING avg(CASE WHEN edge THEN 1e0 ELSE 0e0 END) >= 0.5)"

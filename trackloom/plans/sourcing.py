@@ -10,7 +10,8 @@ from trackloom.functions import text
 from trackloom.functions.core import micros
 from trackloom.operators import joins, sampling
 from trackloom.plans.views import GEO, geo, table
-from trackloom.sources import tracks
+from trackloom.sources import day_files, tracks
+from trackloom.sources.shared import new_folder
 from trackloom.streaming.daily import daily_actions
 
 LAT, LON, RADIUS_KM, LEAST, MOST = 42.0, -71.0, 120.0, 20.0, 180.0
@@ -31,6 +32,15 @@ def q_tracks_in_bounds(spark, sf_dir):
     return t.select(F.col("transponder_id").cast("long").alias("user_id"), F.size("points").cast("long").alias("points"), at(1).alias("first_us"), at(-1).alias("last_us"), F.array_max("points.alt_ft").alias("highest"))
 
 
+def q_day_files(spark, sf_dir):
+    """Events as points in SQLite files of a day each, read back within bounds that the files answer."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("transponder_id"), F.timestamp_micros(micros("ts")).alias("time"), ((F.col("event_id") % 401 - 200) * 0.01 + LAT).alias("lat"), ((F.col("event_id") % 997 - 498) * 0.01 + LON).alias("lon"), F.col("value").alias("alt_ft"))
+    path = new_folder(spark, "day-files")
+    day_files.write_day_files(e, path)
+    rows = day_files.day_files(spark, path)(SINCE, UNTIL, (41.5, 42.5, -72.0, -70.5), LEAST)
+    return rows.groupBy(F.col("transponder_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("points"), F.min(F.unix_micros("time")).alias("first_us"), F.max(F.unix_micros("time")).alias("last_us"), F.max("alt_ft").alias("highest"))
+
+
 def q_anchor(spark, sf_dir):
     """The first event's row."""
     return tracks.anchor(table(spark, sf_dir, "events"), "event_id").select("event_id", "user_id", micros("ts").alias("us"))
@@ -106,6 +116,9 @@ ORACLES = {
     "q_tracks_in_bounds": f"""WITH p AS (SELECT user_id, epoch_us(ts) AS us, (event_id % 401 - 200) * 0.01e0 + {LAT}e0 AS lat, (event_id % 997 - 498) * 0.01e0 + ({LON}e0) AS lon, value FROM events)
         SELECT user_id, count(*) AS points, min(us) AS first_us, max(us) AS last_us, max(value) AS highest FROM p
         WHERE us >= epoch_us(TIMESTAMP '{SINCE}') AND us < epoch_us(TIMESTAMP '{UNTIL}') AND value BETWEEN {LEAST}e0 AND {MOST}e0 AND {_KM} <= {RADIUS_KM}e0 GROUP BY user_id""",
+    "q_day_files": f"""WITH p AS (SELECT user_id, epoch_us(ts) AS us, (event_id % 401 - 200) * 0.01e0 + {LAT}e0 AS lat, (event_id % 997 - 498) * 0.01e0 + ({LON}e0) AS lon, value FROM events)
+        SELECT user_id, count(*) AS points, min(us) AS first_us, max(us) AS last_us, max(value) AS highest FROM p
+        WHERE us >= epoch_us(TIMESTAMP '{SINCE}') AND us < epoch_us(TIMESTAMP '{UNTIL}') AND lat BETWEEN 41.5e0 AND 42.5e0 AND lon BETWEEN -72e0 AND -70.5e0 AND value >= {LEAST}e0 GROUP BY user_id""",
     "q_anchor": "SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_id = 0",
     "q_clock_range": "SELECT user_id, count(*) AS n FROM events WHERE strftime(ts, '%H:%M') BETWEEN '06:30' AND '18:05' GROUP BY user_id",
     "q_update_altitudes": f"WITH {GEO} SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN baro ELSE gnss END AS alt FROM geo",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.core import nan_last
 from trackloom.operators import metrics
+from trackloom.operators.selection import percentiles
 from trackloom.plans.views import SCORED, scored
 
 THRESHOLDS = (0.2, 0.35, 0.5, 0.65, 0.8)
@@ -34,11 +35,10 @@ def _grid(spark) -> DataFrame:
 
 
 def peaks(spark, sf_dir) -> DataFrame:
-    """Largest score of each document's two frames per combination: one row per combination and document."""
+    """Largest score of each document's two frames per combination: one row per combination and document, made in the row."""
     rows = scored(spark, sf_dir).crossJoin(F.broadcast(_grid(spark)))
     s = lambda part: F.least(F.lit(1.0), F.pow(F.col("score") * part, F.col("gamma")) + F.col("bonus") * (F.col("n_chars") % 10) / 10.0)
-    frames = rows.withColumn("s", F.explode(F.array(F.round(s(1.0), 6), F.round(s(0.8), 6))))
-    return frames.groupBy("day", "combo", "doc_id", "pos").agg(F.max("s").alias("peak"))
+    return rows.select("day", "combo", "doc_id", "pos", F.greatest(F.round(s(1.0), 6), F.round(s(0.8), 6)).alias("peak"))
 
 
 def evaluated(rows: DataFrame) -> DataFrame:
@@ -100,7 +100,8 @@ def q_score_comparison(spark, sf_dir):
     d = scored(spark, sf_dir).select("pos", (F.col("n_chars") % 17).alias("n"), (F.col("score") * 600).alias("px"))
     pairs = ", ".join(f"'{k}', round({v}, 9)" for k, v in SCORE_FUNCTIONS.items())
     rows = d.select("pos", F.expr(f"stack({len(SCORE_FUNCTIONS)}, {pairs}) as (name, s)"))
-    about = rows.groupBy("name").agg(F.round(F.percentile("s", 0.9), 6).alias("p90"), F.round(F.avg((F.col("s") >= 1).cast("double")), 6).alias("full"))
+    about = rows.groupBy("name").agg(F.round(F.avg((F.col("s") >= 1).cast("double")), 6).alias("full"))
+    about = about.join(percentiles(rows, ["name"], "s", {"p90": 0.9}).select("name", F.round("p90", 6).alias("p90")), "name")
     area = metrics.auc(rows, ["name"], F.col("pos"), "s").select("name", F.round("auc", 9).alias("auc"))
     best = metrics.youden(rows, ["name"], F.col("pos"), "s").select("name", F.round("j", 9).alias("j"))
     return about.join(area, "name").join(best, "name")
