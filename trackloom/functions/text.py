@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Formats that are fixed by the data: the overlay's time stamp, an ISO time stamp with a zone.
 OVERLAY = r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$"
-ISO_ZONE = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"
+ISO_ZONE = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)$"
 
 
 def parse_overlay(x: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.functions.text import ISO_ZONE
+
 LABELS = ("contrail", "no_contrail", "unsure")
 PERSISTENCE = ("short", "potentially_persistent")
 EXPORT = "schema_version int, date string, labeler_id string, exported_at string, labels array<struct<episode_id:int,label:string,labeler_id:string,persistence_rating:int,persistence:string,measurement_km:double,label_timestamp:string,label_notes:string>>"
@@ -45,26 +47,32 @@ def validate(df: DataFrame, payload: str, expected_date: str) -> DataFrame:
         when(some(lambda x: F.coalesce(x["labeler_id"], F.col("doc.labeler_id")) != F.col("doc.labeler_id")), "labeler_id"),
         when(some(lambda x: ~F.coalesce(x["persistence_rating"].between(1, 5), F.lit(True))), "persistence_rating"),
         when(some(lambda x: ~F.coalesce(x["persistence"].isin(*PERSISTENCE), F.lit(True))), "persistence"),
-        when(some(lambda x: ~F.coalesce(x["label_timestamp"].rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), F.lit(True))), "label_timestamp"),
+        when(some(lambda x: ~F.coalesce(x["label_timestamp"].rlike(ISO_ZONE), F.lit(True))), "label_timestamp"),
     ]
     return rows.withColumn("errors", F.array_compact(F.array(*checks))).drop("doc")
 
 
-def upsert(table: DataFrame, labels: DataFrame, item: str, labeler: str, label: str, arrival: str) -> DataFrame:
+def upsert(table: DataFrame, labels: DataFrame, item: str, labeler: str, label: str | list[str], arrival: str, left_out: tuple[str, ...] = ()) -> DataFrame:
     """Rows after labels come in: a labeler's last label wins; the first labeler of an item takes its open row, others get copies.
 
-    table has one row per item and labeler, with a null labeler while open; items without a row take no labels. A set-based
-    rewrite, to be written over the partition it was read from.
+    label names the columns that a label sets; a copy has nulls in those of left_out. table has one row per item and labeler,
+    with a null labeler while open; items without a row take no labels. A set-based rewrite, to be written over the partition
+    it was read from.
     """
-    last = labels.groupBy(item, labeler).agg(F.max_by(label, arrival).alias("_new"), F.min(arrival).alias("_first"))
-    known = table.where(F.col(labeler).isNotNull()).join(last.drop("_first"), [item, labeler], "left").withColumn(label, F.coalesce("_new", label)).drop("_new")
+    values = [label] if isinstance(label, str) else label
+    last = labels.groupBy(item, labeler).agg(F.max_by(F.struct(*values), arrival).alias("_new"), F.min(arrival).alias("_first"))
+    taken = table.where(F.col(labeler).isNotNull()).join(last.drop("_first"), [item, labeler], "left")
+    known = taken.withColumns({v: F.when(F.col("_new").isNull(), F.col(v)).otherwise(F.col("_new")[v]) for v in values})
     fresh = last.join(table.where(F.col(labeler).isNotNull()).select(item, labeler), [item, labeler], "left_anti")
     open_ = table.where(F.col(labeler).isNull())
-    rest = [c for c in table.columns if c not in (item, labeler, label)]
+    rest = [c for c in table.columns if c not in (item, labeler, *values)]
     # an item's open row, else that of its first labeler
     order = F.struct(F.col(labeler).isNotNull(), F.col(labeler))
-    shape = table.groupBy(item).agg(F.min_by(F.struct(*rest), order).alias("_shape")).select(item, "_shape.*")
-    added = fresh.join(shape, item).select(item, labeler, F.col("_new").alias(label), *rest)
+    shape = table.groupBy(item).agg(F.min_by(F.struct(*rest), order).alias("_shape"), F.bool_or(F.col(labeler).isNull()).alias("_open"))
+    heir = fresh.groupBy(item).agg(F.min_by(labeler, "_first").alias("_heir"))
+    added = fresh.join(shape, item).join(heir, item).withColumn("_copy", ~(F.col("_open") & (F.col(labeler) == F.col("_heir"))))
+    column = lambda c: F.when(F.col("_copy"), None).otherwise(F.col("_shape")[c]) if c in left_out else F.col("_shape")[c]
+    added = added.select(item, labeler, *[F.col("_new")[v].alias(v) for v in values], *[column(c).alias(c) for c in rest])
     still = open_.join(last.select(item).distinct(), item, "left_anti")
     return known.select(*table.columns).unionByName(added.select(*table.columns)).unionByName(still)
 

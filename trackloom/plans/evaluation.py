@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.operators import labels as lab
-from trackloom.operators import metrics
+from trackloom.operators import exports, metrics
 from trackloom.operators.selection import percentiles
 from trackloom.plans.views import DET, RATERS, SCORED, det, raters, scored, table
 
@@ -129,6 +129,29 @@ def q_validate_payload(spark, sf_dir):
     return lab.validate(rows, "payload", "2026-04-08").select("doc_id", F.array_join("errors", "; ").alias("errors"))
 
 
+#: Fields of the second record of an export, by doc_id % 14, and the first error that they make.
+FIELDS = (
+    ("", None), ("\"persistence_rating\": true", "labels[1].persistence_rating: no whole number from 1 to 5: true"), ("\"persistence_rating\": 3.0", "labels[1].persistence_rating: no whole number from 1 to 5: 3"),
+    ("\"persistence_rating\": 3", None), ("\"measurement_km\": \"12\"", "labels[1].measurement_km: no number: \"12\""), ("\"measurement_km\": 12.25", None), ("\"label_timestamp\": \"2026-04-13T12:34:50\"", "labels[1].label_timestamp: no time with a zone: \"2026-04-13T12:34:50\""),
+    ("\"label_timestamp\": \"2026-04-13T12:34:50Z\"", None), ("\"label_notes\": 5", "labels[1].label_notes: no text: 5"), ("\"label_notes\": \"\"", None), ("\"persistence\": \"forever\"", "labels[1].persistence: no known persistence: \"forever\""), ("\"labeler_id\": null", "labels[1].labeler_id: not the file's: null"),
+    ("\"labeler_id\": \"ann\"", None), ("\"label_notes\": \"clear\"", None),
+)
+
+
+def q_validate_exports(spark, sf_dir):
+    """Strictly typed label exports: the first error with its place, else how many labels, notes and lengths they have."""
+    more = F.element_at(F.array(*[F.lit(f", {f}" if f else "") for f, _ in FIELDS]), (F.col("doc_id") % len(FIELDS) + 1).cast("int"))
+    head = F.when(F.col("doc_id") % 5 == 0, "1.0").when(F.col("doc_id") % 11 == 0, "2").otherwise("1")
+    second = F.when(F.col("doc_id") % 13 == 0, "1").when(F.col("doc_id") % 17 == 0, "true").otherwise("2")
+    text = F.concat(F.lit('{"schema_version": '), head, F.lit(', "date": "2026-04-08", "labeler_id": "ann", "labels": [{"episode_id": 1, "label": "contrail"}, {"episode_id": '), second, F.lit(', "label": "unsure"'), more, F.when(F.col("doc_id") % 19 == 0, "}").otherwise("}]}"))
+    v = exports.validated(table(spark, sf_dir, "labels").select("doc_id", text.alias("payload")), "payload", "2026-04-08")
+
+    def count(c: str):
+        return F.coalesce(F.size(F.filter("labels", lambda r: r[c].isNotNull())), F.lit(0)).cast("long")
+
+    return v.select("doc_id", "error", count("episode_id").alias("n"), *[count(c).alias(c) for c in ("label_notes", "measurement_km", "label_timestamp")])
+
+
 def q_mask_effect(spark, sf_dir):
     """False and true positives that a second, lower score loses."""
     d = scored(spark, sf_dir).withColumn("after", F.when(F.col("n_chars") % 4 == 0, F.col("score") * 0.5).otherwise(F.col("score")))
@@ -179,5 +202,9 @@ ORACLES = {
     "q_open_rows": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND n_chars >= 500",
     "q_validate_payload": """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 9 = 0 THEN 'schema_version' END, CASE WHEN doc_id % 10 = 0 THEN 'date' END, CASE WHEN doc_id % 3 = 0 THEN 'duplicate episode_id' END,
         CASE WHEN doc_id % 8 = 0 THEN 'label' END, CASE WHEN doc_id % 7 NOT BETWEEN 1 AND 5 THEN 'persistence_rating' END], lambda x: x IS NOT NULL), '; ') AS errors FROM labels""",
+    "q_validate_exports": f"""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'not valid JSON' WHEN doc_id % 5 <> 0 AND doc_id % 11 = 0 THEN 'schema_version: not 1: 2' WHEN doc_id % 13 = 0 THEN 'labels[1].episode_id: twice in the file: 1'
+            WHEN doc_id % 17 = 0 THEN 'labels[1].episode_id: no whole number: true' ELSE ([{", ".join("NULL" if e is None else "'" + e.replace("'", "''") + "'" for _, e in FIELDS)}])[doc_id % {len(FIELDS)} + 1] END AS error, doc_id % {len(FIELDS)} AS f FROM labels)
+        SELECT doc_id, error, CAST(CASE WHEN error IS NULL THEN 2 ELSE 0 END AS BIGINT) AS n, CAST(CASE WHEN error IS NULL AND f = 13 THEN 1 ELSE 0 END AS BIGINT) AS label_notes,
+            CAST(CASE WHEN error IS NULL AND f = 5 THEN 1 ELSE 0 END AS BIGINT) AS measurement_km, CAST(CASE WHEN error IS NULL AND f = 7 THEN 1 ELSE 0 END AS BIGINT) AS label_timestamp FROM e""",
     "q_mask_effect": f"WITH {SCORED}, a AS (SELECT *, CASE WHEN n_chars % 4 = 0 THEN score * 0.5 ELSE score END AS aft FROM scored) SELECT day, count(*) FILTER (score >= 0.5 AND aft < 0.5 AND NOT pos) AS fp_lost, count(*) FILTER (score >= 0.5 AND aft < 0.5 AND pos) AS tp_lost FROM a GROUP BY day",
 }

@@ -14,7 +14,12 @@ try:
 except ModuleNotFoundError:  # JSON is read without it
     yaml = None
 
-EPISODE = "episode_id bigint, callsign string, transponder_id string, onset timestamp, `end` timestamp, peak_score double, label string, labeler_id string, notes string, date string"
+#: Columns of the table of episodes and labels; an episode has a row per labeler, and one row while nobody has labelled it.
+EPISODE = (
+    "row_id bigint, episode_id bigint, callsign string, transponder_id string, onset timestamp, end_time timestamp, frame_count bigint, peak_score double, "
+    "peak_line_x1 double, peak_line_y1 double, peak_line_x2 double, peak_line_y2 double, peak_contrail_length_m double, "
+    "label string, persistence_rating int, persistence string, measurement_km double, labeler_id string, label_timestamp timestamp, label_notes string, date string"
+)
 
 
 def read_settings(spark: SparkSession, path: str, known: dict[str, dict]) -> dict[str, dict]:
@@ -65,12 +70,17 @@ def create_episodes(spark: SparkSession, table: str, schema: str = EPISODE, by:
 
 
 def insert_episodes(fresh: DataFrame, table: str, order: list[str], bucket: str = "date") -> None:
-    """Append rows with ids that go on from the largest one, in order inside a bucket; missing columns are null."""
+    """Append rows with ids that go on from the largest one, in order inside a bucket; missing columns are null.
+
+    One run at a time, as with any table without transactions.
+    """
     from trackloom.functions.core import ordinals
 
     spark = fresh.sparkSession
     target = spark.table(table).schema
     last = spark.table(table).agg(F.coalesce(F.max("episode_id"), F.lit(0))).first()[0]
-    rows = ordinals(fresh, bucket, order, "episode_id").withColumn("episode_id", F.col("episode_id") + last)
+    rows = ordinals(fresh, bucket, order, "_nth").withColumn("episode_id", F.col("_nth") + last)
+    if "row_id" in target.names:
+        rows = rows.withColumn("row_id", F.col("_nth") + spark.table(table).agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0])
     cols = [(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target]
     rows.select(*cols).write.insertInto(table)
