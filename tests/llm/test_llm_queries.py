@@ -33,7 +33,7 @@ def components(sets):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
@@ -55,6 +55,29 @@ def test_pipeline_stages(spark):
     assert pieces.count() > 0
 
 
+def test_tables_of_a_step_go_when_its_result_is_written(spark, tmp_path):
+    import pathlib
+
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    before = {p.name for p in shared.iterdir()}
+    own = lambda: {p.name for p in shared.iterdir()} - before
+    first = corpus_pipeline.quality_rules(spark, docs, DATA)
+    steps = own()
+    # not yet written: the next stage leaves what it still reads
+    assert corpus_pipeline.exact_dedup(spark, first, DATA).count() > 0 and steps and steps <= own()
+    first = corpus_pipeline.quality_rules(spark, docs, DATA)
+    mine = own() - steps
+    first.write.parquet(str(tmp_path / "first"))
+    second = corpus_pipeline.exact_dedup(spark, spark.read.parquet(str(tmp_path / "first")), DATA)
+    assert not (mine - {n for n in mine if n.startswith("lsm")}) & own() and second.count() > 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def plain_stages(rows):
     """Documents (doc_id, text, source) after each of the first three stages, by plain loops."""
     words = lambda t: WORD.findall(t or "")

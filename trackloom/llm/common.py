@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,11 @@ HOT_SHARE = 10_000
 FOREST_EDGES = 250_000
 
 
+#: Tables that the present step of a pipeline writes (None outside of one), and those that each step has left.
+_writing: list[str] | None = None
+_left: dict[int, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
     return (spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER).rstrip("/")
@@ -35,6 +41,8 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     The shuffle files of the write are dropped when it ends, as nothing can read them again.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if _writing is not None:
+        _writing.append(path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -44,6 +52,27 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def step(docs: DataFrame, nth: int) -> Iterator[None]:
+    """The nth step of a pipeline, whose docs are the written result of the step before: that one's own tables go now.
+
+    If docs still reads one of them, as an unwritten result does, they stay.
+    """
+    global _writing
+    gone = _left.pop(nth - 1, [])
+    if gone and {p.rsplit("/", 1)[-1] for p in gone}.isdisjoint(x for f in docs.inputFiles() for x in f.rsplit("/", 2)[-2:-1]):
+        jvm = docs.sparkSession.sparkContext._jvm
+        for p in gone:
+            folder = jvm.org.apache.hadoop.fs.Path(p)
+            folder.getFileSystem(docs.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _writing = []
+    try:
+        yield
+        _left[nth] = _writing
+    finally:
+        _writing = None
+
+
 def no_space(text: Column) -> Column:
     """text without ASCII white space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", "")
