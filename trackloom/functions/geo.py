@@ -66,6 +66,46 @@ def pinhole(x: Column, y: Column, z: Column, f: float, cx: float, cy: float, k1:
     return u * d * f + cx, v * d * f + cy
 
 
+def turned(p: tuple[Column, Column, Column], rotation: tuple) -> tuple[Column, ...]:
+    """A point or direction turned by a matrix of three rows."""
+    return tuple(sum((c * r for c, r in zip(p[1:], row[1:])), p[0] * row[0]) for row in rotation)
+
+
+def _distorted(u: Column, v: Column, k: tuple) -> tuple[Column, Column]:
+    k1, k2, p1, p2, k3 = k
+    r2 = u * u + v * v
+    radial = 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
+    return u * radial + 2 * p1 * u * v + p2 * (r2 + 2 * u * u), v * radial + p1 * (r2 + 2 * v * v) + 2 * p2 * u * v
+
+
+def camera(p: tuple[Column, Column, Column], rotation: tuple, fx: float, fy: float, cx: float, cy: float, k: tuple = (0.0, 0.0, 0.0, 0.0, 0.0)) -> tuple[Column, Column]:
+    """Pixel of a point (east, north, up) seen by a turned camera with radial (k1, k2, k3) and tangential (p1, p2) distortion.
+
+    k is (k1, k2, p1, p2, k3); rotation takes the point's frame to the camera's. Null behind the camera.
+    """
+    x, y, z = turned(p, rotation)
+    u, v = _distorted(F.when(z > 0, x / z), F.when(z > 0, y / z), k)
+    return u * fx + cx, v * fy + cy
+
+
+def camera_ray(px: Column, py: Column, rotation: tuple, fx: float, fy: float, cx: float, cy: float, k: tuple = (0.0, 0.0, 0.0, 0.0, 0.0), rounds: int = 20) -> tuple[Column, ...]:
+    """The direction (east, north, up), with depth 1 in the camera's frame, that a pixel sees: camera() undone by fixed-point rounds.
+
+    Each round takes off the tangential shift at the last guess and divides by the radial factor there.
+    """
+    k1, k2, p1, p2, k3 = k
+    u0, v0 = (px - cx) / fx, (py - cy) / fy
+
+    def step(s: Column, _: Column) -> Column:
+        u, v, r2 = s["u"], s["v"], s["u"] * s["u"] + s["v"] * s["v"]
+        radial = 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
+        return F.struct(((u0 - 2 * p1 * u * v - p2 * (r2 + 2 * u * u)) / radial).alias("u"), ((v0 - p1 * (r2 + 2 * v * v) - 2 * p2 * u * v) / radial).alias("v"))
+
+    s = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(u0.alias("u"), v0.alias("v")), step)
+    back = tuple(zip(*rotation))  # the inverse of a rotation
+    return turned((s["u"], s["v"], F.lit(1.0)), back)
+
+
 def clip_box(x0: Column, y0: Column, x1: Column, y1: Column, w: int, h: int) -> Column:
     """Axis-aligned box in whole pixels inside a w by h image."""
     left, top = F.greatest(F.floor(x0), F.lit(0)), F.greatest(F.floor(y0), F.lit(0))

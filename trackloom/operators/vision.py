@@ -50,27 +50,59 @@ def top_hat(x: np.ndarray, size: int = 9) -> np.ndarray:
     return x - extreme(extreme(x, size, np.min), size, np.max)
 
 
-def equalize(x: np.ndarray, tiles: int = 4, clip: float = 4.0) -> np.ndarray:
-    """Histogram equalisation per tile with clipped counts."""
-    out = np.zeros(x.shape)
-    for rows in np.array_split(np.arange(x.shape[0]), tiles):
-        for cols in np.array_split(np.arange(x.shape[1]), tiles):
-            if len(rows) and len(cols):
-                t = np.clip(x[np.ix_(rows, cols)], 0, 255).astype(int)
-                h = np.bincount(t.ravel(), minlength=256).astype(float)
-                most = clip * h.mean()
-                h = np.minimum(h, most) + np.maximum(h - most, 0).sum() / 256
-                out[np.ix_(rows, cols)] = (h.cumsum() / h.sum() * 255)[t]
-    return out
-
+def equalize(x: np.ndarray, tiles: int = 8, clip: float = 3.0) -> np.ndarray:
+    """Histogram equalisation with clipped counts: a table per tile, blended between the centres of the four tiles around.
 
-def ridge(x: np.ndarray, sigma: float = 2.0) -> np.ndarray:
-    """Strength of bright ridges from the eigenvalues of the Hessian."""
-    gx, gy = gradients(blur(x, sigma))
-    xx, xy = gradients(gx)
-    yy = gradients(gy)[1]
-    root = np.sqrt(((xx - yy) / 2) ** 2 + xy**2)
-    return np.maximum(0, -((xx + yy) / 2 - root)) * (np.abs((xx + yy) / 2 - root) > np.abs((xx + yy) / 2 + root))
+    Cells beyond the outermost centres take the nearest tables, so values have no step at the borders of tiles.
+    """
+    values = np.clip(x, 0, 255).astype(int)
+    cuts = [np.unique(np.linspace(0, n, min(tiles, n) + 1).astype(int)) for n in x.shape]
+    tables = np.empty((len(cuts[0]) - 1, len(cuts[1]) - 1, 256))
+    for i, (y0, y1) in enumerate(zip(cuts[0], cuts[0][1:])):
+        for j, (x0, x1) in enumerate(zip(cuts[1], cuts[1][1:])):
+            h = np.bincount(values[y0:y1, x0:x1].ravel(), minlength=256).astype(float)
+            most = max(1.0, clip * h.mean())
+            h = np.minimum(h, most) + np.maximum(h - most, 0).sum() / 256
+            tables[i, j] = h.cumsum() / h.sum() * 255
+
+    def between(cut: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tile before and after each place, and the share of the latter."""
+        at = np.interp(np.arange(n) + 0.5, (cut[:-1] + cut[1:]) / 2, np.arange(len(cut) - 1))
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, len(cut) - 2), at - low
+
+    (i0, i1, v), (j0, j1, u) = (between(c, n) for c, n in zip(cuts, x.shape))
+    of = lambda i, j: tables[i[:, None], j[None, :], values]
+    v, u = v[:, None], u[None, :]
+    return (1 - v) * ((1 - u) * of(i0, j0) + u * of(i0, j1)) + v * ((1 - u) * of(i1, j0) + u * of(i1, j1))
+
+
+def ridge(x: np.ndarray, scales: tuple[float, ...] = (1.0, 2.0, 3.0, 4.0), beta: float = 0.5, gamma: float | None = None) -> np.ndarray:
+    """Bright ridges from 0 to 255: the largest response over scales of the Hessian's eigenvalues, saturating at its 95th percentile.
+
+    At each scale the smaller eigenvalue over the larger tells lines from blobs (beta), and their length tells structure from
+    noise (gamma, half its largest value unless given). Second derivatives are scaled by the square of the width.
+    """
+    best = np.zeros(x.shape)
+    for sigma in scales:
+        b = blur(x.astype(float) / 255, sigma)
+        gy, gx = np.gradient(b)
+        yy, yx = np.gradient(gy)
+        xx = np.gradient(gx, axis=1)
+        yy, yx, xx = (d * sigma * sigma for d in (yy, yx, xx))
+        mean, root = (xx + yy) / 2, np.sqrt(((xx - yy) / 2) ** 2 + yx**2)
+        low, high = mean - root, mean + root
+        large = np.where(np.abs(low) >= np.abs(high), low, high)
+        small = np.where(np.abs(low) >= np.abs(high), high, low)
+        size = np.hypot(large, small)
+        noise = gamma or size.max() / 2
+        if noise <= 0:
+            continue
+        ratio = small / np.where(large == 0, 1, large)
+        response = np.exp(-(ratio**2) / (2 * beta**2)) * (1 - np.exp(-(size**2) / (2 * noise**2)))
+        best = np.maximum(best, np.where(large < 0, response, 0))
+    top = float(np.percentile(best, 95)) if best.size else 0.0
+    return np.clip(best / (top if top > 0 else 1e-6), 0, 1) * 255
 
 
 def _bgr(img: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -160,26 +192,40 @@ def edges(x: np.ndarray, low: float = 85.0, high: float = 97.0, floor: float = 2
     return strong | (weak & (extreme(strong.astype(np.uint8), 3, np.max) > 0))
 
 
-def lines(edge: np.ndarray, least: int = 20, angles: int = 180, most: int = 8) -> list[tuple[float, float, float, float]]:
-    """Straight runs of edge cells by a Hough vote over all cells: (x1, y1, x2, y2), strongest first; nothing is random."""
+def lines(edge: np.ndarray, least: int = 20, angles: int = 180, most: int = 8, gap: float = 10.0) -> list[tuple[float, float, float, float]]:
+    """Straight runs of edge cells by a Hough vote over all cells: (x1, y1, x2, y2), strongest line first; nothing is random.
+
+    The cells on the line with the most votes are put in order along it and split where they are more than `gap` apart; a run
+    of length `least` or more is a segment whose ends are cells of it. The cells of a segment and beside it withdraw their
+    votes, so what is left of a line, or crosses it, is found by itself. A line without such a run is not asked again.
+    """
     ys, xs = np.nonzero(edge)
     if not len(xs):
         return []
     theta = np.deg2rad(np.arange(angles) * 180 / angles)
     rho = np.rint(np.outer(xs, np.cos(theta)) + np.outer(ys, np.sin(theta))).astype(int)
     base = rho.min()
-    votes = np.zeros((rho.max() - base + 1, angles), int)
-    np.add.at(votes, (rho - base, np.arange(angles)[None, :].repeat(len(xs), 0)), 1)
-    out = []
-    for _ in range(most):
+    rho -= base
+    votes, every = np.zeros((rho.max() + 1, angles), int), np.arange(angles)
+    np.add.at(votes, (rho, every[None, :].repeat(len(xs), 0)), 1)
+    left, out = np.ones(len(xs), bool), []
+    while len(out) < most:
         r, a = np.unravel_index(int(votes.argmax()), votes.shape)
         if votes[r, a] < least:
             break
-        on = np.abs(rho[:, a] - base - r) <= 1
-        along = -xs[on] * np.sin(theta[a]) + ys[on] * np.cos(theta[a])
-        i, j = int(along.argmin()), int(along.argmax())
-        out.append((float(xs[on][i]), float(ys[on][i]), float(xs[on][j]), float(ys[on][j])))
-        votes[max(0, r - 3) : r + 4, max(0, a - 3) : a + 4] = 0
+        along = -xs * np.sin(theta[a]) + ys * np.cos(theta[a])
+        on = np.flatnonzero(left & (np.abs(rho[:, a] - r) <= 1))
+        on = on[np.argsort(along[on], kind="stable")]
+        runs = [run for run in np.split(on, np.flatnonzero(np.diff(along[on]) > gap) + 1) if along[run[-1]] - along[run[0]] >= least]
+        if not runs:
+            votes[r, a] = -len(xs) - 1
+            continue
+        for run in sorted(runs, key=lambda run: along[run[0]] - along[run[-1]])[: most - len(out)]:
+            i, j = run[0], run[-1]
+            out.append((float(xs[i]), float(ys[i]), float(xs[j]), float(ys[j])))
+            gone = np.flatnonzero(left & (np.abs(rho[:, a] - r) <= 3) & (along >= along[i]) & (along <= along[j]))
+            np.subtract.at(votes, (rho[gone], every[None, :].repeat(len(gone), 0)), 1)
+            left[gone] = False
     return out
 
 
