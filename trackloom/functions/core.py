@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def micros(t: str) -> Column:
     """Microseconds since 1970 of a TIMESTAMP or TIMESTAMP_NTZ column, whatever the session time zone."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({t} as timestamp_ntz))")

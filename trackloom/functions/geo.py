@@ -88,7 +88,7 @@ def camera(p: tuple[Column, Column, Column], rotation: tuple, fx: float, fy: flo
     return u * fx + cx, v * fy + cy
 
 
-def camera_ray(px: Column, py: Column, rotation: tuple, fx: float, fy: float, cx: float, cy: float, k: tuple = (0.0, 0.0, 0.0, 0.0, 0.0), rounds: int = 20) -> tuple[Column, ...]:
+def camera_ray(px: Column, py: Column, rotation: tuple, fx: float, fy: float, cx: float, cy: float, k: tuple = (0.0, 0.0, 0.0, 0.0, 0.0), rounds: int = 40) -> tuple[Column, ...]:
     """The direction (east, north, up), with depth 1 in the camera's frame, that a pixel sees: camera() undone by fixed-point rounds.
 
     Each round takes off the tangential shift at the last guess and divides by the radial factor there.

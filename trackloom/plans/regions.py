@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import geo as g
+from trackloom.functions.core import bound
 from trackloom.plans.views import DET, GEO, det, geo, table
 
 LAT, LON = 42.0, -71.0
@@ -77,23 +78,27 @@ def _frames(spark, sf_dir):
     return numbered(d, "user_id", ["us", "event_id"], "frame")
 
 
-#: A camera that looks up, tilted north: rotation, focal lengths, centre and distortion (k1, k2, p1, p2, k3).
-TILT = (0.9396926207859084, 0.3420201433256687)
-CAMERA = (((1.0, 0.0, 0.0), (0.0, TILT[0], -TILT[1]), (0.0, TILT[1], TILT[0])), 1_500.0, 1_480.0, 1_920.0, 1_080.0, (-0.05, 0.01, 0.001, -0.002, -0.001))
+#: A camera that looks north, five degrees above the horizon; its distortion grows with the angle, so no far ray folds back: rotation, focal lengths, centre and distortion (k1, k2, p1, p2, k3).
+TILT = (0.08715574274765817, 0.9961946980917455)
+CAMERA = (((1.0, 0.0, 0.0), (0.0, TILT[0], -TILT[1]), (0.0, TILT[1], TILT[0])), 1_500.0, 1_480.0, 1_920.0, 1_080.0, (-0.05, 0.01, 0.001, -0.002, 0.001))
 
 
 def q_camera_model(spark, sf_dir):
     """Pixels in the image of a turned camera with all terms of distortion, and whether the ray of the pixel hits the position."""
     p = geo(spark, sf_dir).where("coalesce(gnss, baro) is not null")
     e, n, u = g.enu(F.col("lat"), F.col("lon"), F.coalesce("gnss", "baro"), LAT, LON, 10.0)
-    p = p.select("c_custkey", e.alias("e"), n.alias("n"), u.alias("u"))
-    at = tuple(F.col(c) for c in "enu")
-    x, y = g.camera(at, *CAMERA)
-    p = p.withColumns({"x": x, "y": y}).where("x >= 0 and x < 3840 and y >= 0 and y < 2160")
-    ray = g.camera_ray(F.col("x"), F.col("y"), *CAMERA)
-    depth = g.turned(at, CAMERA[0])[2]
-    off = F.greatest(*[F.abs(r - c / depth) for r, c in zip(ray, at)])
-    return p.select("c_custkey", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), (off < 1e-6).alias("back"))
+
+    def pixel(at):
+        x, y = g.camera((at["e"], at["n"], at["u"]), *CAMERA)
+        return F.struct(x.alias("x"), y.alias("y"), at.alias("at"))
+
+    def back(s):
+        at = (s["at"]["e"], s["at"]["n"], s["at"]["u"])
+        return bound(F.array(*g.camera_ray(s["x"], s["y"], *CAMERA)), lambda ray: bound(g.turned(at, CAMERA[0])[2], lambda depth: F.greatest(*[F.abs(ray[i] - c / depth) for i, c in enumerate(at)]) < 1e-6))
+
+    inside = lambda s: (s["x"] >= 0) & (s["x"] < 3840) & (s["y"] >= 0) & (s["y"] < 2160)
+    seen = bound(bound(F.struct(e.alias("e"), n.alias("n"), u.alias("u")), pixel), lambda s: F.when(inside(s), F.struct(F.round(s["x"], 4).alias("x"), F.round(s["y"], 4).alias("y"), back(s).alias("back"))))
+    return p.select("c_custkey", seen.alias("s")).where("s is not null").select("c_custkey", "s.*")
 
 
 def q_frame_lookup(spark, sf_dir):
@@ -147,7 +152,7 @@ ORACLES = {
         UNION ALL SELECT w.user_id, CAST(w.frame AS BIGINT), event_id, 'clamp' FROM w JOIN m ON m.user_id = w.user_id JOIN f ON f.user_id = w.user_id AND f.frame = least(w.frame, top)""",
     "q_camera_model": f"""WITH {GEO}, {_ENU}, c AS (SELECT c_custkey, e AS x, {TILT[0]}e0 * n - {TILT[1]}e0 * u AS y, {TILT[1]}e0 * n + {TILT[0]}e0 * u AS z FROM en WHERE coalesce(gnss, baro) IS NOT NULL),
         p AS (SELECT c_custkey, x / z AS u, y / z AS v, pow(x / z, 2) + pow(y / z, 2) AS r FROM c WHERE z > 0),
-        d AS (SELECT *, 1 - 0.05e0 * r + 0.01e0 * r * r - 0.001e0 * r * r * r AS f FROM p),
+        d AS (SELECT *, 1 - 0.05e0 * r + 0.01e0 * r * r + 0.001e0 * r * r * r AS f FROM p),
         q AS (SELECT c_custkey, 1500 * (u * f + 2 * 0.001e0 * u * v - 0.002e0 * (r + 2 * u * u)) + 1920 AS x, 1480 * (v * f + 0.001e0 * (r + 2 * v * v) - 2 * 0.002e0 * u * v) + 1080 AS y FROM d)
         SELECT c_custkey, round(x, 4) AS x, round(y, 4) AS y, true AS back FROM q WHERE x >= 0 AND x < 3840 AND y >= 0 AND y < 2160""",
     "q_project_pixels": f"""WITH {GEO}, {_ENU}, p AS (SELECT c_custkey, e / u AS x, n / u AS y FROM en WHERE u > 0), q AS (SELECT c_custkey, x, y, 1 - 0.01e0 * (x * x + y * y) AS d FROM p),
