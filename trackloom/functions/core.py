@@ -27,6 +27,16 @@ def nan_last(x: str | Column) -> Column:
     return F.coalesce(F.nanvl(col(x), F.lit(float("-inf"))), F.lit(float("-inf"))).desc()
 
 
+def truthy(*values: str | Column) -> Column:
+    """The first value that is neither null nor zero, else zero."""
+    return F.coalesce(*[F.nullif(col(v), F.lit(0)) for v in values], F.lit(0))
+
+
+def half_buckets(total: Column, k: int, start: float = 0.0, end: float = 1.0) -> Column:
+    """The middles of k equal parts of the positions from start * total to end * total, rounded half to even."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(total * start + (i + 0.5) * (total * (end - start)) / k).cast("long"))
+
+
 def median_low(values: str | Column) -> Column:
     """Lower median of an array."""
     return F.get(F.array_sort(col(values)), F.floor((F.size(col(values)) - 1) / 2).cast("int"))

@@ -21,6 +21,28 @@ def evenly_spaced(df: DataFrame, keys: list[str], order: list[Column], k: int) -
     return rows.where((F.col("_size") <= k) | F.array_contains(spots, F.col("_at").cast("long"))).drop("_at", "_size")
 
 
+def spread(df: DataFrame, entity: str, bucket: Column, order: list[Column], k: int) -> DataFrame:
+    """The best row per bucket, of which an entity keeps its earliest bucket only, thinned evenly to k rows over the buckets.
+
+    An entity that was best in two buckets leaves the later one without a row, as no second best is asked.
+    """
+    best = top_per_key(df.withColumn("_bucket", bucket), ["_bucket"], order)
+    once = top_per_key(best, [entity], [F.col("_bucket")]).withColumn("_all", F.lit(0))
+    return evenly_spaced(once, ["_all"], [F.col("_bucket")], k).drop("_bucket", "_all")
+
+
+def newest_complete(spans: DataFrame, day: str, lo: str, hi: str, least: int, within: int) -> DataFrame:
+    """(day, covered, nth) of the days whose spans add up to `least` or more, newest first, nth from 1.
+
+    Only the last `within` days up to the newest one with any span are asked; that one is often still coming in.
+    """
+    covered = spans.groupBy(day).agg(F.sum(F.col(hi) - F.col(lo)).alias("covered"))
+    newest = spans.agg(F.max(day).alias("_newest"))
+    rows = covered.crossJoin(F.broadcast(newest)).where((F.datediff("_newest", F.col(day)) < within) & (F.col("covered") >= least))
+    # `within` rows at most
+    return rows.select(day, "covered", F.row_number().over(Window.orderBy(F.col(day).desc())).alias("nth"))
+
+
 def stratified(df: DataFrame, entity: str, strata: list[tuple[str, Column]], bucket: Column, order: list[Column], n: int) -> DataFrame:
     """For each stratum in turn: best row per bucket among entities not used before, then n of those evenly over the buckets."""
     out, pool = None, df.withColumn("_bucket", bucket)

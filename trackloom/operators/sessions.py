@@ -46,6 +46,14 @@ def episodes(df: DataFrame, key: str, t: str, tie: str, score: str, name: str, w
     )
 
 
+def crossings(df: DataFrame, key: str, t: str, tie: str, x: str, y: str, max_gap_s: float, least_s: float, least_span: float) -> DataFrame:
+    """Gap-split runs that last least_s and whose points span least_span of the image: the diagonal of their extent."""
+    rows = split_on_gap(df, key, t, [t, tie], max_gap_s)
+    span = F.hypot(F.max(x) - F.min(x), F.max(y) - F.min(y))
+    out = rows.groupBy(key, "session").agg(F.min(t).alias("onset"), F.max(t).alias("end"), F.count(F.lit(1)).alias("n"), span.alias("span"))
+    return out.where((micros("end") - micros("onset") >= int(least_s * 1e6)) & (F.col("span") >= least_span))
+
+
 def passes(df: DataFrame, key: str, t: str, tie: str, max_gap_s: float, least_s: float = 0.0, least_rows: int = 1) -> DataFrame:
     """Gap-split groups without a threshold, with their extent; short ones are left out."""
     rows = split_on_gap(df, key, t, [t, tie], max_gap_s)

@@ -59,6 +59,13 @@ def thin(df: DataFrame, key: str, t: str, step: float, payload: list[str]) -> Da
     return rows.where(F.col(t).isNotNull()).repartition(key).sortWithinPartitions(key, t, *payload).mapInArrow(run, rows.schema)
 
 
+def guarded_delta(df: DataFrame, key: str, order: list[str], value: str, ok: str, out: str = "delta") -> DataFrame:
+    """value minus that of the row before, where both reads are good; a failed read breaks the chain for the next row too."""
+    w = Window.partitionBy(key).orderBy(*order)
+    good = F.when(F.col(ok), F.col(value))
+    return df.withColumn(out, good - F.lag(good).over(w))
+
+
 def previous(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """Columns of the row before, as prev_<name>."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackloom.plans import curation, evaluation, geometry, masking, regions, sourcing, tracks, tuning
+from trackloom.plans import curation, evaluation, geometry, masking, picking, regions, sourcing, tracks, tuning
 
-MODULES = (tracks, evaluation, geometry, regions, tuning, curation, sourcing, masking)
+MODULES = (tracks, evaluation, geometry, regions, tuning, curation, sourcing, masking, picking)
 
 
 def queries() -> dict:

@@ -116,7 +116,7 @@ def q_upsert_labels(spark, sf_dir):
 
 def q_open_rows(spark, sf_dir):
     """Rows without a label, by SQL with a parameter."""
-    return spark.sql("SELECT d.doc_id, d.lang FROM {d} d LEFT JOIN {l} l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL AND d.n_chars >= ?", args=[500], d=table(spark, sf_dir, "documents"), l=table(spark, sf_dir, "labels"))
+    return spark.sql("SELECT d.doc_id, d.lang FROM {d} d LEFT JOIN {l} l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL AND d.n_chars >= ? ORDER BY d.n_chars DESC, d.doc_id", args=[500], d=table(spark, sf_dir, "documents"), l=table(spark, sf_dir, "labels"))
 
 
 def _payload():
@@ -199,7 +199,7 @@ ORACLES = {
         SELECT t.doc_id, t.rater, coalesce(n.label, t.label) AS label, n_chars FROM t LEFT JOIN n ON n.doc_id = t.doc_id AND n.rater = t.rater WHERE t.rater IS NOT NULL
         UNION ALL SELECT t.doc_id, n.rater, n.label, n_chars FROM t JOIN n ON n.doc_id = t.doc_id WHERE t.rater IS NULL OR t.rater <> n.rater
         UNION ALL SELECT doc_id, rater, label, n_chars FROM t WHERE rater IS NULL AND doc_id NOT IN (SELECT doc_id FROM n)""",
-    "q_open_rows": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND n_chars >= 500",
+    "q_open_rows": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND n_chars >= 500 ORDER BY n_chars DESC, doc_id",
     "q_validate_payload": """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 9 = 0 THEN 'schema_version' END, CASE WHEN doc_id % 10 = 0 THEN 'date' END, CASE WHEN doc_id % 3 = 0 THEN 'duplicate episode_id' END,
         CASE WHEN doc_id % 8 = 0 THEN 'label' END, CASE WHEN doc_id % 7 NOT BETWEEN 1 AND 5 THEN 'persistence_rating' END], lambda x: x IS NOT NULL), '; ') AS errors FROM labels""",
     "q_validate_exports": f"""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'not valid JSON' WHEN doc_id % 5 <> 0 AND doc_id % 11 = 0 THEN 'schema_version: not 1: 2' WHEN doc_id % 13 = 0 THEN 'labels[1].episode_id: twice in the file: 1'

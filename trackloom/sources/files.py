@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import escape
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,15 @@ def replace_open_rows(spark: SparkSession, path: str, fresh: DataFrame, day: str
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
 
 
+def index_page(dates: DataFrame, title: str, most: int = 5_000) -> str:
+    """Published dates (date, episodes, detected, labelers) as an HTML list, newest first; more than `most` are refused."""
+    rows = dates.orderBy(F.col("date").desc()).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} dates; give a later start")
+    item = lambda r: f'  <li><a href="{escape(r["date"])}/">{escape(r["date"])}</a> {r["episodes"]} episodes, {r["detected"]} detected' + (f", labelled by {escape(r['labelers'])}" if r["labelers"] else "") + "</li>"
+    return "\n".join([f"<!doctype html><title>{escape(title)}</title>", f"<h1>{escape(title)}</h1>", "<ul>", *map(item, rows), "</ul>", ""])
+
+
 def markdown(df: DataFrame, title: str, most: int = 200) -> str:
     """A small result as a Markdown table; a result with more rows than `most` is refused."""
     rows = df.limit(most + 1).collect()
