@@ -1,14 +1,15 @@
 """Track sources, settings, arrays, the episode table and daily runs."""
 
 import datetime as dt
+import json
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import joins, sampling
-from trackloom.sources import settings, tracks
+from trackloom.operators import joins, sampling, timeseries
+from trackloom.sources import files, settings, tracks
 from trackloom.streaming.daily import daily_actions
 
 POINT = "callsign string, transponder_id string, aircraft_type string, orig string, dest string, time timestamp, lat double, lon double, alt_ft double, alt_gnss_ft double"
@@ -122,3 +123,44 @@ def test_near_equal_meets_across_cells(spark):
     b = spark.createDataFrame([("v", 0.1 + 0.2, 10), ("v", 1.0, 20), ("v", 0.300002, 30)], "n string, x double, j int")
     got = sorted((r["i"], r["j"]) for r in joins.near_equal(a, b, ["n"], "x", 1.5e-6).collect())
     assert got == [(1, 10), (2, 20)]
+
+
+def test_lines_manifests_and_the_index_are_read_back(spark, tmp_path):
+    rows = [("a", 1, 2.5, None), ("a", 3, None, [1.0, 2.0]), ("b", 2, 0.0, [])]
+    df = spark.createDataFrame(rows, "owner string, id int, score double, line array<double>").repartition(3)
+    files.write_lines(df, str(tmp_path / "lines"))
+    back = files.read_lines(spark, str(tmp_path / "lines"), "owner string, id int, score double, line array<double>")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(((o, i, s, x) for o, i, s, x in rows), key=str)
+    files.write_manifests(df, str(tmp_path / "manifests"), "owner", ["id"])
+    docs = spark.read.text(str(tmp_path / "manifests"))
+    got = {r["owner"]: json.loads(r["value"])["episodes"] for r in docs.collect()}
+    assert {o: [e["id"] for e in v] for o, v in got.items()} == {"a": [1, 3], "b": [2]} and got["a"][0] == {"id": 1, "score": 2.5}
+    files.write_csv(df.limit(0), str(tmp_path / "none"), ["id", "owner"])
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "none")).collect()] == ["id,owner"]
+    dates = spark.createDataFrame([("2026-04-08", 3, 1, "ann,bob"), ("2026-04-09-<b>", 2, 0, "")], "date string, episodes int, detected int, labelers string")
+    page = files.index_page(dates, "Days & nights")
+    assert page.index("2026-04-09-&lt;b&gt;") < page.index("2026-04-08") and "Days &amp; nights" in page and "labelled by ann,bob" in page and page.count("<li>") == 2
+    with pytest.raises(ValueError, match="more than 1"):
+        files.index_page(dates, "x", 1)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_thinning_does_not_depend_on_batches(spark, rows):
+    r = random.Random(5)
+    points = sorted({(k, r.randint(0, 200)) for k in range(6) for _ in range(40)}) + [(9, 5)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        got = sorted(map(tuple, timeseries.thin(spark.createDataFrame(points, "k int, t int").repartition(3), "k", "t", 17, []).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for k in {p[0] for p in points}:
+        ts, due = sorted(t for c, t in points if c == k), None
+        for i, t in enumerate(ts):
+            if due is None or t >= due:
+                want.append((k, t))
+                due = t + 17
+            elif i == len(ts) - 1:
+                want.append((k, t))
+    assert got == sorted(want)

@@ -40,21 +40,25 @@ def thin(df: DataFrame, key: str, t: str, step: float, payload: list[str]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, due, held = object(), None, None
         for batch in chain(batches, [None]):
-            out = []
-            if batch is None:
-                out += [held] if held is not None else []
-            else:
-                for i, (k, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                    new = k != now
-                    if new and held is not None:
-                        out.append(held)
-                    if new or at >= due:
-                        out.append(batch.slice(i, 1))
-                        now, due, held = k, at + step, None
-                    else:
-                        held = batch.slice(i, 1)
-            if out:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+            # places of the batch that stay; the last row seen may be of the batch before
+            stay, last = [], None
+            for i, (k, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if batch else ()):
+                new = k != now
+                if new and last is not None:
+                    stay.append(last)
+                elif new and held is not None:
+                    yield held
+                if new or at >= due:
+                    stay.append(i)
+                    now, due, held, last = k, at + step, None, None
+                else:
+                    held, last = None, i
+            if batch is None and held is not None:
+                yield held
+            if stay:
+                yield batch.take(pa.array(stay, pa.int64()))
+            if last is not None:
+                held = batch.slice(last, 1)
 
     return rows.where(F.col(t).isNotNull()).repartition(key).sortWithinPartitions(key, t, *payload).mapInArrow(run, rows.schema)
 

@@ -7,8 +7,9 @@ from html import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.sources.shared import written
+
 DETECTION = "wall_time_utc timestamp, callsign string, transponder_id string, score double, pixel_line array<double>, method string, num_long_lines int, aligned_lines int, contrail_length_px double, contrail_length_grown_px double, contrail_length_m double"
-CLOCK = "frame_idx int, wall_time_utc timestamp, confidence double, method string, ocr_status string, tracker_status string"
 TRAJECTORY = "callsign string, transponder_id string, aircraft_type string, orig string, dest string, points array<struct<time:timestamp,lat:double,lon:double,alt_ft:double,alt_gnss_ft:double>>"
 
 
@@ -21,18 +22,6 @@ def read_lines(spark: SparkSession, path: str, schema: str, tolerant: bool = Fal
     return rows.where("_corrupt_record is null").drop("_corrupt_record")
 
 
-def read_tracks(spark: SparkSession, path: str, since=None, until=None, box: tuple | None = None, least_ft: float | None = None) -> DataFrame:
-    """Nested trajectories as flat points inside the bounds: (lat0, lat1, lon0, lon1), times and altitude, ends included."""
-    rows = spark.read.schema(TRAJECTORY).option("multiLine", True).json(path).select("callsign", F.coalesce("transponder_id", F.lit("")).alias("transponder_id"), F.explode("points").alias("p")).select("callsign", "transponder_id", "p.*")
-    if since is not None:
-        rows = rows.where(F.col("time") >= F.lit(since))
-    if until is not None:
-        rows = rows.where(F.col("time") <= F.lit(until))
-    if box:
-        rows = rows.where(F.col("lat").between(*box[:2]) & F.col("lon").between(*box[2:]))
-    return rows if least_ft is None else rows.where(F.col("alt_ft") >= least_ft)
-
-
 def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
@@ -56,9 +45,7 @@ def replace_open_rows(spark: SparkSession, path: str, fresh: DataFrame, day: str
     """
     old = spark.read.parquet(path).where((F.col(date) == day) & F.col(labeler).isNotNull())
     new = old.unionByName(fresh.withColumn(date, F.lit(day).cast(old.schema[date].dataType)), allowMissingColumns=True)
-    staged = f"{path.rstrip('/')}_staged"
-    new.write.mode("overwrite").parquet(staged)
-    rows = spark.read.schema(new.schema).parquet(staged)
+    rows = written(new, "open-rows")
     if rows.isEmpty():
         # a dynamic overwrite without rows replaces nothing
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{date}={day}")
