@@ -164,3 +164,29 @@ def test_thinning_does_not_depend_on_batches(spark, rows):
             elif i == len(ts) - 1:
                 want.append((k, t))
     assert got == sorted(want)
+
+
+def test_spans_that_may_come_close(spark):
+    """All pairs that come within reach at any time of both are among them, and fewer than all overlapping ones."""
+    r = random.Random(8)
+    track = [(g, t, float(r.choice((0, 40, 300, 800)) + r.randint(0, 30))) for g in range(8) for t in sorted(r.sample(range(0, 1_000), 12))]
+    ends = {g: (min(t for k, t, _ in track if k == g), max(t for k, t, _ in track if k == g)) for g in range(8)}
+    spans = []
+    for i in range(40):
+        g = r.randrange(8)
+        a, b = sorted(r.sample(range(ends[g][0], ends[g][1] + 1), 2))
+        spans.append((i, g, a, b))
+    s, p = spark.createDataFrame(spans, "i int, g int, lo int, hi int"), spark.createDataFrame(track, "g int, t int, x double").repartition(3)
+    got = {(x["a"], x["b"]): x["overlap"] for x in joins.overlapping_near(s, p, "i", "g", "lo", "hi", "t", "x", 20, 100, 40.0).collect()}
+    every = {(x["a"], x["b"]): x["overlap"] for x in joins.overlapping(s, "i", "g", "lo", "hi", 20, 100).collect()}
+
+    def at(g, t):
+        own = [(u, x) for k, u, x in track if k == g]
+        for (t0, x0), (t1, x1) in zip(own, own[1:]):
+            if t0 <= t <= t1:
+                return x0 + (x1 - x0) * (t - t0) / (t1 - t0)
+        return None
+
+    by = {i: (g, a, b) for i, g, a, b in spans}
+    close = {k for k in every if any(abs(at(by[k[0]][0], t) - at(by[k[1]][0], t)) <= 40 for t in range(max(by[k[0]][1], by[k[1]][1]), min(by[k[0]][2], by[k[1]][2]) + 1))}
+    assert close <= set(got) < set(every) and all(every[k] == v for k, v in got.items())
