@@ -128,6 +128,7 @@ def test_hard_negatives(spark, monkeypatch, part_rows, sample):
     rows += [(2_050, 1, [0.0] * 12), (2_060, 2, []), (2_070, 3, [1.0, 2.0]), rows[0], rows[7], (2_080, 99, rows[3][2])]
     df = spark.createDataFrame([(*x, 0, "x") for x in rows], "vec_id long, label int, embedding array<float>, cell int, row string").repartition(4)
     monkeypatch.setattr(hard_negatives, "BLOCK_ANCHORS", 30)
+    monkeypatch.setattr(hard_negatives, "MOST_LABELS", 2 if sample == 50 else 256)
     got = hard_negatives.hard_negatives(df, anchor=F.col("vec_id") % 10 == 0, part_rows=part_rows, sample=sample)
     assert sorted(map(tuple, got.collect())) == negatives(rows, lambda i: i % 10 == 0)
     few = hard_negatives.hard_negatives(df, anchor=F.col("vec_id") % 50 == 0, k=2, low=90, high=99, part_rows=part_rows, sample=sample)

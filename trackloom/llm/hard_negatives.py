@@ -24,6 +24,8 @@ from trackloom.llm.common import materialize
 #: Rows of the sample that the upper tree is fitted on, its most cells, rows of a part, rows of a leaf and anchors that one
 #: task asks for at most. Results do not depend on them.
 SAMPLE, MOST_CELLS, PART_ROWS, LEAF_ROWS, BLOCK_ANCHORS = 4096, 1024, 4096, 512, 20_000
+#: Labels that are listed for a cell; one with more may hold any.
+MOST_LABELS = 256
 #: Components become floor(SCALE * x).
 SCALE = 256
 #: Squared lengths stay below this, so that a hundred times an inner product is a long.
@@ -114,9 +116,14 @@ class Cells:
         self.cell = np.array([r["cell"] for r in rows], np.int64)
         self.parts = np.array([r["parts"] for r in rows], np.int64)
         self.lo, self.hi = np.array([r["lo"] for r in rows]).reshape(len(rows), depth), np.array([r["hi"] for r in rows]).reshape(len(rows), depth)
-        self.labels = [set(r["labels"]) for r in rows]
+        self.labels = [set(r["labels"]) if len(r["labels"]) <= MOST_LABELS else None for r in rows]
         self.nodes = np.array([[((c + len(tree) + 1) >> (depth - k)) - 1 for k in range(depth)] for c in self.cell], np.int64).reshape(len(rows), depth)
 
+    def may_hold(self, i: int, label: int, same: bool) -> bool:
+        """Whether the i-th cell may hold a row of that label, or of another one."""
+        have = self.labels[i]
+        return have is None or bool(have & {label} if same else have - {label})
+
     def bounds(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and most distance from a that a row of each cell can have."""
         if not self.tree:
@@ -260,7 +267,7 @@ def _send(cells: Cells, dims: int, most: int, same: bool):
                 for x in windows:
                     ok |= (top >= x["lo"]) & (low <= x["hi"]) & (x["lo"] <= x["hi"])
                 for c in np.flatnonzero(ok).tolist():
-                    if label in cells.labels[c] if same else cells.labels[c] - {label}:
+                    if cells.may_hold(c, label, same):
                         n = int(cells.parts[c])
                         at += [i] * n
                         cell += [int(cells.cell[c])] * n
@@ -357,7 +364,10 @@ def hard_negatives(
     named = "row long, id long, label long, q array<long>, asks boolean"
     dealt = materialize(base.mapInArrow(_route(tree, dims, most), f"{named}, cell long, way array<double>"), "cells")
     ends = [f(F.col("way")[i]).alias(f"{x}{i}") for x, f in (("lo", F.min), ("hi", F.max)) for i in range(depth)]
-    per = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"), F.collect_set("label").alias("labels"), *ends)
+    per = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"), *ends)
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy("label"))
+    some_labels = dealt.select("cell", "label").distinct().withColumn("nth", nth).where(F.col("nth") <= MOST_LABELS + 1)
+    per = per.join(some_labels.groupBy("cell").agg(F.collect_list("label").alias("labels")), "cell")
     lists = [F.array(*(F.col(f"{x}{i}") for i in range(depth))).cast("array<double>").alias(x) for x in ("lo", "hi")]
     # a row per cell, MOST_CELLS at most
     per = materialize(per.select("cell", "parts", "labels", *lists), "cell-bounds")
