@@ -22,7 +22,7 @@ from trackloom.llm.common import lookup, materialize
 #: Words of a window and of a shingle.
 WINDOW, SHINGLE = 10, 3
 #: Bits of a filter per shingle, bits of one of its pages, and the most bits (32 MB); only false lookups grow beyond.
-FILTER_BITS, PAGE_BITS, MOST_BITS = 16, 32_768, 1 << 28
+FILTER_BITS, PAGE_BITS, MOST_BITS = 256, 32_768, 1 << 28
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
 #: A-Z lower-cased; ASCII letters, digits and all other characters' bytes make words, the rest is blank.
