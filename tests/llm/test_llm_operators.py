@@ -262,6 +262,55 @@ def test_chunks_are_cut_where_the_tokenizer_cuts():
         assert words.ids(t).tolist() == np.frombuffer(words.whole(t), "<u4").tolist(), repr(t)
 
 
+def test_texts_that_share_chunks_get_the_tokens_of_each_alone(monkeypatch):
+    """Neighbours in a batch, empty texts, special tokens, a slice, few kept chunks, and far fewer calls than chunks."""
+    import pyarrow as pa
+
+    words = packing.Words(tokenizer_path())
+    monkeypatch.setattr(packing, "CACHE", 20)
+    monkeypatch.setattr(packing, "AT_ONCE", 7)
+    r = random.Random(4)
+    some = ["a", "Bé", "ﬁ", " ", "  ", "\n", "\n ", "\t", "12", ".", "×,", "ö;!", "don't", "'s", "\u00a0", "\u3000", "\u2003", "“q”", "日本", "🙂", "\x1c", "<|endoftext|>", "\0", " the,", " word" * 9]
+    for nth in range(150):
+        texts = ["".join(r.choice(some) for _ in range(r.choice([0, 0, 1, 3, 20]))) for _ in range(30)]
+        got = words.many(pa.array(["x", *texts, "y"]).slice(1, 30))
+        for t, ids in zip(texts, got):
+            assert ids.dtype == np.dtype("<u4") and ids.tolist() == words.bpe.encode(t, add_special_tokens=False).ids, repr(t)
+        assert len(words.chunks) == len(words.lists) == len(set(words.chunks.to_pylist())) <= 20
+    plain = " ".join(f"word{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}, néw{chr(97 + i % 26)}" for i in range(5_000))
+    calls = []
+    monkeypatch.setattr(packing, "AT_ONCE", 10_000)
+    monkeypatch.setattr(words, "whole", lambda text: calls.append(text) or packing.Words.whole(words, text))
+    assert words.ids(plain).tolist() == words.bpe.encode(plain, add_special_tokens=False).ids and not calls
+    assert [len(x) for x in packing.stretches(pa.array(["a" * packing.STRETCH, "b", "", "c" * packing.STRETCH]))] == [1, 2, 1]
+
+
+def test_a_worker_gives_memory_back_and_settings_end(spark, tmp_path):
+    """A reused Python worker holds no freed memory after a task; Spark's batches are small only while pieces are written."""
+    import pyarrow as pa
+
+    def run(batches):
+        for _ in batches:
+            kept = [pa.array([f"{i:060d}" for i in range(400_000)]) for _ in range(3)]
+            kept = [bytes(300) for _ in range(400_000)]
+            last = bytes(600)
+            del kept
+            yield last
+
+    def resident():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Anonymous")) // 1024
+
+    list(run(iter([1])))
+    held = resident()
+    list(common.freed(run)(iter([1])))
+    assert held - resident() > 15
+    key = next(iter(packing.BATCH))
+    unset = spark.conf.get(key)
+    seen = common.materialize(spark.range(5).mapInArrow(common.freed(lambda b: b), "id long"), "settings", packing.BATCH)
+    assert seen.count() == 5 and spark.conf.get(key) == unset
+
+
 def test_mixing(docs):
     rows, plan, pieces = mixing.mix(docs, block_words=64)
     got = mixing.taken_words(rows, plan, pieces).collect()
