@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import components, lookup, materialize, without
+from trackloom.llm.common import components, freed, lookup, materialize, without
 
 WIDTH = 5
 #: Similarity as a fraction: PART / WHOLE.
@@ -436,7 +436,7 @@ class Join:
         self.spark = docs.sparkSession
         text = F.col(text_col).cast("string")
         self.texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
-        rows = materialize(self.texts.mapInArrow(_describe(*self.shape), SETS_DDL), "sets")
+        rows = materialize(self.texts.mapInArrow(freed(_describe(*self.shape)), SETS_DDL), "sets")
         self.docs = rows.where("band is null and bucket is null").select("id", "mark", "n", "cls")
         self.heavy = rows.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "bucket").limit(HEAVY_BUCKETS)
         self.sketches = rows.where("band is not null").select("cls", "band", "bits")
@@ -447,10 +447,10 @@ class Join:
     def buckets(self) -> tuple[DataFrame, DataFrame]:
         """(pairs, rows): a, na, b, nb of the blocks that two classes send, and key, cls, n of those that more may send."""
         heavy = self.spark.sparkContext.broadcast([tuple(r) for r in self.heavy.collect()])
-        keys = self.texts.select("text").mapInArrow(_send(heavy, *self.shape), "cls long, key long")
+        keys = self.texts.select("text").mapInArrow(freed(_send(heavy, *self.shape)), "cls long, key long")
         # the rows of a hot block are dealt by class as well
         keys = keys.repartition(F.when(F.col("key").bitwiseAND(1) == 0, F.col("key")).otherwise(F.xxhash64("key", F.pmod("cls", F.lit(1_024)))))
-        found = materialize(keys.sortWithinPartitions("key", "cls").mapInArrow(_meet, "a long, b long, key long"), "buckets")
+        found = materialize(keys.sortWithinPartitions("key", "cls").mapInArrow(freed(_meet), "a long, b long, key long"), "buckets")
         size = lambda c, n: self.classes.select(F.col("cls").alias(c), F.col("n").alias(n))
         pairs = found.where("b is not null").select("a", "b").distinct().join(size("b", "nb"), "b").join(size("a", "na"), "a")
         return pairs.select("a", "na", "b", "nb"), one_of_equal(found.where("key is not null").select("key", F.col("a").alias("cls")).join(size("cls", "n"), "cls"))
@@ -470,7 +470,7 @@ class Join:
         bits = self.bits(materialize(used, "used"), "cls", "band")
         side = lambda c, name: bits.select(F.col("cls").alias(c), "band", F.col("bits").alias(name))
         both = pairs.join(side("b", "y"), ["b", "band"], "left").join(side("a", "x"), ["a", "band"], "left")
-        seen = materialize(both.select("a", "na", "x", "b", "nb", "y").mapInArrow(_near(*self.shape[1:]), "a long, b long, far int"), "near")
+        seen = materialize(both.select("a", "na", "x", "b", "nb", "y").mapInArrow(freed(_near(*self.shape[1:])), "a long, b long, far int"), "near")
         links = self.confirm(seen.where("far = 0").select("a", "b"))
         far = F.when(F.col("far") > 0, F.col("far")).when(F.col("linked"), F.lit(0)).otherwise(F.lit(1))
         return seen.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", far.alias("far"))
@@ -486,10 +486,10 @@ class Join:
         used = materialize(used.join(self.classes.select("cls", "rep"), "cls"), "used")
         if used.isEmpty():
             return near
-        found = self.texts.join(used.select("rep"), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("id", "text").mapInArrow(_classed(self.shape[0]), "cls long, text binary")
+        found = self.texts.join(used.select("rep"), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("id", "text").mapInArrow(freed(_classed(self.shape[0])), "cls long, text binary")
         found = materialize(found.join(used.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text")), "texts")
         both = near.join(found.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b").join(found.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(_verify(*self.shape), "a long, b long"), "links")
+        return materialize(both.select("a", "b", "x", "y").mapInArrow(freed(_verify(*self.shape)), "a long, b long"), "links")
 
     def within(self, open_: DataFrame) -> DataFrame:
         """Near pairs (a, b) of different components in open blocks, by comparing their members' sketches in cells.
@@ -509,7 +509,7 @@ class Join:
         rows = rows.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
         cell = ["g", "band", "lo", "hi"]
         rows = rows.repartition(*cell).sortWithinPartitions(*cell, "n", "cls").select(*cell, "part", "cls", "n", "root", "held", "bits")
-        return rows.mapInArrow(_cells(*self.shape[1:]), "a long, b long").distinct()
+        return rows.mapInArrow(freed(_cells(*self.shape[1:])), "a long, b long").distinct()
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(docs with mark, n and cls, root of each class that has a link)."""
